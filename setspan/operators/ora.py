@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setspan.functions.ids import ratio_text
-from setspan.functions.stats import with_upper_tail
-from setspan.operators.scan import GROUP_ROWS, bh_adjust
+from setspan.functions.stats import hypergeom_upper_tail
+from setspan.operators.scan import GROUP_ROWS, bh_scan
 
 KEYS = ("contrast", "direction")
 
@@ -74,10 +74,18 @@ def ora(
         .join(universe, shared)
         .select(*keys, "collection", "term_id", "overlap", "n_hits", "set_size", "n_universe")
     )
-    tested = with_upper_tail(counted, "overlap", "n_hits", "set_size", "n_universe")
-    # p depends on (overlap, set size) within a group: at most max_size^2 / 2 distinct values.
+    # p depends on the four counts alone, so test and correct their distinct combinations: within
+    # a group that is overlap by set size, at most max_size^2 / 2 rows however many sets there are.
+    group = [*keys, "collection", "n_hits", "n_universe"]
+    combos = counted.groupBy(*group, "overlap", "set_size").agg(F.count(F.lit(1)).alias("_sets"))
+    tail = hypergeom_upper_tail("overlap", "n_hits", "set_size", "n_universe")
     split = False if max_size * max_size / 2 <= GROUP_ROWS else None
-    adjusted = bh_adjust(tested, [*keys, "collection"], split=split)
+    tested = bh_scan(
+        combos.withColumn("pvalue", tail), [*keys, "collection"], "pvalue", "_sets", split=split
+    )
+    adjusted = counted.join(
+        tested.drop("_sets", "n_hits", "n_universe"), [*keys, "collection", "overlap", "set_size"]
+    )
     result = adjusted.withColumn("qvalue", F.col("padj"))
     if q_cutoff is not None:
         result = result.where(F.col("qvalue") <= q_cutoff)

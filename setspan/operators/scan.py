@@ -74,58 +74,73 @@ def with_rank(
     )
 
 
-def bh_adjust(
+def bh_scan(
     df: DataFrame,
     keys: Sequence[str],
-    p: str = "pvalue",
+    p: str,
+    weight: str,
     out: str = "padj",
     split: bool | None = None,
 ) -> DataFrame:
-    """Benjamini-Hochberg adjusted p within each group; null p stays null and is not counted.
+    """Benjamini-Hochberg over rows that each stand for ``weight`` tests with the same p.
 
-    Rows are first reduced to distinct p-values with counts. Ties share one adjusted value, so
-    this loses nothing, and it bounds the group a window sees: test p-values depend on few
-    small integers (overlap and set size, or counts of draws), however many sets there are.
-    ``split=False`` is the caller's word that the distinct values per group are that few.
+    Descending order turns "minimum over all larger ranks" into a running minimum; tied rows
+    get the same value in any order.
     """
     keys = list(keys)
-    distinct = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
     if split is None:
-        split = must_split(distinct, keys)
-    down = F.col(p).desc()
+        split = must_split(df, keys)
+    down, w = F.col(p).desc(), F.col(weight)
+    raw = F.col(p) * F.col("_m") / (F.col("_m") - F.col("_run") + w)
     if not split:
-        # Descending order turns "minimum over all larger ranks" into a running minimum.
         group = Window.partitionBy(*keys)
         running = group.orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
         scored = (
-            distinct.withColumn("_m", F.sum("_c").over(group))
-            .withColumn("_run", F.sum("_c").over(running))
-            .withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_m") - F.col("_run") + F.col("_c")))
-            .withColumn(out, F.min("_raw").over(running))
+            df.withColumn("_m", F.sum(w).over(group))
+            .withColumn("_run", F.sum(w).over(running))
+            .withColumn(out, F.min(raw).over(running))
         )
     else:
-        blocked = in_blocks(distinct, keys, [down])
+        blocked = in_blocks(df, keys, [down])
         inside = (
             Window.partitionBy(*keys, BLOCK).orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
         )
-        seen = block_offsets(blocked, keys, F.sum("_c"), F.sum, "_seen")
-        tests = blocked.groupBy(*keys).agg(F.sum("_c").alias("_m"))
-        raw = (
-            blocked.withColumn("_run", F.sum("_c").over(inside))
+        seen = block_offsets(blocked, keys, F.sum(w), F.sum, "_seen")
+        tests = blocked.groupBy(*keys).agg(F.sum(w).alias("_m"))
+        counted = (
+            blocked.withColumn("_run", F.sum(w).over(inside))
             .join(seen, [*keys, BLOCK])
             .join(tests, keys)
             .withColumn("_run", F.col("_run") + F.coalesce("_seen", F.lit(0)))
-            .withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_m") - F.col("_run") + F.col("_c")))
+            .withColumn("_raw", raw)
         )
-        least = block_offsets(raw, keys, F.min("_raw"), F.min, "_least")
+        least = block_offsets(counted, keys, F.min("_raw"), F.min, "_least")
         scored = (
-            raw.withColumn("_low", F.min("_raw").over(inside))
+            counted.withColumn("_low", F.min("_raw").over(inside))
             .join(least, [*keys, BLOCK])
             .withColumn(out, F.least("_low", "_least"))
         )
-    scored = scored.select(
-        *keys, p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))).alias(out)
+    return scored.select(
+        *df.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))).alias(out)
     )
+
+
+def bh_adjust(
+    df: DataFrame,
+    keys: Sequence[str],
+    p: str = "pvalue",
+    out: str = "padj",
+    split: bool | None = None,
+) -> DataFrame:
+    """Benjamini-Hochberg adjusted p within each group; null p stays null and is not counted.
+
+    Rows are first reduced to distinct p-values with counts, which loses nothing and bounds the
+    group a window sees: test p-values depend on few small integers, however many sets there
+    are. ``split=False`` is the caller's word that the distinct values per group are that few.
+    """
+    keys = list(keys)
+    distinct = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
+    scored = bh_scan(distinct, keys, p, "_c", out, split).drop("_c")
     return df.join(scored, [*keys, p], "left")
 
 

@@ -78,7 +78,7 @@ def ora_default_background(spark: SparkSession, sf: str) -> DataFrame:
 def ora_restricted_universe(spark: SparkSession, sf: str) -> DataFrame:
     """Universe from a list (parts ordered at a high price): hits and sets restricted to it."""
     de = part_table(spark, sf)
-    listed = table(spark, sf, "part").where("p_retailprice >= 1200").select(
+    listed = table(spark, sf, "part").where("p_retailprice >= 950").select(
         F.col("p_partkey").cast("string").alias("gene_id")
     )
     hits = de_ops.restrict_hits(de_ops.directed_hits(de), listed)
@@ -126,12 +126,12 @@ def hypergeom_query(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("p_partkey") % 90).cast("bigint").alias("set_size"),
         (F.lit(150) + F.col("p_partkey") % 700).cast("bigint").alias("n_universe"),
     )
-    tail = stats.with_upper_tail(p, "k", "n", "set_size", "n_universe", "tail")
+    tail = stats.hypergeom_upper_tail("k", "n", "set_size", "n_universe")
     mass = stats.hypergeom_pmf("k", "n", "set_size", "n_universe")
-    return tail.select(
+    return p.select(
         "p_partkey",
         F.round(mass, DIGITS).alias("mass"),
-        F.round("tail", DIGITS).alias("tail"),
+        F.round(tail, DIGITS).alias("tail"),
         F.round(stats.ln_choose("n_universe", "set_size"), DIGITS).alias("ln_choose"),
     )
 
@@ -234,7 +234,7 @@ u AS (SELECT contrast, direction, collection, count(*) AS n_universe FROM (
 {ora_sql('hits', 'part_sets', 'u', 'contrast, direction, collection', 4, 1000)}
 SELECT {ROW_SQL} FROM adjusted""",
     "ora_restricted_universe": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED},
-listed AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id FROM part WHERE p_retailprice >= 1200),
+listed AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id FROM part WHERE p_retailprice >= 950),
 u AS (SELECT count(DISTINCT gene_id) AS n_universe, collection FROM listed,
       (SELECT DISTINCT collection FROM part_sets) GROUP BY collection),
 rh AS (SELECT * FROM hits WHERE gene_id IN (SELECT gene_id FROM listed)),

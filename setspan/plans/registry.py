@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from setspan.plans import ora_plans
+from setspan.plans import gsea_plans, ora_plans
 
-_MODULES = (ora_plans,)
+_MODULES = (ora_plans, gsea_plans)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -17,9 +17,9 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     names = sys.argv[2:] or list(registry.QUERIES)
     spark = build_session(
-        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
+        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     sf_dir = f"{oracle.TESTDATA}/sf{sf}"
     con = oracle.duck(sf_dir)
     for name in names:
@@ -30,7 +30,7 @@ def main():
             else:
                 n, message = len(registry.QUERIES[name](spark, sf_dir).collect()), "rows only"
         except Exception as e:  # noqa: BLE001
-            n, message = -1, f"ERROR {type(e).__name__}: {str(e)[:1500]}"
+            n, message = -1, f"ERROR {type(e).__name__}: {str(e)[:400]}"
         print(f"{name:32s} {n:8d} {time.time() - t:6.2f}s  {message or 'ok'}", flush=True)
 
 
