@@ -121,16 +121,21 @@ def parse_double(c) -> Column:
 
 
 def is_placeholder(name, set_id) -> Column:
-    """True when a set name says nothing: blank, a dash, or the id itself."""
-    name, set_id = F.trim(F.coalesce(_col(name), F.lit(""))), F.trim(_col(set_id))
+    """True when a set name says nothing: blank, a dash, or the id itself in any case."""
+    name = F.lower(F.trim(F.coalesce(_col(name), F.lit(""))))
+    set_id = F.lower(F.trim(_col(set_id)))
     return (
-        (name == "")
-        | (name == "-")
+        name.isin("", "-")
         | (name == set_id)
         | (normalize_set_id(name) == normalize_set_id(set_id))
     )
 
 
+def is_blank_text(c) -> Column:
+    """True for a blank or a dash."""
+    return F.trim(F.coalesce(_col(c), F.lit(""))).isin("", "-")
+
+
 def display_name(description, name, set_id) -> Column:
     """Description unless blank or NA, else name, else id."""
     text = F.trim(F.coalesce(_col(description), F.lit("")))

@@ -82,9 +82,9 @@ def ora_restricted_universe(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").cast("string").alias("gene_id")
     )
     hits = de_ops.restrict_hits(de_ops.directed_hits(de), listed)
-    size = listed.agg(F.countDistinct("gene_id").alias("n_universe"))
+    size = listed.agg(F.countDistinct("gene_id")).scalar()
     sets = part_sets(spark, sf, "brand", "size")
-    universe = sets.select("collection").distinct().join(F.broadcast(size))
+    universe = sets.select("collection").distinct().withColumn("n_universe", size)
     return _rounded(
         ora(hits, sets, universe, q_cutoff=1.0, universe_genes=listed, min_size=2, max_size=1000)
     )

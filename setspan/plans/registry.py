@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from setspan.plans import gsea_plans, ora_plans
+from setspan.plans import catalog_plans, gsea_plans, idmap_plans, ora_plans, result_plans
 
-_MODULES = (ora_plans, gsea_plans)
+_MODULES = (ora_plans, gsea_plans, idmap_plans, catalog_plans, result_plans)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
