@@ -55,10 +55,11 @@ def ora(
     ``q_cutoff=None`` keeps every tested set.
     """
     keys = list(keys)
-    members = term_gene.select("collection", "term_id", "gene_id").distinct()
+    # Null ids match nothing; dropping them here lets both uses of each frame share its shuffle.
+    members = term_gene.select("collection", "term_id", "gene_id").dropna().distinct()
     if universe_genes is not None:
         members = members.join(universe_genes.select("gene_id").distinct(), "gene_id", "left_semi")
-    distinct_hits = hits.select(*keys, "gene_id").distinct()
+    distinct_hits = hits.select(*keys, "gene_id").dropna().distinct()
     sizes = (
         members.groupBy("collection", "term_id")
         .agg(F.count(F.lit(1)).alias("set_size"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setspan.session import cut_lineage
+
 HIT_VALUE = 30.0
 
 
@@ -28,6 +30,11 @@ def part_values(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_values(spark: SparkSession, sf: str) -> DataFrame:
+    """``part_values`` written once: tests read a differential table several times."""
+    return cut_lineage(part_values(spark, sf))
+
+
 PART_VALUES_SQL = """
 part_values AS (
   SELECT CAST(year(l_shipdate) AS VARCHAR) AS contrast, CAST(l_partkey AS VARCHAR) AS gene_id,
@@ -37,8 +44,8 @@ part_values AS (
 
 
 def part_table(spark: SparkSession, sf: str) -> DataFrame:
-    """``part_values`` as a differential table: significance flag and inferred direction."""
-    values = part_values(spark, sf)
+    """The stored values as a differential table: significance flag and inferred direction."""
+    values = stored_values(spark, sf)
     direction = F.when(F.col("value") >= HIT_VALUE, "Up").when(F.col("value") <= -HIT_VALUE, "Down")
     return values.withColumn("direction", direction).withColumn(
         "is_sig", F.abs("value") >= HIT_VALUE

@@ -50,6 +50,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def task_slots(spark: SparkSession) -> int:
     """Number of tasks worth creating for a stage with few but heavy rows."""
     return max(
-        spark.sparkContext.defaultParallelism * 2,
+        spark.sparkContext.defaultParallelism * 4,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
