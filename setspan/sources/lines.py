@@ -13,26 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POSITION = F.struct(
-    F.col("_metadata.file_path").alias("file"),
-    F.col("_metadata.file_block_start").alias("split"),
-    F.monotonically_increasing_id().alias("seq"),
-)
+def position() -> Column:
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"),
+    )
 
 
 def read_lines(
     spark: SparkSession, paths: str | Sequence[str], line_sep: str | None = None, spread: bool = False
 ) -> DataFrame:
-    """(line, pos, file_name); ``spread`` repartitions, for files that cannot be split."""
+    """(line, pos, file_name); ``spread`` rebalances, for files that cannot be split."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)
     rows = reader.text(paths if isinstance(paths, str) else list(paths)).select(
         F.regexp_replace("value", r"\r\z", "").alias("line"),
-        POSITION.alias("pos"),
+        position().alias("pos"),
         F.col("_metadata.file_name").alias("file_name"),
     )
-    return rows.repartition() if spread else rows
+    return rows.hint("rebalance") if spread else rows
 
 
 def with_fields(lines: DataFrame, pattern: str = "\t") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from setspan.functions.ids import clean, parse_double
 from setspan.operators.de import significant
-from setspan.sources.lines import POSITION, field, read_lines, with_fields
+from setspan.sources.lines import field, position, read_lines, with_fields
 
 Paths = str | Sequence[str]
 DEFAULT_VALUE = 1.0
@@ -89,7 +89,7 @@ def read_de_table(
     number = F.lit(DEFAULT_VALUE) if value is None else F.coalesce(parse_double(_quoted(value)), F.lit(DEFAULT_VALUE))
     rows = raw.select(
         contrast_name().alias("contrast"),
-        POSITION.alias("row_no"),
+        position().alias("row_no"),
         clean(_quoted(gene)).alias("gene_id"),
         number.alias("value"),
         (F.lit(None).cast("string") if direction is None else F.trim(_quoted(direction))).alias("direction"),
