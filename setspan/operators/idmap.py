@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setspan.functions.ids import UNKNOWN, clean, detect_id_type, normalize_id
-from setspan.operators.scan import collapse_repeats
 
 ENTREZ = "ENTREZID"
 POLICIES = ("best-effort", "threshold", "strict")
@@ -164,10 +163,13 @@ def conversion_report(
     min_rate = 0.9 if min_rate <= 0 else min(min_rate, 1.0)
     mapped = converted.where(is_converted(F.col("target"), F.col("id"))).select("id").distinct()
     types = majority_id_type(rows).select("contrast", F.col("id_type").alias("input_type"))
+    # Repeats become counts before the join, so an id in a third of the rows is one row there.
+    seen = rows.groupBy("contrast", "id").agg(F.count(F.lit(1)).alias("_n"))
+    hit = F.when(F.col("_hit").isNotNull(), F.col("_n")).otherwise(F.lit(0))
     counted = (
-        rows.join(mapped.withColumn("_hit", F.lit(1)), "id", "left")
+        seen.join(mapped.withColumn("_hit", F.lit(1)), "id", "left")
         .groupBy("contrast")
-        .agg(F.count(F.lit(1)).alias("total"), F.count("_hit").alias("_mapped"))
+        .agg(F.sum("_n").alias("total"), F.sum(hit).alias("_mapped"))
     )
     same = F.col("input_type") == target_type
     report = (
@@ -203,7 +205,8 @@ def apply_conversion(
     A new id is significant when any of its sources is. ``hits_only`` converts and keeps only
     significant rows. Contrasts whose ``report`` row did not pass keep their original ids.
     """
-    rows = de.where("is_sig") if hits_only else de
+    carried = [c for c in ("value", "direction") if c in de.columns]
+    rows = _collapse_genes(de.where("is_sig") if hits_only else de, carried)
     pairs = converted.select(F.col("id").alias("gene_id"), clean("target").alias("_new"))
     moved = rows.join(pairs.where("_new is not null"), "gene_id")
     if report is not None:
@@ -211,15 +214,21 @@ def apply_conversion(
         moved = moved.join(verdict.where("passed").select("contrast"), "contrast", "left_semi")
         kept = rows.join(verdict.where("not passed").select("contrast"), "contrast", "left_semi")
         moved = moved.unionByName(kept.withColumn("_new", F.col("gene_id")))
-    carried = [c for c in ("value", "direction") if c in de.columns]
-    first = collapse_repeats(
-        moved.drop("gene_id").withColumnRenamed("_new", "gene_id"),
-        ["contrast", "gene_id"], [*carried, "row_no"], "first",
-    )
-    flags = moved.groupBy("contrast", F.col("_new").alias("gene_id")).agg(
-        F.bool_or("is_sig").alias("is_sig")
+    return _collapse_genes(moved.drop("gene_id").withColumnRenamed("_new", "gene_id"), carried)
+
+
+def _collapse_genes(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """One row per (contrast, gene): the first in row order, significant if any was.
+
+    Run before the join as well as after it: a much repeated gene is one row per map task there.
+    """
+    row = F.struct(*carried, "row_no")
+    first = F.min_by(row, F.struct("row_no", row))
+    return (
+        rows.groupBy("contrast", "gene_id")
+        .agg(first.alias("_row"), F.bool_or("is_sig").alias("is_sig"))
+        .select("contrast", "gene_id", "_row.*", "is_sig")
     )
-    return first.join(flags, ["contrast", "gene_id"])
 
 
 def display_genes(

@@ -125,7 +125,7 @@ def vocabulary_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def universe_query(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = annotated_universe(part_sets(spark, sf).where("term_id not like '%1%'"))
+    sizes = annotated_universe(part_sets(spark, sf))
     return sizes.withColumn("n_universe", F.col("n_universe").cast("bigint"))
 
 
@@ -138,7 +138,7 @@ def set_size_query(spark: SparkSession, sf: str) -> DataFrame:
 def coverage_query(spark: SparkSession, sf: str) -> DataFrame:
     term = part_sets(spark, sf).select("collection", "term_id").distinct()
     asked = table(spark, sf, "nation").select(
-        F.when(F.col("n_nationkey") % 4 == 0, "brand").when(F.col("n_nationkey") % 4 == 1, "size")
+        F.when(F.col("n_regionkey") == 0, "brand").when(F.col("n_regionkey") == 1, "size")
         .otherwise(F.lower("n_name")).alias("collection")
     )
     return gs.coverage(term, asked, ["collection"])
@@ -242,11 +242,11 @@ WHERE collection = 'c2' OR NOT EXISTS (SELECT 1 FROM ov b WHERE b.collection = '
 FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'""",
     "gene_vocabulary": f"WITH {TOKEN_SETS_SQL} SELECT DISTINCT gene_id FROM token_sets",
     "annotated_universe": f"""WITH {part_sets_sql()} SELECT collection, count(DISTINCT gene_id) AS n_universe
-FROM part_sets WHERE term_id NOT LIKE '%1%' GROUP BY 1""",
+FROM part_sets GROUP BY 1""",
     "set_size_filter": f"""WITH {TOKEN_SETS_SQL} SELECT contrast, term_id, count(*) AS set_size
 FROM token_sets GROUP BY 1, 2 HAVING count(*) BETWEEN 10 AND 500""",
     "coverage": f"""WITH {part_sets_sql()},
-asked AS (SELECT DISTINCT CASE n_nationkey % 4 WHEN 0 THEN 'brand' WHEN 1 THEN 'size' ELSE lower(n_name) END AS collection FROM nation),
+asked AS (SELECT DISTINCT CASE n_regionkey WHEN 0 THEN 'brand' WHEN 1 THEN 'size' ELSE lower(n_name) END AS collection FROM nation),
 have AS (SELECT collection, count(DISTINCT term_id) AS n FROM part_sets GROUP BY 1)
 SELECT collection, coalesce(n, 0) AS sets, coalesce(n, 0) > 0 AS covered FROM asked LEFT JOIN have USING (collection)""",
     "audit_counts": f"""{_COUNTS} UNION ALL SELECT 'terms', count(*) FROM part

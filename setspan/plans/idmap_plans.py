@@ -186,7 +186,7 @@ def unique_query(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit(" "), F.col("event_type"), F.lit("  ")).alias("id"), F.lit("events").alias("contrast")
     )
     c = table(spark, sf, "conversations").select(
-        F.when(F.col("turn") % 2 == 0, "  ").otherwise(F.col("role")).alias("id"), F.lit("roles").alias("contrast")
+        F.when(F.col("role") == "user", "  ").otherwise(F.col("role")).alias("id"), F.lit("roles").alias("contrast")
     )
     return unique_ids(e.unionByName(c), "id", ["contrast"])
 
@@ -208,14 +208,14 @@ def collapse_query(rule: str):
 
 
 def display_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlap genes of surviving sets shown as part names; every fifth part has a pair name."""
+    """Overlap genes of surviving sets shown as part names; small parts have a pair name."""
     de = part_table(spark, sf)
     hits, sets = directed_hits(de), part_sets(spark, sf, "brand", "size")
     result = ora(hits, sets, table_universe(de), q_cutoff=0.9, **BOUNDS)
     listed = with_hit_genes(result, hits, sets)
-    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_partkey", "p_name")
-    pairs = p.where("p_partkey % 5 = 0").select("id", F.concat(F.lit("pair-"), "id").alias("shown"))
-    symbols = p.where("p_partkey % 3 <> 0").select("id", F.col("p_name").alias("shown"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_size", "p_type", "p_name")
+    pairs = p.where("p_size <= 10").select("id", F.concat(F.lit("pair-"), "id").alias("shown"))
+    symbols = p.where("p_type not like 'STANDARD%'").select("id", F.col("p_name").alias("shown"))
     keys = ["contrast", "direction", "collection", "term_id"]
     shown = im.display_genes(listed, keys, "genes", pairs, symbols)
     return shown.select(*keys, F.array_join("genes", "/").alias("genes"))
@@ -320,14 +320,14 @@ SELECT *, round(all_mapped / all_total, 6) AS all_rate, round(sig_mapped / sig_t
     "mappable_rows": f"""WITH {ORDER_SQL}, {SOLVENT_SQL}
 SELECT contrast, row_no, gene_id FROM ord WHERE gene_id IN (SELECT id FROM solvent)""",
     "unique_ids": """SELECT DISTINCT 'events' AS contrast, event_type AS id FROM events
-UNION SELECT DISTINCT 'roles', role FROM conversations WHERE turn % 2 <> 0""",
+UNION SELECT DISTINCT 'roles', role FROM conversations WHERE role <> 'user'""",
     "collapse_first": f"WITH {REPEATS_SQL} SELECT contrast, gene_id, arg_min(value, (row_no, value)) AS value, min(row_no) AS row_no FROM rep GROUP BY 1, 2",
     "collapse_last": f"WITH {REPEATS_SQL} SELECT contrast, gene_id, arg_max(value, (row_no, value)) AS value, max(row_no) AS row_no FROM rep GROUP BY 1, 2",
     "collapse_max_abs": f"WITH {REPEATS_SQL} SELECT contrast, gene_id, arg_max(value, (abs(value), value)) AS value FROM rep GROUP BY 1, 2",
     "display_genes": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)},
-shown AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id, CASE WHEN p_partkey % 5 = 0 THEN 'pair-' || p_partkey
-  WHEN p_partkey % 3 <> 0 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS s FROM part)
+shown AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id, CASE WHEN p_size <= 10 THEN 'pair-' || p_partkey
+  WHEN p_type NOT LIKE 'STANDARD%' THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS s FROM part)
 SELECT contrast, direction, collection, term_id, string_agg(s, '/' ORDER BY gene_id) AS genes
 FROM h JOIN m USING (gene_id) JOIN shown USING (gene_id)
 JOIN (SELECT * FROM adjusted WHERE padj <= 0.9) USING (contrast, direction, collection, term_id) GROUP BY 1, 2, 3, 4""",

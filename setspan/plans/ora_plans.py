@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from setspan.functions import stats
 from setspan.operators import de as de_ops
+from setspan.operators.gene_sets import gene_vocabulary
 from setspan.operators.ora import ora, with_hit_genes, with_ratios
 from setspan.operators.scan import bh_adjust
 from setspan.plans.tables import (
@@ -75,6 +76,19 @@ def ora_default_background(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ora(hits, sets, de_ops.default_universe(hits, sets), q_cutoff=1.0, **BOUNDS))
 
 
+def ora_annotated_universe(spark: SparkSession, sf: str) -> DataFrame:
+    """Universe of annotated genes: hits no set knows are dropped, N counts the set genes."""
+    de = part_table(spark, sf)
+    dear = table(spark, sf, "part").where("p_retailprice >= 950").select(
+        F.col("p_partkey").cast("string").alias("gene_id")
+    )
+    sets = part_sets(spark, sf, "brand", "size").join(dear, "gene_id", "left_semi")
+    hits = de_ops.restrict_hits(de_ops.directed_hits(de), gene_vocabulary(sets))
+    return _rounded(
+        ora(hits, sets, de_ops.annotated_universe(sets), q_cutoff=1.0, min_size=2, max_size=1000)
+    )
+
+
 def ora_restricted_universe(spark: SparkSession, sf: str) -> DataFrame:
     """Universe from a list (parts ordered at a high price): hits and sets restricted to it."""
     de = part_table(spark, sf)
@@ -205,6 +219,7 @@ QUERIES = {
     "ora_by_direction": ora_by_direction,
     "ora_gene_lists": ora_gene_lists,
     "ora_default_background": ora_default_background,
+    "ora_annotated_universe": ora_annotated_universe,
     "ora_restricted_universe": ora_restricted_universe,
     "ora_tokens_toxic": ora_tokens_toxic,
     "bh_adjust": bh_query,
@@ -233,6 +248,11 @@ u AS (SELECT contrast, direction, collection, count(*) AS n_universe FROM (
   FROM hits, (SELECT DISTINCT collection FROM part_sets)) GROUP BY ALL),
 {ora_sql('hits', 'part_sets', 'u', 'contrast, direction, collection', 4, 1000)}
 SELECT {ROW_SQL} FROM adjusted""",
+    "ora_annotated_universe": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED},
+rs AS (SELECT * FROM part_sets WHERE gene_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_retailprice >= 950)),
+u AS (SELECT collection, count(DISTINCT gene_id) AS n_universe FROM rs GROUP BY 1),
+rh AS (SELECT * FROM hits WHERE gene_id IN (SELECT gene_id FROM rs)),
+{ora_sql('rh', 'rs', 'u', 'collection', 2, 1000)} SELECT {ROW_SQL} FROM adjusted""",
     "ora_restricted_universe": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED},
 listed AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id FROM part WHERE p_retailprice >= 950),
 u AS (SELECT count(DISTINCT gene_id) AS n_universe, collection FROM listed,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setspan.operators import concordance as cc
 from setspan.operators.de import table_universe
 from setspan.operators.ora import ora, with_ratios
+from setspan.operators.scan import with_rank
 from setspan.operators.score import enrichment_scores, rank_genes
 from setspan.plans.gsea_plans import SCORES_SQL
 from setspan.plans.ora_plans import _ALL, _TABLE_U, BOUNDS, _all_hits, ora_sql
@@ -55,8 +56,8 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def rank_query(spark: SparkSession, sf: str) -> DataFrame:
     r = cc.normalized(results(spark, sf))
-    w = Window.partitionBy(*KEYS).orderBy(*cc.result_order(False))
-    return r.withColumn("rank", F.row_number().over(w).cast("bigint")).select(*KEYS, "id", "rank")
+    ranked = with_rank(r, KEYS, cc.result_order(False))
+    return ranked.select(*KEYS, "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 def concordance_query(spark: SparkSession, sf: str) -> DataFrame:

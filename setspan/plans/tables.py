@@ -99,7 +99,7 @@ def token_sets(spark: SparkSession, sf: str) -> DataFrame:
             F.col("doc_id").cast("string").alias("gene_id"),
             F.explode(words).alias("term_id"),
         )
-        .where(F.length("term_id") >= 4)
+        .where("term_id <> ''")
         .select("contrast", F.lit("word").alias("collection"), "term_id", "gene_id")
     )
 
@@ -109,5 +109,5 @@ token_sets AS (
   SELECT DISTINCT contrast, 'word' AS collection, term_id, gene_id FROM (
     SELECT lang AS contrast, CAST(doc_id AS VARCHAR) AS gene_id,
            unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+'))) AS term_id
-    FROM documents) WHERE length(term_id) >= 4
+    FROM documents) WHERE term_id <> ''
 )"""
