@@ -118,7 +118,7 @@ def _ln_pmf(k: str, n: str, m: str, u: str) -> str:
 
 def _walk(steps: str, ratio: str, start: str) -> str:
     """Sum of successive products of ``ratio`` (in terms of i), plus ``start``."""
-    step = _let("z", "named_struct('t', z.t, 's', a.s + z.t)", t=f"a.t * {ratio}")
+    step = f"named_struct('t', a.t * {ratio}, 's', a.s + a.t * {ratio})"
     return f"aggregate({steps}, named_struct('t', 1D, 's', {start}), (a, i) -> {step}, a -> a.s)"
 
 
@@ -146,7 +146,7 @@ def hypergeom_upper_tail(k: str, n: str, set_size: str, universe: str) -> Column
 
     Degenerate inputs give 1: an empty universe, set or draw, or a set larger than the universe.
     Draws are clamped to the universe and k to its largest possible value. Terms further than
-    12 standard deviations and 60 steps from the largest one are below double rounding and are
+    9 standard deviations and 60 steps from the largest one are below double rounding and are
     not visited, so the work per row is bounded by the spread and not by the set size.
     """
     up = _walk(
@@ -170,7 +170,7 @@ def hypergeom_upper_tail(k: str, n: str, set_size: str, universe: str) -> Column
         "t",
         total,
         mode=f"greatest(c.lo, least(c.hi, {peak}))",
-        reach=f"CAST(ceil({spread} * 12) AS BIGINT) + 60",
+        reach=f"CAST(ceil({spread} * 9) AS BIGINT) + 60",
     )
     degenerate = "c.u <= 0 OR c.m <= 0 OR c.n <= 0 OR c.m > c.u"
     tail = f"CASE WHEN {degenerate} OR c.lo <= c.least THEN 1D ELSE least(1D, {around}) END"

@@ -27,11 +27,13 @@ def overlap_counts(hits: DataFrame, term_gene: DataFrame, keys: Sequence[str] =
     """Hits per (group, set); sets without a hit never appear.
 
     The join result is counted map-side before it is shuffled to (group, set), so a gene in
-    very many sets or contrasts costs one task no more than its share of the join.
+    very many sets or contrasts costs one task no more than its share of the join. A column
+    ``set_size`` of the members is carried along.
     """
+    carried = [c for c in ("set_size",) if c in term_gene.columns]
     return (
         hits.join(term_gene, "gene_id")
-        .groupBy(*keys, "collection", "term_id")
+        .groupBy(*keys, "collection", "term_id", *carried)
         .agg(F.count(F.lit(1)).alias("overlap"))
     )
 
@@ -65,28 +67,26 @@ def ora(
         .agg(F.count(F.lit(1)).alias("set_size"))
         .where(F.col("set_size").between(min_size, max_size))
     )
+    # Sets out of bounds leave before the join with hits, so a huge set is never multiplied.
+    sized = members.join(sizes, ["collection", "term_id"])
     if hit_counts is None:
         hit_counts = distinct_hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hits"))
     shared = [c for c in universe.columns if c != "n_universe"]
-    counted = (
-        overlap_counts(distinct_hits, members, keys)
-        .join(sizes, ["collection", "term_id"])
+    overlaps = overlap_counts(distinct_hits, sized, keys)
+    # p depends on four counts alone, so rows are reduced to distinct (overlap, set size) pairs per
+    # group before the per-group counts are joined, the test runs and p is corrected: at most
+    # max_size^2 / 2 rows per group, however many sets there are.
+    pair = [*keys, "collection", "overlap", "set_size"]
+    pairs = (
+        overlaps.groupBy(*pair)
+        .agg(F.count(F.lit(1)).alias("_sets"))
         .join(hit_counts, keys)
         .join(universe, shared)
-        .select(*keys, "collection", "term_id", "overlap", "n_hits", "set_size", "n_universe")
+        .withColumn("pvalue", hypergeom_upper_tail("overlap", "n_hits", "set_size", "n_universe"))
     )
-    # p depends on the four counts alone, so test and correct their distinct combinations: within
-    # a group that is overlap by set size, at most max_size^2 / 2 rows however many sets there are.
-    group = [*keys, "collection", "n_hits", "n_universe"]
-    combos = counted.groupBy(*group, "overlap", "set_size").agg(F.count(F.lit(1)).alias("_sets"))
-    tail = hypergeom_upper_tail("overlap", "n_hits", "set_size", "n_universe")
     split = False if max_size * max_size / 2 <= GROUP_ROWS else None
-    tested = bh_scan(
-        combos.withColumn("pvalue", tail), [*keys, "collection"], "pvalue", "_sets", split=split
-    )
-    adjusted = counted.join(
-        tested.drop("_sets", "n_hits", "n_universe"), [*keys, "collection", "overlap", "set_size"]
-    )
+    tested = bh_scan(pairs, [*keys, "collection"], "pvalue", "_sets", split=split)
+    adjusted = overlaps.join(tested.drop("_sets"), pair)
     result = adjusted.withColumn("qvalue", F.col("padj"))
     if q_cutoff is not None:
         result = result.where(F.col("qvalue") <= q_cutoff)

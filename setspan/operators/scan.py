@@ -18,6 +18,8 @@ from setspan.session import cut_lineage
 
 # Most rows of one group that a single window task may hold.
 GROUP_ROWS = 2_000_000
+# Most short rows (a key and a count) that may be broadcast: some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 BLOCK = "_block"
 
@@ -32,6 +34,14 @@ def must_split(df: DataFrame, keys: Sequence[str], bound: int | None = None) ->
     return largest_group(df, keys) > (GROUP_ROWS if bound is None else bound)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table of one short row per group for broadcast if it was counted to be small.
+
+    Otherwise the planner shuffles the large side by its group before it learns the size.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add a block number that rises with ``order`` inside each group.
 
