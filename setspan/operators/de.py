@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setspan.functions.ids import clean, parse_double
+from setspan.operators.scan import broadcast_if_small
 
 
 def significant(column: str | None, mode: str = "string", value=None) -> Column:
@@ -43,7 +44,7 @@ def with_direction(
     )
     sign = F.when(F.col("value") > threshold, up).when(F.col("value") < -threshold, down)
     return (
-        de.join(real, "contrast")
+        de.join(broadcast_if_small(real), "contrast")
         .withColumn("direction", F.when(F.col("is_sig") & F.col("_real"), sign))
         .drop("_real")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setspan.functions.ids import UNKNOWN, clean, detect_id_type, normalize_id
+from setspan.operators.scan import broadcast_if_small
 
 ENTREZ = "ENTREZID"
 POLICIES = ("best-effort", "threshold", "strict")
@@ -210,9 +211,9 @@ def apply_conversion(
     pairs = converted.select(F.col("id").alias("gene_id"), clean("target").alias("_new"))
     moved = rows.join(pairs.where("_new is not null"), "gene_id")
     if report is not None:
-        verdict = report.select("contrast", "passed")
-        moved = moved.join(verdict.where("passed").select("contrast"), "contrast", "left_semi")
-        kept = rows.join(verdict.where("not passed").select("contrast"), "contrast", "left_semi")
+        verdict = broadcast_if_small(report.select("contrast", "passed"))
+        moved = moved.join(verdict, "contrast").where("passed").drop("passed")
+        kept = rows.join(verdict, "contrast").where("not passed").drop("passed")
         moved = moved.unionByName(kept.withColumn("_new", F.col("gene_id")))
     return _collapse_genes(moved.drop("gene_id").withColumnRenamed("_new", "gene_id"), carried)
 

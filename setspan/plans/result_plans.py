@@ -100,7 +100,7 @@ def difference_query(spark: SparkSession, sf: str) -> DataFrame:
 def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Both sides with p up to 0.5, side a unfiltered, and set sizes with overlaps."""
     a, b = sides(spark, sf)
-    ranked = rank_genes(part_table(spark, sf).select("contrast", "gene_id", "value"))
+    ranked = cut_lineage(rank_genes(part_table(spark, sf).select("contrast", "gene_id", "value")))
     scores = enrichment_scores(ranked, part_sets(spark, sf, "brand", "size"), 1, 1000)
     counts = scores.select(
         F.lit("ora").alias("analysis"), F.col("collection").alias("db"), "contrast",
