@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from setspan.functions.ids import ratio_text
 from setspan.functions.stats import hypergeom_upper_tail
-from setspan.operators.scan import GROUP_ROWS, bh_scan
+from setspan.operators.scan import GROUP_ROWS, bh_scan, has_hubs, join_hubs
 
 KEYS = ("contrast", "direction")
 
@@ -23,7 +23,9 @@ def set_sizes(term_gene: DataFrame, min_size: int, max_size: int) -> DataFrame:
     )
 
 
-def overlap_counts(hits: DataFrame, term_gene: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def overlap_counts(
+    hits: DataFrame, term_gene: DataFrame, keys: Sequence[str] = KEYS, hubs: bool | None = None
+) -> DataFrame:
     """Hits per (group, set); sets without a hit never appear.
 
     The join result is counted map-side before it is shuffled to (group, set), so a gene in
@@ -32,7 +34,7 @@ def overlap_counts(hits: DataFrame, term_gene: DataFrame, keys: Sequence[str] =
     """
     carried = [c for c in ("set_size",) if c in term_gene.columns]
     return (
-        hits.join(term_gene, "gene_id")
+        join_hubs(hits, term_gene, "gene_id", hubs)
         .groupBy(*keys, "collection", "term_id", *carried)
         .agg(F.count(F.lit(1)).alias("overlap"))
     )
@@ -72,7 +74,7 @@ def ora(
     if hit_counts is None:
         hit_counts = distinct_hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hits"))
     shared = [c for c in universe.columns if c != "n_universe"]
-    overlaps = overlap_counts(distinct_hits, sized, keys)
+    overlaps = overlap_counts(distinct_hits, sized, keys, has_hubs(term_gene, "gene_id"))
     # p depends on four counts alone, so rows are reduced to distinct (overlap, set size) pairs per
     # group before the per-group counts are joined, the test runs and p is corrected: at most
     # max_size^2 / 2 rows per group, however many sets there are.

@@ -20,6 +20,8 @@ from setspan.session import cut_lineage
 GROUP_ROWS = 2_000_000
 # Most short rows (a key and a count) that may be broadcast: some tens of megabytes.
 BROADCAST_ROWS = 500_000
+# Most rows of one join key on the reference side before the key is split.
+HUB_ROWS = 1_000_000
 
 BLOCK = "_block"
 
@@ -42,6 +44,37 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def has_hubs(df: DataFrame, key: str) -> bool:
+    """Whether some join key has more rows than one task should take for it."""
+    return largest_group(df, [key]) > HUB_ROWS
+
+
+def join_hubs(left: DataFrame, right: DataFrame, key: str, split: bool | None = None) -> DataFrame:
+    """Inner join on ``key`` where single keys may fill much of ``right``.
+
+    Keys with more than ``HUB_ROWS`` rows on the right are split: their right rows spread over
+    numbered parts by a hash of the row, and their left rows are repeated once per part. Every
+    pair meets exactly once. Without such keys it is a plain join; ``split`` passes on what
+    ``has_hubs`` said of ``right`` or of rows that contain it.
+    """
+    if not (has_hubs(right, key) if split is None else split):
+        return left.join(right, key)
+    others = [F.col(c) for c in right.columns if c != key]
+    hubs = (
+        right.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > HUB_ROWS)
+        .select(key, F.ceil(F.col("_rows") / HUB_ROWS).cast("int").alias("_parts"))
+    )
+    # At most (right rows / HUB_ROWS) keys qualify.
+    hubs = broadcast_if_small(cut_lineage(hubs))
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = right.join(hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64(*others), parts))
+    numbers = F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))
+    repeated = left.join(hubs, key, "left").withColumn("_part", F.explode(numbers))
+    return repeated.drop("_parts").join(spread.drop("_parts"), [key, "_part"]).drop("_part")
+
+
 def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add a block number that rises with ``order`` inside each group.
 
@@ -103,8 +136,9 @@ def bh_scan(
     down, w = F.col(p).desc(), F.col(weight)
     raw = F.col(p) * F.col("_m") / (F.col("_m") - F.col("_run") + w)
     if not split:
-        group = Window.partitionBy(*keys)
-        running = group.orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
+        ordered = Window.partitionBy(*keys).orderBy(down)  # one sort for both frames
+        group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        running = ordered.rowsBetween(Window.unboundedPreceding, 0)
         scored = (
             df.withColumn("_m", F.sum(w).over(group))
             .withColumn("_run", F.sum(w).over(running))
