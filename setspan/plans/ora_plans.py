@@ -21,6 +21,7 @@ from setspan.plans.tables import (
     table,
     token_sets,
 )
+from setspan.session import cut_lineage
 
 DIGITS = 6
 BOUNDS = dict(min_size=4, max_size=1000)
@@ -106,12 +107,12 @@ def ora_restricted_universe(spark: SparkSession, sf: str) -> DataFrame:
 
 def ora_tokens_toxic(spark: SparkSession, sf: str) -> DataFrame:
     """Words over-represented in toxic documents of a language, among labelled documents."""
-    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("gene_id"), "toxic")
-    sets = token_sets(spark, sf).join(labels.select("gene_id"), "gene_id", "left_semi")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("doc_id").cast("string").alias("gene_id"), "toxic")
+    sets = cut_lineage(token_sets(spark, sf, labels.select("doc_id")))
     docs = (
         table(spark, sf, "documents")
         .select(F.col("lang").alias("contrast"), F.col("doc_id").cast("string").alias("gene_id"))
-        .join(labels, "gene_id")
+        .join(labels.drop("doc_id"), "gene_id")
     )
     # A document has one language, so a language's words are sets of their own collection.
     sets = sets.select(F.col("contrast").alias("collection"), "term_id", "gene_id")

@@ -89,12 +89,17 @@ def part_sets_sql(*collections: str) -> str:
     return "part_sets AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def token_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """(contrast, collection, term_id, gene_id): words of whole document texts, per language."""
+def token_sets(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """(contrast, collection, term_id, gene_id): words of whole document texts, per language.
+
+    ``only`` (doc_id) restricts documents before their texts are split.
+    """
     words = F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))
+    documents = table(spark, sf, "documents")
+    if only is not None:
+        documents = documents.join(only, "doc_id", "left_semi")
     return (
-        table(spark, sf, "documents")
-        .select(
+        documents.select(
             F.col("lang").alias("contrast"),
             F.col("doc_id").cast("string").alias("gene_id"),
             F.explode(words).alias("term_id"),
