@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from setspan.llm.common import stage, table
 from setspan.llm.decontaminate import drop_contaminated
 from setspan.llm.lines import dedup_lines
+from setspan.llm.packing import pack
 from setspan.llm.quality import keep_quality
 from setspan.llm.simhash import keep_representatives
 
@@ -37,11 +38,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, tokenized and packed into sequences."""
+    return pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
+    ("packing", packing),
 ]
 
 # SimHash and tokenized packing have no SQL form; tests compare the stages with brute force.

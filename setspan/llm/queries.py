@@ -6,7 +6,9 @@ from setspan.llm.common import table
 from setspan.llm.decontaminate import contamination_report
 from setspan.llm.lines import line_report
 from setspan.llm.quality import line_quality
+from setspan.llm.packing import pack
 from setspan.llm.simhash import duplicate_report
+from setspan.llm.toxicity import score
 
 
 def op1_simhash(spark, sf_dir):
@@ -23,6 +25,14 @@ def op4_quality(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -141,6 +151,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
