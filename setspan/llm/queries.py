@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from setspan.llm.chat import rotate
 from setspan.llm.common import table
 from setspan.llm.decontaminate import contamination_report
+from setspan.llm.langid import identify
+from setspan.llm.licenses import scan_licenses
 from setspan.llm.lines import line_report
+from setspan.llm.pii import pseudonymize
 from setspan.llm.quality import line_quality
 from setspan.llm.packing import pack
 from setspan.llm.simhash import duplicate_report
@@ -15,6 +19,10 @@ def op1_simhash(spark, sf_dir):
     return duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return contamination_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -25,6 +33,14 @@ def op4_quality(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"))
 
 
+def op5_pseudonyms(spark, sf_dir):
+    return pseudonymize(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -33,6 +49,10 @@ def op8_toxicity(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat(spark, sf_dir):
+    return rotate(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -147,16 +167,55 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY r, doc_id
 """
 
+OP9_SQL = """
+WITH placed AS (
+  SELECT conv_id, role, coalesce(text, '') AS said,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), cut AS (
+  SELECT *, CAST((place - 1) // 64 AS INTEGER) AS segment,
+         regexp_replace(said, '<\\|(im_start|im_end)\\|>', '< |\\1| >', 'g') AS safe
+  FROM placed
+), views AS (
+  SELECT DISTINCT conv_id, segment, role AS perspective FROM cut
+  WHERE role IS NOT NULL AND role <> 'system'
+), spelled AS (
+  SELECT conv_id, segment, perspective, place, safe,
+         coalesce(role = perspective, false) AS own,
+         '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(coalesce(role, 'unknown'), '[\\s<>|]', '_', 'g') END
+           || chr(10) AS head
+  FROM views JOIN cut USING (conv_id, segment)
+), lengths AS (
+  SELECT *, head || safe || '<|im_end|>' || chr(10) AS message,
+         coalesce(sum(length(head) + length(safe) + 11) OVER (
+           PARTITION BY conv_id, segment, perspective ORDER BY place
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM spelled
+)
+SELECT conv_id, segment, perspective, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+       string_agg(message, '' ORDER BY place) AS text,
+       string_agg(CAST(pos + length(head) AS BIGINT) || '-' || CAST(pos + length(message) - 1 AS BIGINT), ','
+                  ORDER BY place) FILTER (WHERE own) AS mask
+FROM lengths GROUP BY conv_id, segment, perspective
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op5_pseudonyms": op5_pseudonyms,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op3_decontaminate": OP3_SQL,
     "op4_quality": OP4_SQL,
+    "op9_chat": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
