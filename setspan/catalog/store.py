@@ -1,8 +1,9 @@
 """The catalog of set collections and id maps: partitioned Parquet with dynamic overwrite.
 
 A replacement is staged first (written next to the catalog and read back), so its input may
-come from the catalog itself and a failing producer leaves the old partition untouched. The
-dataset row is written last and marks the collection as complete.
+come from the catalog itself and a failing producer leaves the old partition untouched. Terms and
+genes of a collection go to a folder of a new version; readers follow the version the dataset row
+names, and that row is written last. Whatever fails before leaves all three tables as they were.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ from setspan.functions.ids import clean
 from setspan.operators.gene_sets import load_sets
 from setspan.operators.idmap import canonical_direction
 from setspan.operators.quality import TableContract
+from setspan.operators.scan import broadcast_if_small
 
 KEY = ("db", "species", "ontology", "collection")
 SCOPE = ("species", "source", "from_type")
+# Names the version folder a collection's rows are read from.
+VERSION = "data_version"
+VERSIONED = ("dataset", "term", "term_gene")
 BLANK = "-"
 
 # Declared contract of the catalog tables.
@@ -77,17 +82,34 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         """A catalog table with its declared columns; empty when nothing was written yet."""
-        contract = CONTRACTS[name]
-        schema = ", ".join(f"`{c}` {t}" for c, t in contract.columns.items())
+        rows = self._raw(name)
+        if name in VERSIONED and name != "dataset":
+            current = self._raw("dataset").select(*KEY, VERSION)  # one row a collection
+            rows = rows.join(broadcast_if_small(current), [*KEY, VERSION], "left_semi")
+        return rows.select(*CONTRACTS[name].columns)
+
+    def _raw(self, name: str) -> DataFrame:
+        """All rows of all versions."""
+        columns = dict(CONTRACTS[name].columns)
+        if name in VERSIONED:
+            columns[VERSION] = "string"
+        schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
         if not self._exists(self.path(name)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name)).select(*contract.columns)
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in CONTRACTS}
 
     def _of(self, name: str, values: dict[str, str]) -> DataFrame:
-        df = self.table(name)
+        return self._rows_of(self.table(name), values)
+
+    @staticmethod
+    def _leaf(partition: Sequence[str], values: dict[str, str]) -> str:
+        return "/".join(f"{k}={values[k]}" for k in partition)
+
+    @staticmethod
+    def _rows_of(df: DataFrame, values: dict[str, str]) -> DataFrame:
         for column, value in values.items():
             df = df.where(F.col(column) == value)
         return df
@@ -112,8 +134,7 @@ class Catalog:
     def _overwrite(self, table: str, df: DataFrame, partition: Sequence[str], values: dict[str, str]) -> None:
         """Replace one partition; an empty replacement removes the partition."""
         if df.isEmpty():
-            leaf = "/".join(f"{k}={values[k]}" for k in partition)
-            self._delete(f"{self.path(table)}/{leaf}")
+            self._delete(f"{self.path(table)}/{self._leaf(partition, values)}")
             return
         for column, value in values.items():
             df = df.withColumn(column, F.lit(value))
@@ -143,13 +164,19 @@ class Catalog:
         staged_terms, folder_a = self._stage(terms)
         staged_genes, folder_b = self._stage(genes.join(staged_terms.select("term_id"), "term_id", "left_semi"))
         try:
-            self._overwrite("term_gene", staged_genes.sortWithinPartitions("term_id", "gene_id"), KEY, values)
-            self._overwrite("term", staged_terms.sortWithinPartitions("term_id", "name"), KEY, values)
+            old = [r[0] for r in self._rows_of(self._raw("dataset"), values).select(VERSION).collect()]  # one row
+            new = {**values, VERSION: uuid.uuid4().hex}
+            place = [*KEY, VERSION]
+            self._overwrite("term_gene", staged_genes.sortWithinPartitions("term_id", "gene_id"), place, new)
+            self._overwrite("term", staged_terms.sortWithinPartitions("term_id", "name"), place, new)
             row = self.spark.range(1).select(
                 F.lit(gene_id_type).alias("gene_id_type"), F.lit(version).alias("version"),
-                F.current_timestamp().alias("downloaded_at"),
+                F.current_timestamp().alias("downloaded_at"), F.lit(new[VERSION]).alias(VERSION),
             )
             self._overwrite("dataset", row, KEY, values)
+            for before in old:
+                for table in ("term", "term_gene"):
+                    self._delete(f"{self.path(table)}/{self._leaf(place, {**values, VERSION: before})}")
         finally:
             self._delete(folder_a)
             self._delete(folder_b)

@@ -9,6 +9,10 @@ from setspan.functions.ids import clean, parse_double
 from setspan.operators.scan import broadcast_if_small
 
 
+# Direction of the hits of a contrast that has none.
+WHOLE = "All"
+
+
 def significant(column: str | None, mode: str = "string", value=None) -> Column:
     """Significance flag of a row; no filter column means every row, unparsable means no."""
     if column is None:
@@ -51,11 +55,18 @@ def with_direction(
 
 
 def directed_hits(de: DataFrame) -> DataFrame:
-    """Distinct (contrast, direction, gene_id) of significant genes that have a direction."""
+    """Distinct (contrast, direction, gene_id) of significant genes that have a direction.
+
+    A contrast without any direction is tested as a whole: its significant genes get ``All``.
+    """
+    hits = de.where("is_sig").select("contrast", "direction", "gene_id").distinct()
+    known = hits.groupBy("contrast").agg(F.count("direction").alias("_directed"))
     return (
-        de.where(F.col("is_sig") & F.col("direction").isNotNull())
+        hits.join(broadcast_if_small(known), "contrast")
+        .withColumn("direction", F.when(F.col("_directed") == 0, WHOLE).otherwise(F.col("direction")))
+        .where(F.col("direction").isNotNull())
+        .drop("_directed")
         .select("contrast", "direction", "gene_id")
-        .distinct()
     )
 
 

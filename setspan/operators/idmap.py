@@ -204,16 +204,18 @@ def apply_conversion(
     """Table with converted gene ids, one row per new id, first source in row order winning.
 
     A new id is significant when any of its sources is. ``hits_only`` converts and keeps only
-    significant rows. Contrasts whose ``report`` row did not pass keep their original ids.
+    significant rows. Contrasts whose ``report`` row did not pass, and those whose ids are of the
+    target type already, keep their ids.
     """
     carried = [c for c in ("value", "direction") if c in de.columns]
     rows = _collapse_genes(de.where("is_sig") if hits_only else de, carried)
     pairs = converted.select(F.col("id").alias("gene_id"), clean("target").alias("_new"))
     moved = rows.join(pairs.where("_new is not null"), "gene_id")
     if report is not None:
-        verdict = broadcast_if_small(report.select("contrast", "passed"))
-        moved = moved.join(verdict, "contrast").where("passed").drop("passed")
-        kept = rows.join(verdict, "contrast").where("not passed").drop("passed")
+        moves = F.col("passed") & ~F.col("input_type").eqNullSafe(F.col("target_type"))
+        verdict = broadcast_if_small(report.select("contrast", moves.alias("_moves")))
+        moved = moved.join(verdict, "contrast").where("_moves").drop("_moves")
+        kept = rows.join(verdict, "contrast").where("not _moves").drop("_moves")
         moved = moved.unionByName(kept.withColumn("_new", F.col("gene_id")))
     return _collapse_genes(moved.drop("gene_id").withColumnRenamed("_new", "gene_id"), carried)
 

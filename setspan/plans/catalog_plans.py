@@ -73,7 +73,7 @@ def load_query(spark: SparkSession, sf: str) -> DataFrame:
         F.col("n_nationkey").cast("string").alias("term_id"), F.col("n_name").alias("name"),
     )
     member = (
-        table(spark, sf, "supplier").where("s_acctbal > 5000")
+        table(spark, sf, "supplier").where("s_acctbal > 0")
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("n_regionkey").cast("string").alias("collection"),
@@ -231,7 +231,7 @@ ORACLES = {
 SELECT DISTINCT collection, term_id, gene_id FROM ov a
 WHERE collection = 'c2' OR NOT EXISTS (SELECT 1 FROM ov b WHERE b.collection = 'c2' AND b.term_id = a.term_id)""",
     "load_sets": """SELECT CAST(n_regionkey AS VARCHAR) AS collection, CAST(n_nationkey AS VARCHAR) AS term_id,
-  n_name AS name, s_name AS gene_id FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000""",
+  n_name AS name, s_name AS gene_id FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0""",
     "fill_names": """SELECT 'path:c' || c_custkey AS term_id,
   CASE WHEN c_acctbal > 0 OR c_custkey % 5 = 4 THEN c_name WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN '-'
     WHEN c_custkey % 5 = 2 THEN 'PATH:C' || c_custkey ELSE 'c' || c_custkey END AS name,

@@ -9,13 +9,30 @@ from setspan.catalog.store import Catalog, CollectionKey
 from setspan.operators.de import directed_hits, table_universe
 from setspan.operators.idmap import lookup_idmap
 from setspan.operators.ora import ora, with_hit_genes
-from setspan.plans.ora_plans import _DIRECTED, _TABLE_U, BOUNDS, ora_sql
-from setspan.plans.tables import PART_TABLE_SQL, part_sets, part_sets_sql, part_table, table
+from setspan.operators.score import rank_genes
+from setspan.plans.ora_plans import _DIRECTED, _TABLE_U, BOUNDS, ROW_SQL, _rounded, ora_sql
+from setspan.plans.tables import (
+    HIT_VALUE,
+    PART_TABLE_SQL,
+    PART_VALUES_SQL,
+    part_sets,
+    part_sets_sql,
+    part_table,
+    stored_values,
+    table,
+)
 from setspan.session import scratch_dir
-from setspan.sinks.files import write_gmt, write_idmap_tsv, write_ora
+from setspan.sinks.files import write_gmt, write_idmap_tsv, write_ora, write_ranked
 from setspan.sources.idmaps import read_idmap_tsv
 from setspan.sources.sets import read_gmt
-from setspan.sources.tables import read_results
+from setspan.sources.tables import (
+    read_de_table,
+    read_de_table_simple,
+    read_gene_list,
+    read_ranked,
+    read_results,
+)
+from setspan.streaming.ora_stream import ora_incremental, read_incremental
 
 KEY = CollectionKey("kegg", "hsa")
 
@@ -75,25 +92,118 @@ def idmap_file_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def result_file_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Test results through the text file; p keeps the three digits the file has."""
+    """Test results of all contrasts and collections through the text file, with its three digits of p."""
     de = part_table(spark, sf)
-    hits, sets = directed_hits(de), part_sets(spark, sf, "brand", "size")
+    hits, sets = directed_hits(de), part_sets(spark, sf)
     tested = with_hit_genes(ora(hits, sets, table_universe(de), q_cutoff=0.9, **BOUNDS), hits, sets)
     folder = scratch_dir(spark)
     write_ora(tested, folder)
     back = read_results(spark, folder)
     return back.select(
-        "direction", "id", "gene_ratio", "bg_ratio", "genes", F.col("overlap").cast("bigint").alias("overlap"),
-        F.round("pvalue", 1).alias("pvalue"),
+        "contrast", "collection", "direction", "id", "gene_ratio", "bg_ratio", "genes",
+        F.col("overlap").cast("bigint").alias("overlap"), "pvalue",
     )
 
 
+def set_file_query(spark: SparkSession, sf: str) -> DataFrame:
+    """All part collections through one set file tree, in lines of at most about 50 genes."""
+    folder = scratch_dir(spark)
+    members = part_sets(spark, sf)
+    term = members.select("collection", "term_id", F.concat(F.lit("set "), "term_id").alias("name")).distinct()
+    write_gmt(term, members, folder, line_genes=50)
+    term, term_gene = read_gmt(spark, folder)
+    return term.select("collection", "term_id", "description").join(term_gene, ["collection", "term_id"])
+
+
+def ranked_file_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The rankings of all contrasts through ranking files, one folder each."""
+    folder = scratch_dir(spark)
+    write_ranked(rank_genes(stored_values(spark, sf)), folder)
+    return read_ranked(spark, folder).where("gene_id <> 'gene'").select("contrast", "gene_id", "value")
+
+
+def _text_files(rows: DataFrame, folder: str, name: str) -> None:
+    """(contrast, line) rows as one folder of text for each contrast."""
+    rows.select("contrast", F.col(name).alias("value")).write.partitionBy("contrast").text(folder)
+
+
+def de_directory_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A differential table per ship year, odd years with their columns in another order."""
+    folder = scratch_dir(spark)
+    values = stored_values(spark, sf).select(
+        "contrast", "gene_id", "value", (F.col("contrast").cast("int") % 2 == 1).alias("odd"),
+        F.when(F.abs("value") >= HIT_VALUE, "TRUE").otherwise("FALSE").alias("flag"),
+    )
+    head = F.when(F.col("odd"), "significant,value,gene").otherwise("gene,value,significant")
+    body = F.when(F.col("odd"), F.concat_ws(",", "flag", "value", "gene_id")).otherwise(
+        F.concat_ws(",", "gene_id", "value", "flag")
+    )
+    lines = values.select("contrast", F.lit(1).alias("k"), body.alias("line")).unionByName(
+        values.select("contrast", "odd").distinct().select("contrast", F.lit(0).alias("k"), head.alias("line"))
+    )
+    # One file a table: the header leads it.
+    spread = lines.repartition("contrast").sortWithinPartitions("contrast", "k")
+    _text_files(spread, folder, "line")
+    return read_de_table(
+        spark, folder, gene_col="gene", value_col="value", filter_col="significant", filter_value="TRUE"
+    ).select("contrast", "gene_id", "value", "is_sig")
+
+
+def de_simple_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Quoted customer names with a comma and balances, by position, one table per segment."""
+    folder = scratch_dir(spark)
+    line = F.concat(F.lit('"'), "c_name", F.lit(', Inc",'), F.col("c_acctbal").cast("string"))
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("contrast"), line.alias("line"))
+    _text_files(rows, folder, "line")
+    return read_de_table_simple(spark, folder).select("contrast", "gene_id", "value")
+
+
+def gene_list_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer names as gene lists, one per segment."""
+    folder = scratch_dir(spark)
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("contrast"), F.col("c_name").alias("line"))
+    _text_files(rows, folder, "line")
+    return read_gene_list(spark, folder).select("contrast", "gene_id", "value")
+
+
+def catalog_replace_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection replaced by another and next to a third: only the last version is read."""
+    catalog = Catalog(spark, scratch_dir(spark))
+    term, term_gene = customer_sets(spark, sf)
+    catalog.replace_sets(KEY, term, term_gene, "ENTREZID", "v1")
+    catalog.replace_sets(CollectionKey("kegg", "mmu"), term, term_gene, "ENTREZID", "v1")
+    late = term.where("description = 'BUILDING'")
+    catalog.replace_sets(KEY, late, term_gene, "ENTREZID", "v2")
+    return catalog.table("term_gene").select("db", "species", "term_id", "gene_id")
+
+
+def incremental_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Contrasts that land in two runs, tested as they come."""
+    landing, out, state = (scratch_dir(spark) for _ in range(3))
+    de = part_table(spark, sf).select("contrast", "gene_id", "value", "direction", "is_sig")
+    for part in ("contrast < '1995'", "contrast >= '1995'"):
+        # One file a contrast.
+        rows = de.where(part).repartition("contrast").withColumn("_folder", F.col("contrast"))
+        rows.write.mode("append").partitionBy("_folder").parquet(landing)
+        ora_incremental(
+            spark, f"{landing}/*", part_sets(spark, sf), out, state, q_cutoff=1.0, **BOUNDS
+        ).awaitTermination()
+    return _rounded(read_incremental(spark, out).drop("batch_id"))
+
+
 QUERIES = {
     "gmt_round_trip": gmt_query,
     "catalog_round_trip": catalog_query,
     "catalog_idmap": catalog_map_query,
     "idmap_file": idmap_file_query,
     "result_file": result_file_query,
+    "set_file": set_file_query,
+    "ranked_file": ranked_file_query,
+    "de_directory": de_directory_query,
+    "de_simple": de_simple_query,
+    "gene_list": gene_list_query,
+    "catalog_replace": catalog_replace_query,
+    "ora_incremental": incremental_query,
 }
 
 ORACLES = {
@@ -106,11 +216,23 @@ FROM customer LEFT JOIN orders ON o_custkey = c_custkey""",
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "idmap_file": """SELECT 'forward' AS kind, upper(c_mktsegment) AS from_id, min(CAST(c_custkey AS VARCHAR)) AS to_id
 FROM customer GROUP BY 2 UNION ALL SELECT 'back', CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer""",
-    "result_file": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED}, {_TABLE_U},
+    "result_file": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)},
 lists AS (SELECT contrast, direction, collection, term_id, string_agg(gene_id, '/' ORDER BY gene_id) AS genes
           FROM h JOIN m USING (gene_id) GROUP BY ALL)
-SELECT direction, term_id AS id, overlap || '/' || n_hits AS gene_ratio, set_size || '/' || n_universe AS bg_ratio,
-  genes, overlap, round(CAST(printf('%.2e', pvalue) AS DOUBLE), 1) AS pvalue
+SELECT contrast, collection, direction, term_id AS id, overlap || '/' || n_hits AS gene_ratio, set_size || '/' || n_universe AS bg_ratio,
+  genes, overlap, CAST(printf('%.2e', pvalue) AS DOUBLE) AS pvalue
 FROM adjusted JOIN lists USING (contrast, direction, collection, term_id) WHERE padj <= 0.9""",
+    "set_file": f"""WITH {part_sets_sql()}
+SELECT DISTINCT collection, term_id, 'set ' || term_id AS description, gene_id FROM part_sets""",
+    "ranked_file": f"WITH {PART_VALUES_SQL} SELECT contrast, gene_id, value FROM part_values",
+    "de_directory": f"""WITH {PART_VALUES_SQL}
+SELECT contrast, gene_id, value, abs(value) >= 30 AS is_sig FROM part_values""",
+    "de_simple": """SELECT c_mktsegment AS contrast, c_name || ', Inc' AS gene_id, c_acctbal AS value FROM customer""",
+    "gene_list": "SELECT c_mktsegment AS contrast, c_name AS gene_id, 1.0::DOUBLE AS value FROM customer",
+    "catalog_replace": """SELECT 'kegg' AS db, species, CAST(c_custkey AS VARCHAR) AS term_id, CAST(o_orderkey AS VARCHAR) AS gene_id
+FROM customer JOIN orders ON o_custkey = c_custkey, (VALUES ('hsa'), ('mmu')) s(species)
+WHERE species = 'mmu' OR c_mktsegment = 'BUILDING'""",
+    "ora_incremental": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
+{ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)} SELECT {ROW_SQL} FROM adjusted""",
 }

@@ -168,6 +168,23 @@ def apply_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def apply_same_type_query(spark: SparkSession, sf: str) -> DataFrame:
+    """By a report: urgent orders are of the target type already, low ones failed; both keep their ids."""
+    nations = table(spark, sf, "customer").join(
+        table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    ).select(F.col("c_custkey").cast("string").alias("id"), F.col("n_name").alias("target"))
+    orders = _order_table(spark, sf)
+    report = orders.select("contrast").distinct().select(
+        "contrast",
+        F.when(F.col("contrast").startswith("1"), "SYMBOL").otherwise("ENTREZID").alias("input_type"),
+        F.lit("SYMBOL").alias("target_type"),
+        (~F.col("contrast").startswith("5")).alias("passed"),
+    )
+    return im.apply_conversion(orders, nations, report).select(
+        "contrast", "gene_id", "value", "direction", "row_no", "is_sig"
+    )
+
+
 def rates_query(spark: SparkSession, sf: str) -> DataFrame:
     known = _solvent_pairs(spark, sf).select(F.col("id").alias("from_id"))
     rates = im.distinct_rates(_order_table(spark, sf), known, 0.9)
@@ -210,7 +227,7 @@ def collapse_query(rule: str):
 def display_query(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap genes of surviving sets shown as part names; small parts have a pair name."""
     de = part_table(spark, sf)
-    hits, sets = directed_hits(de), part_sets(spark, sf, "brand", "size")
+    hits, sets = directed_hits(de), part_sets(spark, sf)
     result = ora(hits, sets, table_universe(de), q_cutoff=0.9, **BOUNDS)
     listed = with_hit_genes(result, hits, sets)
     p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_size", "p_type", "p_name")
@@ -267,6 +284,7 @@ QUERIES = {
     "idmap_layer_hits": layer_hits_query,
     "conversion_report": report_query,
     "apply_conversion": apply_query,
+    "apply_conversion_same_type": apply_same_type_query,
     "conversion_rates": rates_query,
     "mappable_rows": mappable_query,
     "unique_ids": unique_query,
@@ -310,6 +328,12 @@ SELECT contrast, total, mapped, total - mapped AS unmapped, round(mapped / total
 SELECT contrast, n_name AS gene_id, arg_min(value, row_no) AS value,
   arg_min({{'d': direction}}, row_no).d AS direction, min(row_no) AS row_no, bool_or(is_sig) AS is_sig
 FROM ord JOIN customer ON gene_id = CAST(c_custkey AS VARCHAR) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
+    "apply_conversion_same_type": f"""WITH {ORDER_SQL}
+SELECT contrast, CASE WHEN contrast[1] IN ('1', '5') THEN gene_id ELSE n_name END AS gene_id,
+  arg_min(value, row_no) AS value, arg_min({{'d': direction}}, row_no).d AS direction, min(row_no) AS row_no,
+  bool_or(is_sig) AS is_sig
+FROM ord LEFT JOIN customer ON gene_id = CAST(c_custkey AS VARCHAR) LEFT JOIN nation ON c_nationkey = n_nationkey
+GROUP BY 1, 2""",
     "conversion_rates": f"""WITH {ORDER_SQL}, {SOLVENT_SQL},
 d AS (SELECT contrast, gene_id, bool_or(is_sig) AS s, any_value(target) IS NOT NULL AS hit
   FROM ord LEFT JOIN solvent ON id = gene_id GROUP BY 1, 2),
@@ -324,7 +348,7 @@ UNION SELECT DISTINCT 'roles', role FROM conversations WHERE role <> 'user'""",
     "collapse_first": f"WITH {REPEATS_SQL} SELECT contrast, gene_id, arg_min(value, (row_no, value)) AS value, min(row_no) AS row_no FROM rep GROUP BY 1, 2",
     "collapse_last": f"WITH {REPEATS_SQL} SELECT contrast, gene_id, arg_max(value, (row_no, value)) AS value, max(row_no) AS row_no FROM rep GROUP BY 1, 2",
     "collapse_max_abs": f"WITH {REPEATS_SQL} SELECT contrast, gene_id, arg_max(value, (abs(value), value)) AS value FROM rep GROUP BY 1, 2",
-    "display_genes": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED}, {_TABLE_U},
+    "display_genes": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)},
 shown AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id, CASE WHEN p_size <= 10 THEN 'pair-' || p_partkey
   WHEN p_type NOT LIKE 'STANDARD%' THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS s FROM part)

@@ -53,7 +53,7 @@ def ora_by_direction(spark: SparkSession, sf: str) -> DataFrame:
     de = part_table(spark, sf)
     result = ora(
         de_ops.directed_hits(de),
-        part_sets(spark, sf, "brand", "size"),
+        part_sets(spark, sf),
         de_ops.table_universe(de),
         q_cutoff=1.0,
         **BOUNDS,
@@ -61,10 +61,20 @@ def ora_by_direction(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(with_ratios(result))
 
 
+def ora_undirected(spark: SparkSession, sf: str) -> DataFrame:
+    """Even years come without directions and are tested as a whole, odd years in both directions."""
+    even = F.col("contrast").cast("int") % 2 == 0
+    de = part_table(spark, sf).withColumn("direction", F.when(~even, F.col("direction")))
+    result = ora(
+        de_ops.directed_hits(de), part_sets(spark, sf), de_ops.table_universe(de), q_cutoff=1.0, **BOUNDS
+    )
+    return _rounded(result)
+
+
 def ora_gene_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Late gene lists: only for rows that pass the filter, joined to text."""
     de = part_table(spark, sf)
-    hits, sets = de_ops.directed_hits(de), part_sets(spark, sf, "brand", "size")
+    hits, sets = de_ops.directed_hits(de), part_sets(spark, sf)
     result = ora(hits, sets, de_ops.table_universe(de), q_cutoff=0.9, **BOUNDS)
     listed = with_hit_genes(result, hits, sets)
     return _rounded(listed).withColumn("genes", F.array_join("genes", "/"))
@@ -73,7 +83,7 @@ def ora_gene_lists(spark: SparkSession, sf: str) -> DataFrame:
 def ora_default_background(spark: SparkSession, sf: str) -> DataFrame:
     """No universe given: all set genes united with the hits."""
     hits = de_ops.directed_hits(part_table(spark, sf))
-    sets = part_sets(spark, sf, "brand", "size")
+    sets = part_sets(spark, sf)
     return _rounded(ora(hits, sets, de_ops.default_universe(hits, sets), q_cutoff=1.0, **BOUNDS))
 
 
@@ -83,7 +93,7 @@ def ora_annotated_universe(spark: SparkSession, sf: str) -> DataFrame:
     dear = table(spark, sf, "part").where("p_retailprice >= 950").select(
         F.col("p_partkey").cast("string").alias("gene_id")
     )
-    sets = part_sets(spark, sf, "brand", "size").join(dear, "gene_id", "left_semi")
+    sets = part_sets(spark, sf).join(dear, "gene_id", "left_semi")
     hits = de_ops.restrict_hits(de_ops.directed_hits(de), gene_vocabulary(sets))
     return _rounded(
         ora(hits, sets, de_ops.annotated_universe(sets), q_cutoff=1.0, min_size=2, max_size=1000)
@@ -98,7 +108,7 @@ def ora_restricted_universe(spark: SparkSession, sf: str) -> DataFrame:
     )
     hits = de_ops.restrict_hits(de_ops.directed_hits(de), listed)
     size = listed.agg(F.countDistinct("gene_id")).scalar()
-    sets = part_sets(spark, sf, "brand", "size")
+    sets = part_sets(spark, sf)
     universe = sets.select("collection").distinct().withColumn("n_universe", size)
     return _rounded(
         ora(hits, sets, universe, q_cutoff=1.0, universe_genes=listed, min_size=2, max_size=1000)
@@ -218,6 +228,7 @@ _TABLE_U = "u AS (SELECT contrast, count(DISTINCT gene_id) AS n_universe FROM pa
 QUERIES = {
     "ora_by_year": ora_by_year,
     "ora_by_direction": ora_by_direction,
+    "ora_undirected": ora_undirected,
     "ora_gene_lists": ora_gene_lists,
     "ora_default_background": ora_default_background,
     "ora_annotated_universe": ora_annotated_universe,
@@ -231,17 +242,21 @@ QUERIES = {
 ORACLES = {
     "ora_by_year": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_ALL}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)} SELECT {ROW_SQL} FROM adjusted""",
-    "ora_by_direction": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED}, {_TABLE_U},
+    "ora_by_direction": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)}
 SELECT {ROW_SQL}, overlap || '/' || n_hits AS gene_ratio, set_size || '/' || n_universe AS bg_ratio
 FROM adjusted""",
-    "ora_gene_lists": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED}, {_TABLE_U},
+    "ora_undirected": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_TABLE_U},
+hits AS (SELECT contrast, CASE WHEN contrast::INT % 2 = 0 THEN 'All' ELSE direction END AS direction, gene_id
+         FROM part_table WHERE is_sig),
+{ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)} SELECT {ROW_SQL} FROM adjusted""",
+    "ora_gene_lists": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)},
 lists AS (SELECT contrast, direction, collection, term_id, string_agg(gene_id, '/' ORDER BY gene_id) AS genes
           FROM h JOIN m USING (gene_id) GROUP BY ALL)
 SELECT {ROW_SQL}, genes FROM adjusted JOIN lists USING (contrast, direction, collection, term_id)
 WHERE padj <= 0.9""",
-    "ora_default_background": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED},
+    "ora_default_background": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED},
 u AS (SELECT contrast, direction, collection, count(*) AS n_universe FROM (
   SELECT contrast, direction, collection, s.gene_id
   FROM (SELECT DISTINCT contrast, direction FROM hits), part_sets s
@@ -249,12 +264,12 @@ u AS (SELECT contrast, direction, collection, count(*) AS n_universe FROM (
   FROM hits, (SELECT DISTINCT collection FROM part_sets)) GROUP BY ALL),
 {ora_sql('hits', 'part_sets', 'u', 'contrast, direction, collection', 4, 1000)}
 SELECT {ROW_SQL} FROM adjusted""",
-    "ora_annotated_universe": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED},
+    "ora_annotated_universe": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED},
 rs AS (SELECT * FROM part_sets WHERE gene_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_retailprice >= 950)),
 u AS (SELECT collection, count(DISTINCT gene_id) AS n_universe FROM rs GROUP BY 1),
 rh AS (SELECT * FROM hits WHERE gene_id IN (SELECT gene_id FROM rs)),
 {ora_sql('rh', 'rs', 'u', 'collection', 2, 1000)} SELECT {ROW_SQL} FROM adjusted""",
-    "ora_restricted_universe": f"""WITH {PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_DIRECTED},
+    "ora_restricted_universe": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED},
 listed AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id FROM part WHERE p_retailprice >= 950),
 u AS (SELECT count(DISTINCT gene_id) AS n_universe, collection FROM listed,
       (SELECT DISTINCT collection FROM part_sets) GROUP BY collection),

@@ -33,7 +33,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     """Rounded test results of all years, written once because comparisons read them often."""
     de = part_table(spark, sf)
     tested = ora(
-        _all_hits(de), part_sets(spark, sf, "brand", "size"), table_universe(de), q_cutoff=1.0, **BOUNDS
+        _all_hits(de), part_sets(spark, sf), table_universe(de), q_cutoff=1.0, **BOUNDS
     )
     rounded = with_ratios(tested).select(
         F.lit("ora").alias("analysis"), F.col("collection").alias("db"), "contrast",
@@ -101,7 +101,7 @@ def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     """Both sides with p up to 0.5, side a unfiltered, and set sizes with overlaps."""
     a, b = sides(spark, sf)
     ranked = cut_lineage(rank_genes(part_table(spark, sf).select("contrast", "gene_id", "value")))
-    scores = enrichment_scores(ranked, part_sets(spark, sf, "brand", "size"), 1, 1000)
+    scores = enrichment_scores(ranked, part_sets(spark, sf), 1, 1000)
     counts = scores.select(
         F.lit("ora").alias("analysis"), F.col("collection").alias("db"), "contrast",
         F.col("term_id").alias("id"), F.col("set_size"), F.col("set_size").alias("overlap_size"),
@@ -155,7 +155,7 @@ def standard_query(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- SQL of the same ---------------------------------------------------------------------------
 
-RESULTS_SQL = f"""{PART_TABLE_SQL}, {part_sets_sql('brand', 'size')}, {_ALL}, {_TABLE_U},
+RESULTS_SQL = f"""{PART_TABLE_SQL}, {part_sets_sql()}, {_ALL}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)},
 r AS (SELECT 'ora' AS analysis, collection AS db, contrast, term_id AS id, round(pvalue, 6) AS pvalue,
   round(padj, 6) AS padj, round(padj, 6) AS qvalue, overlap, n_hits, set_size, n_universe FROM adjusted),

@@ -9,15 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setspan.operators.gsea import gsea_order
+from setspan.operators.ora import ora_order
+
 FORMATS = ("tsv", "csv", "json")
-# Most genes one text line may list; larger sets belong in the long Parquet form.
-LINE_GENES = 1_000_000
+
+# Keys of results, written first where the rows have them.
+KEYS = {"contrast": "Contrast", "collection": "Collection"}
 
 
 def _text(column: str, df: DataFrame) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")) if column in df.columns else F.lit("")
 
 
+def _keys(df: DataFrame) -> list[str]:
+    return [k for k in KEYS if k in df.columns]
+
+
 def _scientific(column: str) -> Column:
     return F.format_string("%.2e", F.col(column))
 
@@ -33,11 +41,12 @@ def _write(df: DataFrame, path: str, fmt: str) -> None:
 
 
 def ora_table(df: DataFrame, numbers_as_text: bool = True) -> DataFrame:
-    """The columns of the over-representation file; Up before Down, then p, then id."""
+    """The keys and columns of the over-representation file; Up before Down, then p, then id."""
     p = _scientific if numbers_as_text else F.col
     genes = F.array_join("genes", "/") if numbers_as_text else F.col("genes")
-    ordered = df.orderBy(F.col("direction").desc(), F.col("pvalue").asc(), F.col("term_id").asc())
-    return ordered.select(
+    keys = _keys(df)
+    return df.orderBy(*keys, *ora_order()).select(
+        *[F.col(k).alias(KEYS[k]) for k in keys],
         F.col("direction").alias("Direction"), F.col("term_id").alias("ID"), _text("name", df).alias("Name"),
         F.concat_ws("/", "overlap", "n_hits").alias("GeneRatio"),
         F.concat_ws("/", "set_size", "n_universe").alias("BgRatio"),
@@ -47,12 +56,13 @@ def ora_table(df: DataFrame, numbers_as_text: bool = True) -> DataFrame:
 
 
 def gsea_table(df: DataFrame, numbers_as_text: bool = True) -> DataFrame:
-    """The columns of the ranked-enrichment file, by adjusted p, p and id."""
+    """The keys and columns of the ranked-enrichment file, by adjusted p, p and id."""
     p = _scientific if numbers_as_text else F.col
     four = (lambda c: F.format_string("%.4f", F.col(c))) if numbers_as_text else F.col
     genes = F.array_join("lead_genes", "/") if numbers_as_text else F.col("lead_genes")
-    ordered = df.orderBy("padj", "pvalue", "term_id")
-    return ordered.select(
+    keys = _keys(df)
+    return df.orderBy(*keys, *gsea_order()).select(
+        *[F.col(k).alias(KEYS[k]) for k in keys],
         F.col("term_id").alias("ID"), _text("name", df).alias("Name"), four("nes").alias("NES"),
         p("pvalue").alias("PValue"), p("padj").alias("PAdjust"), p("qvalue").alias("QValue"),
         four("es").alias("EnrichmentScore"), genes.alias("LeadGenes"),
@@ -76,32 +86,44 @@ def significant_digits(column: str, digits: int = 15) -> Column:
 
 
 def write_ranked(ranked: DataFrame, path: str) -> None:
-    """gene and rank value in rank order."""
-    rows = ranked.orderBy("contrast", "rank").select("gene_id", significant_digits("value").alias("value"))
-    rows.select(F.col("gene_id").alias("gene"), F.col("value").alias("rank")).write.mode("overwrite").csv(
-        path, sep="\t", header=True
+    """gene and rank value in rank order, one folder ``contrast=...`` for each ranking."""
+    rows = ranked.orderBy("contrast", "rank").select(
+        "contrast", F.col("gene_id").alias("gene"), significant_digits("value").alias("rank")
     )
+    rows.write.mode("overwrite").partitionBy("contrast").csv(path, sep="\t", header=True)
 
 
-def gmt_lines(term: DataFrame, term_gene: DataFrame, keep_empty: bool = True) -> DataFrame:
-    """(value): id, name and sorted genes by tab; ``keep_empty=False`` leaves out sets without genes.
+def gmt_lines(
+    term: DataFrame, term_gene: DataFrame, keep_empty: bool = True, line_genes: int | None = None
+) -> DataFrame:
+    """(collection, value): id, name and sorted genes by tab; ``keep_empty=False`` leaves out sets without genes.
 
-    A set too long for a line is an error, raised before any gene list is built for it.
+    With ``line_genes`` a set of more genes takes several lines of the same id and name, dealt by a
+    hash of the gene; readers unite them.
     """
     rows = ["collection", "term_id"]
     members = term_gene.select(*rows, "gene_id").distinct()
-    sizes = members.groupBy(*rows).agg(F.count(F.lit(1)).alias("_n"))
-    too_long = sizes.where(F.col("_n") > LINE_GENES).limit(1).collect()
-    if too_long:
-        raise ValueError(f"set {too_long[0]['term_id']} has {too_long[0]['_n']} genes; write Parquet instead")
-    lists = members.groupBy(*rows).agg(F.array_sort(F.collect_list("gene_id")).alias("genes"))
+    part = F.lit(0).cast("bigint")
+    if line_genes:
+        sizes = members.groupBy(*rows).agg(F.count(F.lit(1)).alias("_n"))
+        members = members.join(sizes, rows)
+        part = F.pmod(F.xxhash64("gene_id"), F.ceil(F.col("_n") / line_genes))
+    lists = members.groupBy(*rows, part.alias("_part")).agg(
+        F.array_sort(F.collect_list("gene_id")).alias("genes")
+    )
     joined = term.join(lists, rows, "left" if keep_empty else "inner")
     genes = F.coalesce(F.array_join("genes", "\t"), F.lit(""))
-    return joined.orderBy(*rows).select(F.concat_ws("\t", "term_id", "name", genes).alias("value"))
+    return joined.orderBy(*rows, "_part").select(
+        "collection", F.concat_ws("\t", "term_id", "name", genes).alias("value")
+    )
 
 
-def write_gmt(term: DataFrame, term_gene: DataFrame, path: str, keep_empty: bool = True) -> None:
-    gmt_lines(term, term_gene, keep_empty).write.mode("overwrite").text(path)
+def write_gmt(
+    term: DataFrame, term_gene: DataFrame, path: str, keep_empty: bool = True, line_genes: int | None = None
+) -> None:
+    """One folder ``collection=...`` for each collection."""
+    lines = gmt_lines(term, term_gene, keep_empty, line_genes)
+    lines.write.mode("overwrite").partitionBy("collection").text(path)
 
 
 def write_idmap_tsv(pairs: DataFrame, path: str) -> None:

@@ -36,6 +36,17 @@ def read_lines(
     return rows.hint("rebalance") if spread else rows
 
 
+def folder_key(name: str) -> Column:
+    """The value of a partition folder ``name=value`` on the file's path, or null."""
+
+    def decoded(text: Column) -> Column:
+        return F.url_decode(F.regexp_replace(text, r"\+", "%2B"))
+
+    found = F.regexp_extract("pos.file", f"/{name}=([^/]+)/", 1)
+    # Encoded by the writer of the folder, and again in the path's own form.
+    return F.when(found != "", decoded(decoded(found)))
+
+
 def with_fields(lines: DataFrame, pattern: str = "\t") -> DataFrame:
     return lines.withColumn("f", F.split("line", pattern, -1))
 

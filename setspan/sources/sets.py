@@ -15,7 +15,7 @@ from setspan.functions.ids import (
     normalize_set_id,
 )
 from setspan.sources.idmaps import read_gene_info
-from setspan.sources.lines import field, first_wins, read_lines, with_fields
+from setspan.sources.lines import field, first_wins, folder_key, read_lines, with_fields
 
 Paths = str | Sequence[str]
 
@@ -40,9 +40,13 @@ def _terms_and_genes(
 
 
 def read_gmt(spark: SparkSession, paths: Paths, collection: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """GMT: id, description or NA, genes. The collection is given or the file name's stem."""
+    """GMT: id, description or NA, genes.
+
+    The collection is given, or the key of the partition folder, or the file name's stem.
+    """
     rows = with_fields(read_lines(spark, paths)).where(F.size("f") >= 3)
-    label = F.lit(collection) if collection else F.regexp_replace("file_name", r"\.gmt(\.gz)?\z", "")
+    stem = F.regexp_replace("file_name", r"\.gmt(\.gz)?\z", "")
+    label = F.lit(collection) if collection else F.coalesce(folder_key("collection"), stem)
     description = F.when(field(1) != "NA", field(1)).otherwise("")
     return _terms_and_genes(rows, label, field(0), field(0), description, F.slice("f", 3, F.size("f") - 2))
 

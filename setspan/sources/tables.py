@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from setspan.functions.ids import clean, parse_double
 from setspan.operators.de import significant
-from setspan.sources.lines import field, position, read_lines, with_fields
+from setspan.operators.scan import broadcast_if_small
+from setspan.session import cut_lineage
+from setspan.sources.lines import field, folder_key, read_lines, with_fields
 
 Paths = str | Sequence[str]
 DEFAULT_VALUE = 1.0
@@ -19,6 +21,8 @@ HEADER_WORDS = ("gene", "log", "fold", "pvalue", "padj", "fdr")
 
 # Spellings of result columns.
 RESULT_COLUMNS = {
+    "Contrast": "contrast",
+    "Collection": "collection",
     "ID": "id",
     "Name": "name",
     "Description": "description",
@@ -45,19 +49,28 @@ def contrast_name() -> Column:
     return F.regexp_replace("_metadata.file_name", r"(\.[A-Za-z]{2,4})?(\.gz)?\z", "")
 
 
-def _pick(columns: Sequence[str], wanted: str | None, default: int | None, what: str) -> str | None:
-    if wanted:
-        for c in columns:
-            if c.strip() == wanted:
-                return c
-        raise ValueError(f"{what} column {wanted!r} not found in header")
-    if default is not None and default < len(columns):
-        return columns[default]
-    return None
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _quoted(name: str | None) -> Column | None:
-    return None if name is None else F.col("`" + name.replace("`", "``") + "`")
+def _stem() -> Column:
+    """Contrast named by the key of a partition folder, else by the file name without extensions."""
+    stem = F.regexp_replace("file_name", r"(\.[A-Za-z]{2,4})?(\.gz)?\z", "")
+    return F.coalesce(folder_key("contrast"), stem)
+
+
+def _csv_fields(rows: DataFrame, sep: str) -> DataFrame:
+    """Add ``f``: the fields of ``line``, with quotes and escapes read as a CSV reader reads them."""
+    pieces = F.size(F.split("line", "\\Q" + sep + "\\E", -1))
+    width = rows.agg(F.max(pieces)).first()[0] or 1  # one number
+    names = [f"c{i}" for i in range(width)]
+    parsed = F.from_csv("line", ", ".join(f"{n} string" for n in names), {"sep": sep})
+    return rows.withColumn("_csv", parsed).withColumn("f", F.array(*[F.col(f"_csv.{n}") for n in names])).drop("_csv")
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """(file_path, _first): the place of each file's first row."""
+    return rows.groupBy(F.col("pos.file").alias("_file")).agg(F.min("pos").alias("_first"))
 
 
 def read_de_table(
@@ -70,33 +83,50 @@ def read_de_table(
     filter_mode: str = "string",
     filter_value=None,
     direction_col: str | None = None,
-    multi_line: bool = False,
 ) -> DataFrame:
     """(contrast, row_no, gene_id, value, direction, is_sig), one contrast per file.
 
-    Columns are found by header name; the gene defaults to the first and the value to the
-    second. A named gene, value or filter column that is missing is an error, a missing
-    direction column is not. Files read together share one header. Unparsable values are 1.0.
+    Each file's own header names its columns, in any order; the gene defaults to the first and the
+    value to the second. A named gene, value or filter column that some file lacks is an error, a
+    missing direction column is not. Unparsable values are 1.0. Fields may be quoted, but a quoted
+    field ends on its line.
     """
-    raw = spark.read.option("multiLine", str(multi_line).lower()).csv(
-        paths if isinstance(paths, str) else list(paths), sep=sep, header=True, inferSchema=False
+    lines = read_lines(spark, paths).where(clean("line").isNotNull())
+    rows = _csv_fields(lines, sep)
+    first = rows.join(_first_rows(lines), F.col("pos") == F.col("_first"))
+    names = F.transform("f", lambda x: F.trim(F.coalesce(x, F.lit(""))))
+
+    def place(wanted: str | None, default: int | None) -> Column:
+        """1-based place of a column in the file's header, 0 if it is not there."""
+        if wanted:
+            return F.array_position(names, F.lit(wanted))
+        return F.lit(0 if default is None else default)
+
+    # One row a file.
+    headers = cut_lineage(
+        first.select(
+            "_file", "_first", place(gene_col, 1).alias("_gene"), place(value_col, 2).alias("_value"),
+            place(filter_col, None).alias("_filter"), place(direction_col, None).alias("_direction"),
+        )
     )
-    columns = raw.columns
-    gene = _pick(columns, gene_col, 0, "gene")
-    value = _pick(columns, value_col, 1, "value")
-    flag = _pick(columns, filter_col, None, "filter")
-    direction = next((c for c in columns if direction_col and c.strip() == direction_col), None)
-    number = F.lit(DEFAULT_VALUE) if value is None else F.coalesce(parse_double(_quoted(value)), F.lit(DEFAULT_VALUE))
-    rows = raw.select(
-        contrast_name().alias("contrast"),
-        position().alias("row_no"),
-        clean(_quoted(gene)).alias("gene_id"),
-        number.alias("value"),
-        (F.lit(None).cast("string") if direction is None else F.trim(_quoted(direction))).alias("direction"),
-        (F.lit(None).cast("string") if flag is None else _quoted(flag)).alias("_flag"),
+    for what, wanted in (("gene", gene_col), ("value", value_col), ("filter", filter_col)):
+        if wanted and not headers.where(F.col(f"_{what}") == 0).isEmpty():
+            raise ValueError(f"{what} column {wanted!r} not found in header")
+
+    def at(place: str) -> Column:
+        return F.when(F.col(place) > 0, F.get("f", (F.col(place) - 1).cast("int")))
+
+    found = rows.join(broadcast_if_small(headers), F.col("pos.file") == F.col("_file")).where("pos <> _first")
+    tables = found.select(
+        _stem().alias("contrast"),
+        F.col("pos").alias("row_no"),
+        clean(at("_gene")).alias("gene_id"),
+        F.coalesce(parse_double(at("_value")), F.lit(DEFAULT_VALUE)).alias("value"),
+        F.trim(at("_direction")).alias("direction"),
+        at("_filter").alias("_flag"),
     ).where("gene_id is not null")
-    passes = significant(None if flag is None else "_flag", filter_mode, filter_value)
-    return rows.withColumn("is_sig", passes).drop("_flag")
+    passes = significant("_flag" if filter_col else None, filter_mode, filter_value)
+    return tables.withColumn("is_sig", passes).drop("_flag")
 
 
 def read_de_directory(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -106,23 +136,22 @@ def read_de_directory(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def read_de_table_simple(spark: SparkSession, paths: Paths, sep: str = ",", has_header: bool = True) -> DataFrame:
     """Positional gene and value; a file's first row is dropped when it reads like a header."""
-    rows = with_fields(read_lines(spark, paths), "\\Q" + sep + "\\E").where(clean("line").isNotNull())
+    lines = read_lines(spark, paths).where(clean("line").isNotNull())
+    rows = _csv_fields(lines, sep)
     if has_header:
-        top = rows.groupBy("file_name", F.col("pos.file").alias("_file")).agg(F.min("pos").alias("_first"))
         text = F.lower("line")
         worded = F.lit(False)
         for word in HEADER_WORDS:
             worded = worded | text.contains(word)
-        rows = rows.join(top.select("_first"), F.col("pos") == F.col("_first"), "left")
+        rows = rows.join(_first_rows(lines).select("_first"), F.col("pos") == F.col("_first"), "left")
         rows = rows.where(F.col("_first").isNull() | ~worded)
-    strip = r'^"|"\z'
     return (
-        rows.where(F.size("f") >= 2)
+        rows.where(F.size(F.split("line", "\\Q" + sep + "\\E", -1)) >= 2)
         .select(
-            F.regexp_replace("file_name", r"(\.[A-Za-z]{2,4})?(\.gz)?\z", "").alias("contrast"),
+            _stem().alias("contrast"),
             F.col("pos").alias("row_no"),
-            clean(F.regexp_replace(F.trim(field(0)), strip, "")).alias("gene_id"),
-            F.coalesce(parse_double(F.regexp_replace(F.trim(field(1)), strip, "")), F.lit(DEFAULT_VALUE)).alias("value"),
+            clean(field(0)).alias("gene_id"),
+            F.coalesce(parse_double(F.trim(field(1))), F.lit(DEFAULT_VALUE)).alias("value"),
         )
         .where("gene_id is not null")
     )
@@ -136,7 +165,7 @@ def read_ranked(spark: SparkSession, paths: Paths) -> DataFrame:
     first, second = F.trim(field(0)), F.trim(field(1))
     a, b = parse_double(first), parse_double(second)
     return rows.select(
-        F.regexp_replace("file_name", r"(\.[A-Za-z]{2,4})?(\.gz)?\z", "").alias("contrast"),
+        _stem().alias("contrast"),
         F.col("pos").alias("row_no"),
         clean(F.when(b.isNull() & a.isNotNull() & second.isNotNull(), second).otherwise(first)).alias("gene_id"),
         F.when(second.isNull(), DEFAULT_VALUE).otherwise(F.coalesce(b, a, F.lit(DEFAULT_VALUE))).alias("value"),
@@ -147,13 +176,16 @@ def read_gene_list(spark: SparkSession, paths: Paths) -> DataFrame:
     """One id per line with the default value; blank lines and comments are skipped."""
     rows = read_lines(spark, paths).withColumn("gene_id", clean("line"))
     return rows.where(F.col("gene_id").isNotNull() & ~F.col("gene_id").startswith("#")).select(
-        F.regexp_replace("file_name", r"(\.[A-Za-z]{2,4})?(\.gz)?\z", "").alias("contrast"),
+        _stem().alias("contrast"),
         F.col("pos").alias("row_no"), "gene_id", F.lit(DEFAULT_VALUE).alias("value"),
     )
 
 
 def read_results(spark: SparkSession, paths: Paths, sep: str = "\t") -> DataFrame:
-    """Result tables by header, in any known spelling; NA and blank are null."""
+    """Result tables by header, in any known spelling; NA and blank are null.
+
+    The contrast is a column of the files this library writes, and else the name of the file.
+    """
     raw = spark.read.csv(
         paths if isinstance(paths, str) else list(paths), sep=sep, header=True, inferSchema=False
     )
@@ -163,4 +195,6 @@ def read_results(spark: SparkSession, paths: Paths, sep: str = "\t") -> DataFram
         if name and name not in picked:
             column = _quoted(c)
             picked[name] = parse_double(column) if name in NUMBERS else column
-    return raw.select(contrast_name().alias("contrast"), *[c.alias(n) for n, c in picked.items()])
+    contrast = picked.pop("contrast", None)
+    named = contrast_name() if contrast is None else contrast
+    return raw.select(named.alias("contrast"), *[c.alias(n) for n, c in picked.items()])

@@ -10,11 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 from setspan.operators.de import directed_hits, table_universe
 from setspan.operators.ora import ora
 
+RESULT_SCHEMA = (
+    "direction string, collection string, term_id string, overlap long, n_hits long, set_size long, "
+    "n_universe long, pvalue double, padj double, qvalue double, batch_id long, contrast string"
+)
 DE_SCHEMA = (
     "contrast string, gene_id string, value double, direction string, is_sig boolean"
 )
 
 
+def ledger_path(output_dir: str) -> str:
+    return output_dir.rstrip("/") + "_tested"
+
+
+def read_incremental(spark: SparkSession, output_dir: str) -> DataFrame:
+    """The results so far; contrasts are text, whatever their folders look like."""
+    return spark.read.schema(RESULT_SCHEMA).parquet(output_dir)
+
+
 def ora_incremental(
     spark: SparkSession,
     input_dir: str,
@@ -28,7 +41,9 @@ def ora_incremental(
 
     One Parquet file holds one whole contrast, so a batch needs nothing from other batches.
     Results overwrite their contrast's partition, which makes a replayed batch harmless. A
-    contrast spread over files of one batch, or landing again later, is rejected.
+    contrast spread over files of one batch, or landing again later, is rejected. Tested contrasts
+    stand in a ledger (``ledger_path``), written after the results and one folder a batch, so a
+    contrast without any result is known too and no batch reads earlier results.
     """
     tables = (
         spark.readStream.schema(DE_SCHEMA)
@@ -48,6 +63,8 @@ def ora_incremental(
             result.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic"
             ).partitionBy("contrast").parquet(output_dir)
+            tested = batch.select("contrast").distinct()
+            tested.write.mode("overwrite").parquet(f"{ledger_path(output_dir)}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
@@ -57,12 +74,12 @@ def ora_incremental(
             raise ValueError(f"{why}: " + ", ".join(r["contrast"] for r in bad))
 
     def seen_before(batch: DataFrame, batch_id: int) -> DataFrame:
-        """Contrasts of this batch that another batch has written; a replayed batch is fine."""
+        """Contrasts of this batch that another batch has tested; a replayed batch is fine."""
         try:
-            written = spark.read.parquet(output_dir)
+            ledger = spark.read.schema("contrast string, batch_id long").parquet(ledger_path(output_dir))
         except AnalysisException:  # nothing written yet
             return batch.where(F.lit(False)).select("contrast")
-        other = written.where(F.col("batch_id") != batch_id).select(F.col("contrast").cast("string")).distinct()
+        other = ledger.where(F.col("batch_id") != batch_id).select("contrast")
         return batch.select("contrast").distinct().join(other, "contrast", "left_semi")
 
     return (

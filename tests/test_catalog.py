@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from setspan.catalog.store import CONTRACTS, Catalog, CollectionKey
 from setspan.operators import quality as q
 from setspan.sinks import files
+from setspan.sources.sets import read_gmt
+from setspan.sources.tables import read_ranked, read_results
 
 
 def term_frames(spark, terms, genes):
@@ -141,9 +143,52 @@ def test_ranked_gmt_and_map_files(spark, tmp_path):
     assert lines(spark, str(tmp_path / "i"), True) == ["1\tA", "10\tB"]
 
 
-def test_gmt_refuses_endless_lines(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "LINE_GENES", 1)
-    term = spark.createDataFrame([("k", "s1", "one")], "collection string, term_id string, name string")
-    genes = spark.createDataFrame([("k", "s1", "b"), ("k", "s1", "a")], "collection string, term_id string, gene_id string")
-    with pytest.raises(ValueError, match="s1"):
-        files.write_gmt(term, genes, str(tmp_path / "m"))
+def test_long_sets_take_several_lines(spark, tmp_path):
+    term = spark.createDataFrame([("k", "s1", "one"), ("l", "s1", "other")], "collection string, term_id string, name string")
+    genes = spark.createDataFrame(
+        [("k", "s1", f"g{i}") for i in range(40)] + [("l", "s1", "h")], "collection string, term_id string, gene_id string"
+    )
+    files.write_gmt(term, genes, str(tmp_path / "m"), line_genes=10)
+    text = [r for r in lines(spark, str(tmp_path / "m/collection=k")) if r]
+    assert len(text) > 1 and all(r.startswith("s1\tone\t") for r in text)
+    _, back = read_gmt(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, genes.collect()))
+
+
+def test_result_files_keep_their_keys(spark, tmp_path):
+    rows = [(c, k, "Up", "s1", 1, 5, 10, 100, 0.5, 0.5, 0.5, ["b"]) for c in ("01", "x/y") for k in ("go", "kegg")]
+    df = spark.createDataFrame(
+        rows,
+        "contrast string, collection string, direction string, term_id string, overlap long, n_hits long, set_size long, n_universe long, pvalue double, padj double, qvalue double, genes array<string>",
+    )
+    files.write_ora(df, str(tmp_path / "o"))
+    got = read_results(spark, str(tmp_path / "o")).select("contrast", "collection", "id").collect()
+    assert {tuple(r) for r in got} == {(r[0], r[1], "s1") for r in rows}
+    ranked = spark.createDataFrame([("01", "a", 2.5, 1), ("x/y", "a", 1.5, 1)], "contrast string, gene_id string, value double, rank int")
+    files.write_ranked(ranked, str(tmp_path / "r"))
+    back = read_ranked(spark, str(tmp_path / "r")).where("gene_id <> 'gene'").select("contrast", "gene_id", "value")
+    assert {tuple(r) for r in back.collect()} == {("01", "a", 2.5), ("x/y", "a", 1.5)}
+
+
+def test_failed_replacement_changes_nothing(spark, tmp_path, monkeypatch):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    key = CollectionKey("kegg", "hsa")
+    term = "term_id string, name string, description string"
+    first = spark.createDataFrame([("p1", "one", "d")], term), spark.createDataFrame([("p1", "1")], "term_id string, gene_id string")
+    second = spark.createDataFrame([("p2", "two", "d")], term), spark.createDataFrame([("p2", "2")], "term_id string, gene_id string")
+    catalog.replace_sets(key, *first, "ENTREZID", "v1")
+    whole = Catalog._overwrite
+
+    def fails(self, table, *rest):
+        if table == "dataset":
+            raise RuntimeError("lost")
+        whole(self, table, *rest)
+
+    monkeypatch.setattr(Catalog, "_overwrite", fails)
+    with pytest.raises(RuntimeError):
+        catalog.replace_sets(key, *second, "ENTREZID", "v2")
+    monkeypatch.undo()
+    assert [(r.term_id, r.gene_id) for r in catalog.load(key).collect()] == [("p1", "1")]
+    assert catalog.table("term_gene").count() == 1
+    catalog.replace_sets(key, *second, "ENTREZID", "v2")
+    assert [(r.term_id, r.gene_id) for r in catalog.load(key).collect()] == [("p2", "2")]

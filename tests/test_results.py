@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setspan.operators import concordance as cc
-from setspan.streaming.ora_stream import DE_SCHEMA, ora_incremental
+from setspan.streaming.ora_stream import DE_SCHEMA, ora_incremental, read_incremental
 
 SCHEMA = "analysis string, db string, id string, pvalue double, padj double, qvalue double, nes double"
 
@@ -108,3 +108,21 @@ def test_incremental_rejects_split_contrast(spark, tmp_path):
     land(spark, folder, "c1", [("g1", 3.0)])
     with pytest.raises(Exception, match="several files"):
         ora_incremental(spark, folder, sets, str(tmp_path / "o"), str(tmp_path / "s")).awaitTermination()
+
+
+def test_incremental_ledger(spark, tmp_path):
+    """A contrast without results is known, and an id like 01 stays text."""
+    sets = spark.createDataFrame([("k", "s", "g0")], "collection string, term_id string, gene_id string")
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run():
+        ora_incremental(spark, folder, sets, out, state, min_size=1, q_cutoff=None).awaitTermination()
+
+    land(spark, folder, "none", [("x1", 3.0), ("x2", 0.5)])
+    land(spark, folder, "01", [("g0", 3.0), ("x1", 0.5)])
+    run()
+    assert {r.contrast for r in read_incremental(spark, out).collect()} == {"01"}
+    for again in ("none", "01"):
+        land(spark, folder, again, [("g0", 3.0)])
+        with pytest.raises(Exception, match="already tested"):
+            run()

@@ -213,3 +213,21 @@ def test_first_wins_over_many_splits(spark, tmp_path):
         assert rows(forward, "from_id", "to_id") == sorted((f"SYM{i}", str(i)) for i in range(50))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    put(tmp_path, "a.csv", "gene,logFC,FDR\nA,2.5,0.01\n\"B, b\",-1,0.5\n")
+    put(tmp_path, "b.csv", "FDR,logFC,gene\n0.01,9.5,C\n0.2,-7.0,D\n")
+    df = tables.read_de_directory(
+        spark, str(tmp_path), gene_col="gene", value_col="logFC", filter_col="FDR", filter_mode="numeric_lte", filter_value=0.05
+    )
+    got = {(r.contrast, r.gene_id, r.value, r.is_sig) for r in df.collect()}
+    assert got == {("a", "A", 2.5, True), ("a", "B, b", -1.0, False), ("b", "C", 9.5, True), ("b", "D", -7.0, False)}
+    put(tmp_path, "c.csv", "id,logFC,FDR\nA,1,1\n")
+    with pytest.raises(ValueError, match="gene"):
+        tables.read_de_directory(spark, str(tmp_path), gene_col="gene")
+
+
+def test_simple_table_quotes(spark, tmp_path):
+    df = tables.read_de_table_simple(spark, put(tmp_path, "q.csv", 'Gene,log2FC\n"A,B",2\nC,"3"\n'))
+    assert {(r.gene_id, r.value) for r in df.collect()} == {("A,B", 2.0), ("C", 3.0)}
