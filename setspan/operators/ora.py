@@ -14,15 +14,6 @@ from setspan.operators.scan import GROUP_ROWS, bh_scan, has_hubs, join_hubs
 KEYS = ("contrast", "direction")
 
 
-def set_sizes(term_gene: DataFrame, min_size: int, max_size: int) -> DataFrame:
-    """Full size of every set within the bounds, before any intersection."""
-    return (
-        term_gene.groupBy("collection", "term_id")
-        .agg(F.countDistinct("gene_id").alias("set_size"))
-        .where(F.col("set_size").between(min_size, max_size))
-    )
-
-
 def overlap_counts(
     hits: DataFrame, term_gene: DataFrame, keys: Sequence[str] = KEYS, hubs: bool | None = None
 ) -> DataFrame:
@@ -101,15 +92,23 @@ def ora(
 def with_hit_genes(
     result: DataFrame, hits: DataFrame, term_gene: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Add the sorted overlap genes of surviving rows; a list is never longer than its set."""
+    """Add the sorted overlap genes of surviving rows; a list is never longer than its set.
+
+    Sets without a surviving row leave first; then hits meet members on the gene, as in the test,
+    so members are only repeated for contrasts that hit them.
+    """
     keys = list(keys)
     rows = [*keys, "collection", "term_id"]
-    wanted = result.select(*rows)
-    listed = (
+    survivors = result.select("collection", "term_id").distinct()
+    members = (
         term_gene.select("collection", "term_id", "gene_id")
+        .dropna()
         .distinct()
-        .join(wanted, ["collection", "term_id"])
-        .join(hits.select(*keys, "gene_id").distinct(), [*keys, "gene_id"])
+        .join(survivors, ["collection", "term_id"], "left_semi")
+    )
+    listed = (
+        join_hubs(hits.select(*keys, "gene_id").dropna().distinct(), members, "gene_id", has_hubs(term_gene, "gene_id"))
+        .join(result.select(*rows), rows, "left_semi")
         .groupBy(*rows)
         .agg(F.array_sort(F.collect_list("gene_id")).alias("genes"))
     )

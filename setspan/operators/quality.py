@@ -78,7 +78,7 @@ def check_foreign(
 ) -> DataFrame:
     """Rows whose key is not in the parent; counted per key first so a hot key is one row."""
     keys = df.groupBy(*columns).count()
-    parents = parent.select(*[F.col(p).alias(c) for c, p in zip(columns, parent_columns)]).distinct()
+    parents = parent.select(*[F.col(p).alias(c) for c, p in zip(columns, parent_columns)])
     orphans = keys.join(parents, list(columns), "left_anti").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("n")
     )

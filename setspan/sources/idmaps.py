@@ -142,14 +142,6 @@ def read_uniprot_idmapping(spark: SparkSession, paths: Paths, species: str) -> t
     return _pairs(rows, "accession", "entrez_id"), _pairs(rows, "entrez_id", "accession")
 
 
-def canonical_rows(pairs: DataFrame, species: str, from_type: str, source: str) -> DataFrame:
-    """(from_id, to_id) towards ENTREZID as rows of the canonical map."""
-    return pairs.select(
-        F.lit(species.strip().lower()).alias("species"), F.lit(from_type).alias("from_type"),
-        "from_id", F.col("to_id").alias("entrez_id"), F.lit(source).alias("source"),
-    )
-
-
 def union_directions(to_entrez: DataFrame, from_entrez: DataFrame) -> DataFrame:
     """Both directions of one source as (from_id, to_id) towards ENTREZID, to be written at once.
 
