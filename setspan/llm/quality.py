@@ -111,7 +111,10 @@ def judged(docs: DataFrame, text_col: str = "text", line_rule=line_fails) -> Dat
     repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
     keyed = lambda i, w: F.struct(*hash_pair(*w), i.alias("at"))
     sorted_windows = F.sort_array(_windows("words", "n_words", keyed))
-    placed = hashed.select("*", F.when(repeats, sorted_windows).alias("places")).drop("hashes")
+    # Always true, but not to be moved: a filter on the results stays above this step. Put below it,
+    # it would sort the windows again for each of their elements.
+    here = F.monotonically_increasing_id() >= 0
+    placed = hashed.select("*", F.when(repeats & here, sorted_windows).alias("places")).drop("hashes")
     same = lambda a, b: (a["col1"] == b["col1"]) & (a["col2"] == b["col2"])
     twice = F.filter(
         "places",
