@@ -14,7 +14,8 @@ counts as unseen. So the broadcast has a fixed bound, whatever the corpus.
 A document's evidence is the difference of the two log-likelihoods per position, and the same for
 the part of each position beyond ``CLEAR`` nats, since thousands of tiny differences of ordinary
 words would drown one clear expression in a long text. A logistic fit turns both into the score;
-it uses rows the counts have not seen, at most ``FIT_ROWS`` by hash order.
+it uses rows the counts have not seen, at most ``FIT_ROWS`` by hash order. With fewer than
+``FIT_LEAST`` of them in either class, fixed weights take its place.
 
 Null and empty texts, and texts without letters, have no evidence and get the score of that.
 Repeated rows get the same score; labels with null are not used, of repeated labels the largest.
@@ -37,6 +38,7 @@ DISCOUNT = 0.75
 SYMBOLS = 64  # the uniform model below the shortest grams
 CLEAR = 3.0
 FIT_ROWS = 20_000
+FIT_LEAST = 50
 GRAM_SLOTS = 1_048_573  # primes
 CONTEXT_SLOTS = 262_139
 BLOCK = 1 << 18  # bytes of text worked on at once
@@ -218,12 +220,19 @@ def evidence(texts: list[str | None], model):
 
 
 def features(sums):
-    """Per length, and that times the root of the length: the scale of chance shrinks with it."""
+    """Per length, that times the root of the length (the scale of chance), and the clear sum."""
     import numpy as np
 
     n = np.maximum(sums[:, :1], 1)
     mean = sums[:, 1:] / n
-    return np.concatenate([mean, mean * np.sqrt(n)], 1)
+    return np.concatenate([mean, mean * np.sqrt(n), np.clip(sums[:, 2:], -20, 20)], 1)
+
+
+def default_fit():
+    """Where there are too few rows to fit on: a clear sum above seven nats, one or two expressions, is toxic."""
+    import numpy as np
+
+    return np.zeros(5), np.ones(5), np.array([0, 0, 0, 0, 0.5, -2.5])
 
 
 def fit_logistic(x, y, ridge: float = 0.01, rounds: int = 50):
@@ -281,9 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     sample = labelled.where("fold = 0").orderBy(F.xxhash64("doc"), "doc", "text").limit(FIT_ROWS)
     measured = np.array(sample.select("text", "label").mapInArrow(measure, "n double, a double, b double, label int").toPandas(), float)
     y = measured[:, 3] if len(measured) else np.zeros(0)
-    if len(set(y)) < 2:
-        # Too few rows to fit on: a clear part of a whole expression, some five nats, is toxic.
-        return held, (np.zeros(4), np.ones(4), np.array([0, 0, 0, 4.0, -2.0]))
+    if min((y == 0).sum(), (y == 1).sum()) < FIT_LEAST:
+        return held, default_fit()
     return held, fit_logistic(features(measured[:, :3]), y)
 
 
