@@ -249,6 +249,18 @@ def batch_summary(smoke: DataFrame, formal: DataFrame, key: str = "contrast") ->
     )
 
 
+# The reasons users filter on; {a} and {b} stand for the names of the two sides.
+REASONS = {
+    "small": "filtered_by_minGSSize",
+    "large": "filtered_by_maxGSSize",
+    "shared": "shared",
+    "cutoff": "filtered_by_{a}_padj_cutoff",
+    "sorted_out": "{a}_unfiltered_present_but_filtered_or_sorted_out",
+    "missing": "missing_in_{a}_unfiltered",
+    "only_a": "{b}_not_significant_or_ranking_diff",
+}
+
+
 def diagnose_gsea(
     a: DataFrame,
     b: DataFrame,
@@ -257,10 +269,11 @@ def diagnose_gsea(
     keys: Sequence[str] = KEYS,
     min_size: int = 10,
     max_size: int = 500,
+    sides: tuple[str, str] = ("go", "r"),
 ) -> DataFrame:
     """Why each set of either result is in one, both or neither.
 
-    set_counts: (*keys, id, set_size, overlap_size). ``unfiltered`` is side a before its cutoff.
+    ``sides`` names a and b in the reasons. set_counts: (*keys, id, set_size, overlap_size). ``unfiltered`` is side a before its cutoff.
     """
     keys = list(keys)
     rows = [*keys, "id"]
@@ -277,14 +290,15 @@ def diagnose_gsea(
     overlap = F.coalesce("overlap_size", F.lit(0))
     only_b = F.col("in_b") & ~F.col("in_a")
     loosely = F.coalesce("_loose", F.lit(False))
+    said = {k: v.format(a=sides[0], b=sides[1]) for k, v in REASONS.items()}
     reason = (
-        F.when(overlap < min_size, "filtered_by_min_size")
-        .when(overlap > max_size, "filtered_by_max_size")
-        .when(F.col("in_a") & F.col("in_b"), "shared")
-        .when(only_b & loosely & (F.col("a_unfiltered_padj") > SIGNIFICANT), "filtered_by_padj_cutoff")
-        .when(only_b & loosely, "unfiltered_present_but_filtered_or_sorted_out")
-        .when(only_b, "missing_in_unfiltered")
-        .otherwise("other_not_significant_or_ranking_diff")
+        F.when(overlap < min_size, said["small"])
+        .when(overlap > max_size, said["large"])
+        .when(F.col("in_a") & F.col("in_b"), said["shared"])
+        .when(only_b & loosely & (F.col("a_unfiltered_padj") > SIGNIFICANT), said["cutoff"])
+        .when(only_b & loosely, said["sorted_out"])
+        .when(only_b, said["missing"])
+        .otherwise(said["only_a"])
     )
     category = F.when(F.col("in_a") & F.col("in_b"), "shared").when(F.col("in_a"), "a_only").otherwise("b_only")
     return joined.select(

@@ -81,7 +81,8 @@ def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     Written to the checkpoint folder, because a recomputed range partitioning could cut
     elsewhere and every later step must see the same blocks. Equal order keys share a block.
     """
-    blocks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(2, least, -(-df.count() // GROUP_ROWS))
     spread = df.repartitionByRange(blocks, *[F.col(k).asc() for k in keys], *order)
     return cut_lineage(spread.withColumn(BLOCK, F.spark_partition_id()))
 

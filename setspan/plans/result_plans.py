@@ -217,11 +217,11 @@ DETAILS_SQL = f"""{METRICS_SQL},
 c AS (SELECT contrast, collection AS db, term_id AS id, set_size AS overlap_size FROM scored),
 details AS (
   SELECT analysis, db, contrast, id, CASE WHEN in_a AND in_b THEN 'shared' WHEN in_a THEN 'a_only' ELSE 'b_only' END AS category,
-    CASE WHEN coalesce(overlap_size, 0) < 30 THEN 'filtered_by_min_size'
-      WHEN overlap_size > 90 THEN 'filtered_by_max_size' WHEN in_a AND in_b THEN 'shared'
-      WHEN in_b AND NOT in_a AND l.padj > 0.05 THEN 'filtered_by_padj_cutoff'
-      WHEN in_b AND NOT in_a AND l.padj IS NOT NULL THEN 'unfiltered_present_but_filtered_or_sorted_out'
-      WHEN in_b AND NOT in_a THEN 'missing_in_unfiltered' ELSE 'other_not_significant_or_ranking_diff' END AS reason,
+    CASE WHEN coalesce(overlap_size, 0) < 30 THEN 'filtered_by_minGSSize'
+      WHEN overlap_size > 90 THEN 'filtered_by_maxGSSize' WHEN in_a AND in_b THEN 'shared'
+      WHEN in_b AND NOT in_a AND l.padj > 0.05 THEN 'filtered_by_go_padj_cutoff'
+      WHEN in_b AND NOT in_a AND l.padj IS NOT NULL THEN 'go_unfiltered_present_but_filtered_or_sorted_out'
+      WHEN in_b AND NOT in_a THEN 'missing_in_go_unfiltered' ELSE 'r_not_significant_or_ranking_diff' END AS reason,
     coalesce(overlap_size, 0) AS overlap_size, a_pvalue, b_pvalue, a_padj, b_padj, l.padj AS a_unfiltered_padj,
     round(abs(a_padj - b_padj) / greatest(abs(b_padj), 1e-12), 6) AS padj_rel_diff
   FROM (SELECT analysis, db, contrast, id, x.id IS NOT NULL AS in_a, y.id IS NOT NULL AS in_b,

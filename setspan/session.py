@@ -16,6 +16,8 @@ JOB_CONF = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+_scratch_roots: set[str] = set()
+
 
 def build_session(app: str = "setspan", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -44,9 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name next to the checkpoints, for files a job writes and reads back."""
+    """A new folder name next to the checkpoints, for files a job writes and reads back.
+
+    All of an application's lie in one folder that its file system removes when the application
+    ends.
+    """
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    root = f"{sc.getCheckpointDir().rstrip('/')}/scratch-{sc.applicationId}"
+    if root not in _scratch_roots:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch_roots.add(root)
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -54,11 +54,11 @@ def test_diagnosis_reasons(spark):
     counts = spark.createDataFrame([("gsea", "kegg", i, 1000, n) for i, n in sizes], "analysis string, db string, id string, set_size long, overlap_size long")
     details = cc.diagnose_gsea(a, b, counts, loose)
     assert {r.id: r.reason for r in details.collect()} == {
-        "s": "shared", "small": "filtered_by_min_size", "big": "filtered_by_max_size", "cut": "filtered_by_padj_cutoff",
-        "sorted": "unfiltered_present_but_filtered_or_sorted_out", "gone": "missing_in_unfiltered",
-        "only_a": "other_not_significant_or_ranking_diff",
+        "s": "shared", "small": "filtered_by_minGSSize", "big": "filtered_by_maxGSSize", "cut": "filtered_by_go_padj_cutoff",
+        "sorted": "go_unfiltered_present_but_filtered_or_sorted_out", "gone": "missing_in_go_unfiltered",
+        "only_a": "r_not_significant_or_ranking_diff",
     }
-    assert cc.diagnose_gsea(a, b, counts).where("reason = 'missing_in_unfiltered'").count() == 3
+    assert cc.diagnose_gsea(a, b, counts).where("reason = 'missing_in_go_unfiltered'").count() == 3
     assert cc.reason_counts(details).agg(F.sum("sets")).first()[0] == 7
 
 
