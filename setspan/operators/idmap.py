@@ -212,7 +212,9 @@ def apply_conversion(
     pairs = converted.select(F.col("id").alias("gene_id"), clean("target").alias("_new"))
     moved = rows.join(pairs.where("_new is not null"), "gene_id")
     if report is not None:
-        moves = F.col("passed") & ~F.col("input_type").eqNullSafe(F.col("target_type"))
+        moves = F.col("passed")
+        if {"input_type", "target_type"} <= set(report.columns):
+            moves = moves & ~F.col("input_type").eqNullSafe(F.col("target_type"))
         verdict = broadcast_if_small(report.select("contrast", moves.alias("_moves")))
         moved = moved.join(verdict, "contrast").where("_moves").drop("_moves")
         kept = rows.join(verdict, "contrast").where("not _moves").drop("_moves")

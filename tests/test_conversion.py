@@ -105,6 +105,11 @@ def test_apply_first_source_wins(spark):
     report = spark.createDataFrame([("c", True), ("e", False)], "contrast string, passed boolean")
     kept = im.apply_conversion(de, conv, report)
     assert ("e", "a1") in {(r.contrast, r.gene_id) for r in kept.collect()}
+    typed = spark.createDataFrame(
+        [("c", True, "ENTREZID", "SYMBOL"), ("e", True, "SYMBOL", "SYMBOL")],
+        "contrast string, passed boolean, input_type string, target_type string",
+    )
+    assert {(r.contrast, r.gene_id) for r in im.apply_conversion(de, conv, typed).collect()} == {("c", "A"), ("c", "B"), ("e", "a1")}
     hits = im.apply_conversion(de, conv, hits_only=True)
     assert hits.where("contrast = 'c' and gene_id = 'A'").first().value == -7.0
 

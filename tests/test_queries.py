@@ -6,9 +6,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_module
+from setspan.plans import registry
 
 SF = f"{oracle.TESTDATA}/sf0.001"
-ROWS_ONLY = {"gsea_vector_null", "gsea_adaptive", "gsea_shared_nes"}
+ROWS_ONLY = {"gsea_adaptive"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables not present")
 
@@ -19,19 +20,20 @@ def con():
 
 
 def test_registry():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == ROWS_ONLY
-    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+    assert set(registry.QUERIES) - set(registry.ORACLES) == ROWS_ONLY
+    assert set(registry.QUERIES) <= set(entry_module.queries())
+    assert set(registry.ORACLES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
-    query = entry_module.queries()[name]
+    query = registry.QUERIES[name]
     if name in ROWS_ONLY:
         assert query(spark, SF).count() > 0
         return
-    n, message = oracle.compare(spark, con, query, entry_module.oracle_sql()[name], SF)
+    n, message = oracle.compare(spark, con, query, registry.ORACLES[name], SF)
     assert not message, message
