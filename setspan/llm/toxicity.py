@@ -7,9 +7,9 @@ the grams of both: a rare expression that neither class knows says nothing, one
 texts know says much, whatever its ending.
 
 Counts cover every labelled row that may be learned from; they are summed and smoothed as Spark
-tables. What a scoring task holds is one log-ratio per gram in ``GRAM_SLOTS`` slots and one per
-context in ``CONTEXT_SLOTS``; if two grams meet in a slot the more frequent stays, and the other
-counts as unseen. So the broadcast has a fixed bound, whatever the corpus.
+tables. A scoring task holds the log-ratios of the ``HELD`` most frequent grams and contexts, all of
+them if there are no more. Grams beyond those are looked up by joins with the whole tables, once a
+text and gram; both ways give the same evidence, so every gram counts, whatever the corpus.
 
 A document's evidence is the difference of the two log-likelihoods per position, and the same for
 the part of each position beyond ``CLEAR`` nats, since thousands of tiny differences of ordinary
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setspan.llm.common import ship_package, stage
+from setspan.llm.common import hash_pair, ship_package, stage
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -39,8 +39,7 @@ SYMBOLS = 64  # the uniform model below the shortest grams
 CLEAR = 3.0
 FIT_ROWS = 20_000
 FIT_LEAST = 50
-GRAM_SLOTS = 1_048_573  # primes
-CONTEXT_SLOTS = 262_139
+HELD = 1 << 21  # grams, and contexts, in a scoring task
 BLOCK = 1 << 18  # bytes of text worked on at once
 
 FOLDS, HELD_OUT, FIT_PARTS = 3, 1, 5
@@ -173,44 +172,70 @@ def log_ratios(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ratio = F.log(probability("toxic")) - F.log(probability("ordinary"))
     by_gram = out.join(contexts, "context").select(
-        "gram", ratio.alias("ratio"), (F.col("ordinary") + F.col("toxic")).alias("n")
+        "gram", ratio.cast("float").alias("ratio"), (F.col("ordinary") + F.col("toxic")).alias("n")
     )
     by_context = contexts.select(
         F.col("context").alias("gram"),
-        (F.log(backoff("toxic")) - F.log(backoff("ordinary"))).alias("ratio"),
+        (F.log(backoff("toxic")) - F.log(backoff("ordinary"))).cast("float").alias("ratio"),
         (F.col("ordinary_all") + F.col("toxic_all")).alias("n"),
     )
     return by_gram, by_context
 
 
-def slots(ratios: DataFrame, size: int):
-    """(keys, values) arrays of ``size`` slots; of several grams in a slot the most frequent."""
+def slots(ratios: DataFrame, most: int):
+    """(keys, values, other keys, their values) of the ``most`` most frequent grams.
+
+    The first two have a slot per ``gram % len(keys)`` with the most frequent gram of it; the grams
+    it meets there are among the others, which are sorted.
+    """
     import numpy as np
 
-    best = ratios.groupBy((F.col("gram") % size).alias("slot")).agg(
-        F.max_by(F.struct("gram", "ratio"), F.struct("n", "gram")).alias("best")
-    )
-    held = best.select("slot", "best.gram", "best.ratio").toArrow()  # at most ``size`` rows
+    top = ratios.orderBy(F.desc("n"), "gram").limit(most)
+    held = top.select("gram", "ratio", "n").toArrow()  # at most ``most`` rows
+    gram, value = held["gram"].to_numpy().astype(np.uint64), held["ratio"].to_numpy().astype(np.float32)
+    order = np.lexsort((gram, -held["n"].to_numpy()))
+    gram, value = gram[order], value[order]
+    size = 2 * len(gram) + 1
+    slot, first = np.unique(gram % np.uint64(size), return_index=True)
     keys, values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
-    slot = held["slot"].to_numpy()
-    keys[slot], values[slot] = held["gram"].to_numpy(), held["ratio"].to_numpy()
-    return keys, values
+    keys[slot], values[slot] = gram[first], value[first]
+    other = np.delete(np.arange(len(gram)), first)
+    other = other[np.argsort(gram[other])]
+    return keys, values, gram[other], value[other]
+
+
+def look_up(code, table):
+    """(value, found) of each code in a table of ``slots``."""
+    import numpy as np
+
+    keys, values, *others = table
+    slot = code % np.uint64(len(keys))
+    found = keys[slot] == code
+    value = np.where(found, values[slot], np.float32(0))
+    if others and len(others[0]):
+        left = np.flatnonzero(~found)
+        at = np.minimum(np.searchsorted(others[0], code[left]), len(others[0]) - 1)
+        same = others[0][at] == code[left]
+        found[left] = same
+        value[left] = np.where(same, others[1][at], 0)
+    return value, found
 
 
-def evidence(texts: list[str | None], model):
-    """(positions, sum of differences, sum of their clear parts) of each text."""
+def evidence(texts: list[str | None], model, contexts: bool = True):
+    """(positions, sum of differences, sum of their clear parts) of each text.
+
+    Without ``contexts`` grams that are not in the model add nothing.
+    """
     import numpy as np
 
-    (keys, values), (context_keys, context_values) = model
+    by_gram, by_context = model
     out = np.zeros((len(texts), 3))
     for rows, starts, data in blocks(texts):
         code = grams(data)
-        slot = code % np.uint64(len(keys))
-        value = values[slot]
-        unseen = np.flatnonzero(keys[slot] != code)
-        context = code[unseen] >> np.uint64(8)
-        slot = context % np.uint64(len(context_keys))
-        value[unseen] = np.where(context_keys[slot] == context, context_values[slot], 0)
+        value, found = look_up(code, by_gram)
+        if contexts:
+            unseen = np.flatnonzero(~found)
+            value[unseen] = look_up(code[unseen] >> np.uint64(8), by_context)[0]
         value[starts] = 0
         clear = np.sign(value) * np.maximum(np.abs(value) - CLEAR, 0)
         sizes = np.diff([*starts, len(data)]) - 1
@@ -219,6 +244,85 @@ def evidence(texts: list[str | None], model):
     return out
 
 
+class Model:
+    """The log-ratios of ``log_ratios``: the most frequent broadcast, all of them as tables."""
+
+    def __init__(self, counted: DataFrame):
+        ratios = log_ratios(counted)
+        self.whole = counted.count() <= HELD  # there are no more contexts than grams
+        self.ratios = ratios if self.whole else [stage(t) for t in ratios]
+        self.held = counted.sparkSession.sparkContext.broadcast([slots(t, HELD) for t in self.ratios])
+
+    def measure(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with (n, a, b) of ``evidence`` instead of ``text``."""
+        others = [c for c in rows.columns if c != "text"]
+        if self.whole:
+            return self._held(rows, others)
+        t1, t2 = hash_pair(F.coalesce("text", F.lit("")))
+        rows = rows.withColumns({"t1": t1, "t2": t2})
+        known = self._held(rows, [*others, "t1", "t2"])
+        both = known.join(self._joined(rows), ["t1", "t2"], "left")
+        return both.select(
+            *others, "n", *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))).alias(c) for c in ("a", "b")]
+        )
+
+    def _held(self, rows: DataFrame, others: list[str]) -> DataFrame:
+        held, whole = self.held, self.whole
+
+        def work(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                sums = evidence(batch.column(0).to_pylist(), held.value, whole)
+                columns = [batch.column(1 + k) for k in range(len(others))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, *(pa.array(sums[:, k]) for k in range(3))], names=[*others, "n", "a", "b"]
+                )
+
+        fields = [rows.schema[c] for c in others] + [T.StructField(c, T.DoubleType()) for c in ("n", "a", "b")]
+        return rows.select("text", *others).mapInArrow(work, T.StructType(fields))
+
+    def _joined(self, rows: DataFrame) -> DataFrame:
+        """(t1, t2, more_a, more_b): what the grams that are not held add to each different text."""
+        held = self.held
+
+        def work(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                ids = [batch.column(k).to_numpy() for k in (1, 2)]
+                for row, text in enumerate(batch.column(0).to_pylist()):
+                    # Code 0 is no gram: it counts how often the text is there.
+                    found, count = [np.zeros(1, np.uint64)], [np.ones(1, np.int64)]
+                    for _, starts, data in blocks([text]):
+                        code = grams(data)
+                        inside = np.ones(len(data), bool)
+                        inside[starts] = False
+                        code = code[inside]
+                        new, n = np.unique(code[~look_up(code, held.value[0])[1]], return_counts=True)
+                        found.append(new)
+                        count.append(n)
+                    gram, n = np.concatenate(found).astype(np.int64), np.concatenate(count)
+                    columns = [np.full(len(gram), x[row]) for x in ids] + [gram, n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t1", "t2", "gram", "n"])
+
+        by_gram, by_context = self.ratios
+        spread = rows.select("text", "t1", "t2").mapInArrow(work, "t1 long, t2 long, gram long, n long")
+        counts = spread.groupBy("t1", "t2", "gram").agg(F.sum("n").alias("n"))
+        joined = (
+            counts.withColumn("context", _context("gram"))
+            .join(by_gram.select("gram", F.col("ratio").alias("own")), "gram", "left")
+            .join(by_context.select(F.col("gram").alias("context"), F.col("ratio").alias("backed")), "context", "left")
+        )
+        value = F.coalesce("own", "backed", F.lit(0.0)).cast("double")
+        clear = F.signum(value) * F.greatest(F.abs(value) - CLEAR, F.lit(0.0))
+        copies = F.sum(F.when(F.col("gram") == 0, F.col("n")))
+        return joined.groupBy("t1", "t2").agg(
+            (F.sum(F.col("n") * value) / copies).alias("more_a"), (F.sum(F.col("n") * clear) / copies).alias("more_b")
+        )
+
+
 def features(sums):
     """Per length, that times the root of the length (the scale of chance), and the clear sum."""
     import numpy as np
@@ -253,6 +357,18 @@ def fit_logistic(x, y, ridge: float = 0.01, rounds: int = 50):
     return center, scale, w
 
 
+def probability(fit) -> Column:
+    """The score by a fit from the columns (n, a, b)."""
+    n = F.greatest(F.col("n"), F.lit(1.0))
+    mean = [F.col(c) / n for c in ("a", "b")]
+    x = [*mean, *(m * F.sqrt(n) for m in mean), F.least(F.greatest(F.col("b"), F.lit(-20.0)), F.lit(20.0))]
+    center, scale, weights = ([float(v) for v in part] for part in fit)
+    z = F.lit(weights[-1])
+    for k, column in enumerate(x):
+        z = z + (column - center[k]) / scale[k] * weights[k]
+    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column):
     """The model and the fit, or the constant score. ``fold`` is 0..FIT_PARTS-1 or null: not learned from."""
     import numpy as np
@@ -273,26 +389,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if not totals[0] or not totals[1]:
         share = labelled.agg(F.avg("label")).first()[0] or 0.0
         return None, float(share)
-    ratios = log_ratios(counted)
-    model = [slots(t, n) for t, n in zip(ratios, (GRAM_SLOTS, CONTEXT_SLOTS))]
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sums = evidence(batch.column(0).to_pylist(), held.value)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(sums[:, k]) for k in range(3)), batch.column(1)], names=["n", "a", "b", "label"]
-            )
-
+    model = Model(counted)
     # A bounded sample of rows whose grams were not counted.
     sample = labelled.where("fold = 0").orderBy(F.xxhash64("doc"), "doc", "text").limit(FIT_ROWS)
-    measured = np.array(sample.select("text", "label").mapInArrow(measure, "n double, a double, b double, label int").toPandas(), float)
+    measured = np.array(model.measure(sample.select("text", "label")).select("n", "a", "b", "label").toPandas(), float)
     y = measured[:, 3] if len(measured) else np.zeros(0)
     if min((y == 0).sum(), (y == 1).sum()) < FIT_LEAST:
-        return held, default_fit()
-    return held, fit_logistic(features(measured[:, :3]), y)
+        return model, default_fit()
+    return model, fit_logistic(features(measured[:, :3]), y)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -303,32 +407,17 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fold = F.when(~held_out, F.floor(bucket / FOLDS) % FIT_PARTS)
     model, fit = train(docs, labels, id_col, text_col, label_col, fold)
 
-    def apply(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            if model is None:
-                p = np.full(batch.num_rows, fit)
-            else:
-                center, scale, w = fit
-                x = (features(evidence(batch.column(2).to_pylist(), model.value)) - center) / scale
-                p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            predicted = pa.array((p >= THRESHOLD).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(p), predicted],
-                names=[id_col, "held_out", "score", "predicted"],
-            )
-
     rows = docs.select(
-        F.col(f"`{id_col}`"), held_out.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text")
+        F.col(f"`{id_col}`").alias("doc"), held_out.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    schema = T.StructType(
-        [
-            T.StructField(id_col, docs.schema[id_col].dataType),
-            T.StructField("held_out", T.BooleanType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("predicted", T.IntegerType()),
-        ]
+    if model is None:
+        p = F.lit(fit)
+    else:
+        rows = model.measure(rows)
+        p = probability(fit)
+    return rows.select(
+        F.col("doc").alias(id_col),
+        "held_out",
+        p.alias("score"),
+        (p >= THRESHOLD).cast("int").alias("predicted"),
     )
-    return rows.mapInArrow(apply, schema)

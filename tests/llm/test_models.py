@@ -86,6 +86,26 @@ def test_shared_backoff_sums_to_one(spark):
     assert len(out) == counted.count()
 
 
+def test_every_gram_counts(spark, monkeypatch):
+    """Grams that share a slot keep their own ratio, and joins give the evidence of the broadcast."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(60)] + [None, "", "zwuxa zwuxa"]
+    rows = spark.createDataFrame([(t, int(k % 4 == 0)) for k, t in enumerate(texts)], "text string, label int")
+    counted = toxicity.stage(toxicity.count_grams(rows))
+    whole = toxicity.Model(counted)
+    table = whole.held.value[0]
+    ratios = whole.ratios[0].toPandas()
+    value, found = toxicity.look_up(ratios.gram.to_numpy().astype(np.uint64), table)
+    assert len(table[2]) > 0 and found.all() and np.array_equal(value, ratios.ratio.to_numpy())
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0]])], "doc long, text string")
+    measured = lambda m: m.measure(docs).toPandas().sort_values("doc").to_numpy(float)
+    monkeypatch.setattr(toxicity, "HELD", 200)
+    joined = toxicity.Model(counted)
+    assert whole.whole and not joined.whole
+    assert np.allclose(measured(whole), measured(joined), atol=1e-4)
+
+
 def test_held_out_toxicity(spark):
     """Made-up insults in made-up prose: rare endings of known stems are found."""
     rng = np.random.default_rng(4)
