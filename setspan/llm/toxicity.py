@@ -13,9 +13,11 @@ text and gram; both ways give the same evidence, so every gram counts, whatever
 
 A document's evidence is the difference of the two log-likelihoods per position, and the same for
 the part of each position beyond ``CLEAR`` nats, since thousands of tiny differences of ordinary
-words would drown one clear expression in a long text. A logistic fit turns both into the score;
-it uses rows the counts have not seen, at most ``FIT_ROWS`` by hash order. With fewer than
-``FIT_LEAST`` of them in either class, fixed weights take its place.
+words would drown one clear expression in a long text. A ridge logistic fit turns both into the
+score; it uses rows the counts have not seen, at most ``FIT_ROWS`` of each class by hash order, and
+weights each class back to all its rows. With fewer than ``FIT_LEAST`` rows of a class in the fold
+kept for the fit, each fold in turn is measured by the counts of the others, the fit uses them all,
+and the score the counts of all.
 
 Null and empty texts, and texts without letters, have no evidence and get the score of that.
 Repeated rows get the same score; labels with null are not used, of repeated labels the largest.
@@ -35,9 +37,10 @@ from setspan.llm.common import hash_pair, ship_package, stage
 
 ORDER = 6
 DISCOUNT = 0.75
+COUNTS = "gram long, ordinary long, toxic long"
 SYMBOLS = 64  # the uniform model below the shortest grams
 CLEAR = 3.0
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000  # of each class
 FIT_LEAST = 50
 HELD = 1 << 21  # grams, and contexts, in a scoring task
 BLOCK = 1 << 18  # bytes of text worked on at once
@@ -122,7 +125,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                         names=["gram", "ordinary", "toxic"],
                     )
 
-    counts = rows.select("text", "label").mapInArrow(count, "gram long, ordinary long, toxic long")
+    counts = rows.select("text", "label").mapInArrow(count, COUNTS)
     return counts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
@@ -332,15 +335,8 @@ def features(sums):
     return np.concatenate([mean, mean * np.sqrt(n), np.clip(sums[:, 2:], -20, 20)], 1)
 
 
-def default_fit():
-    """Where there are too few rows to fit on: a clear sum above seven nats, one or two expressions, is toxic."""
-    import numpy as np
-
-    return np.zeros(5), np.ones(5), np.array([0, 0, 0, 0, 0.5, -2.5])
-
-
-def fit_logistic(x, y, ridge: float = 0.01, rounds: int = 50):
-    """(center, scale, weights) of a ridge logistic regression by Newton steps."""
+def fit_logistic(x, y, weight, ridge: float = 0.01, rounds: int = 50):
+    """(center, scale, weights) of a ridge logistic regression of weighted rows by Newton steps."""
     import numpy as np
 
     center, scale = x.mean(0), x.std(0) + 1e-9
@@ -348,8 +344,8 @@ def fit_logistic(x, y, ridge: float = 0.01, rounds: int = 50):
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (p - y) + ridge * w
-        curve = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        slope = z.T @ (weight * (p - y)) + ridge * w
+        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w -= step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-6:
@@ -369,10 +365,20 @@ def probability(fit) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
+def _united(spark, parts: list[DataFrame]) -> DataFrame:
+    """The sums of several counts."""
+    out = spark.createDataFrame([], COUNTS)
+    for part in parts:
+        out = out.unionByName(part)
+    sums = [F.sum(c).alias(c) for c in ("ordinary", "toxic")]
+    return stage(out.groupBy("gram").agg(*sums))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column):
     """The model and the fit, or the constant score. ``fold`` is 0..FIT_PARTS-1 or null: not learned from."""
     import numpy as np
 
+    spark = docs.sparkSession
     known = (
         labels.where(F.col(label_col).isNotNull())
         .groupBy(F.col(f"`{id_col}`").alias("doc"))
@@ -384,19 +390,44 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     )
     # The texts stream past a hash table of labels; they are not sorted.
     labelled = rows.where("fold IS NOT NULL").join(known.hint("shuffle_hash"), "doc")
-    counted = stage(count_grams(labelled.where("fold > 0")))
-    totals = counted.agg(F.sum("ordinary"), F.sum("toxic")).first()
-    if not totals[0] or not totals[1]:
-        share = labelled.agg(F.avg("label")).first()[0] or 0.0
-        return None, float(share)
-    model = Model(counted)
-    # A bounded sample of rows whose grams were not counted.
-    sample = labelled.where("fold = 0").orderBy(F.xxhash64("doc"), "doc", "text").limit(FIT_ROWS)
-    measured = np.array(model.measure(sample.select("text", "label")).select("n", "a", "b", "label").toPandas(), float)
-    y = measured[:, 3] if len(measured) else np.zeros(0)
-    if min((y == 0).sum(), (y == 1).sum()) < FIT_LEAST:
-        return model, default_fit()
-    return model, fit_logistic(features(measured[:, :3]), y)
+    names = dict(h1=F.xxhash64("doc"), h2=F.xxhash64("doc", "text"))
+    keys = stage(labelled.select("fold", "label", *[v.alias(k) for k, v in names.items()]))
+    sizes = {(r.fold, r.label): r.n for r in keys.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = [sum(n for (_, label), n in sizes.items() if label == k) for k in (0, 1)]
+    short = min(sizes.get((0, k), 0) for k in (0, 1)) < FIT_LEAST
+    if not all(totals):
+        return None, totals[1] / max(1, sum(totals))
+    folds = sorted({f for f, _ in sizes}) if short else [0]
+
+    # A bounded sample of each class: the rows up to the last of the first by hash.
+    wanted = F.lit(False)
+    for label in (0, 1):
+        those = keys.where(F.col("fold").isin(folds) & (F.col("label") == label))
+        last = those.orderBy("h1", "h2").limit(FIT_ROWS).agg(F.max(F.struct("h1", "h2")).alias("last")).first().last
+        order = F.struct(*[v.alias(k) for k, v in names.items()])
+        wanted |= (F.col("label") == label) & (order <= F.struct(F.lit(last.h1).alias("h1"), F.lit(last.h2).alias("h2")))
+    sample = labelled.where(wanted).select("text", "fold", "label", *[v.alias(k) for k, v in names.items()])
+
+    if short:
+        parts = {f: stage(count_grams(labelled.where(F.col("fold") == f))) for f in folds}
+        models = {f: Model(_united(spark, [parts[o] for o in folds if o != f])) for f in folds}
+        model = Model(_united(spark, list(parts.values())))
+    else:
+        model = Model(stage(count_grams(labelled.where("fold > 0"))))
+        models = {0: model}
+    measured = None
+    for f, m in models.items():
+        rows = m.measure(sample.where(F.col("fold") == f))
+        measured = rows if measured is None else measured.unionByName(rows)
+    measured = stage(measured)
+    x, y, weight = [], [], []
+    for label in (0, 1):
+        # Rows alike in both hashes are repeats, so it does not matter which of them are taken.
+        first = measured.where(F.col("label") == label).orderBy("h1", "h2").limit(FIT_ROWS)
+        x.append(features(np.array(first.select("n", "a", "b").toPandas(), float)))
+        y.append(np.full(len(x[-1]), label))
+        weight.append(np.full(len(x[-1]), sum(sizes.get((f, label), 0) for f in folds) / max(1, len(x[-1]))))
+    return model, fit_logistic(*map(np.concatenate, (x, y, weight)))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -134,3 +134,32 @@ def test_toxicity_cases(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, labels).count() == 0
     none = toxicity.score(odd_docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.0}
+
+
+def test_rare_toxic_rows_are_fitted(spark, monkeypatch):
+    """A class is sampled by itself, and where it is short the folds are fitted on in turn."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 8)))
+    rows = []
+    for k in range(1200):
+        words = [word() for _ in range(40)]
+        if k % 12 == 0:
+            words[5:8] = ["zwuxo", "zwuxin", "zwuxoz"]
+        rows.append((k, " ".join(words), int(k % 12 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fits = []
+    fit = toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y, w: fits.append((y, w)) or fit(x, y, w))
+
+    def held_out():
+        got = toxicity.score(docs.drop("toxic"), docs.drop("text")).where("held_out").collect()
+        return [(r.predicted == 1) == (r.doc_id % 12 == 0) for r in got]
+
+    assert np.mean(held_out()) > 0.97  # 100 toxic rows, fewer than FIT_LEAST in a fold
+    y, weight = fits[-1]
+    assert y.sum() > toxicity.FIT_LEAST and np.all(weight == 1)
+    monkeypatch.setattr(toxicity, "FIT_LEAST", 5)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 10)
+    assert np.mean(held_out()) > 0.9
+    y, weight = fits[-1]
+    assert (y == 1).sum() == (y == 0).sum() == 10 and weight[y == 0][0] > 5 * weight[y == 1][0] >= 5
