@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -53,9 +54,7 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 .. size - 1; the tweak separates formats."""
     if size < 2:
         return value
-    side = int(size**0.5)
-    while side * side < size:
-        side += 1
+    side = math.isqrt(size - 1) + 1
     while True:
         left, right = divmod(value, side)
         for r in range(ROUNDS):

@@ -45,6 +45,13 @@ def test_one_to_one():
     assert len(days) == 12 * 28
 
 
+def test_long_mail_addresses():
+    for n in (45, 50, 64):
+        local = ("bounce" * 11)[:n]
+        new, counts = pii.replace_private(f"to {local}@example.org", KEY)
+        assert counts == {"email": 1} and local not in new and len(new) == n + 15
+
+
 def test_pii_cases(spark, odd_docs, no_docs):
     got = pii.pseudonymize(odd_docs, KEY).collect()
     assert sorted(str(r.text) for r in got) == sorted(str(r.text) for r in odd_docs.collect())
