@@ -4,7 +4,8 @@ A found value is validated (checksum, calendar, ranges), ranked as an integer am
 its format, permuted by a Feistel network whose rounds are keyed hashes, and written back in the
 format it had. Whatever falls outside the valid values is permuted again until it is inside, so the
 map is one-to-one on the valid values of a format: equal values get equal pseudonyms in all
-documents, different ones different. Nobody without the key can tell or undo it.
+documents, different ones different. Phone numbers with the country code are taken by their written form:
+those with digits that no real number has are permuted among themselves. Nobody without the key can tell or undo it.
 
 Kinds: payment cards (Luhn; length and first digit stay), IBANs (country and letter places stay,
 check digits follow), US social security numbers, North American phone numbers, IPv4 addresses,
@@ -148,9 +149,11 @@ def pseudonym(kind: str, found: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", found)
     if kind == "phone":
         lead, number = digits[:-10], digits[-10:]
-        if not phone_ok(number):
+        if phone_ok(number):
+            return refill(found, lead + walk_digits(number, phone_ok, key, "phone"))
+        if not lead:
             return None
-        return refill(found, lead + walk_digits(number, phone_ok, key, "phone"))
+        return refill(found, lead + walk_digits(number, lambda d: not phone_ok(d), key, "phone|unassigned"))
     if kind == "ssn":
         return refill(found, walk_digits(digits, ssn_ok, key, "ssn")) if ssn_ok(digits) else None
     if kind == "card":

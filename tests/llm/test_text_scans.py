@@ -45,6 +45,18 @@ def test_one_to_one():
     assert len(days) == 12 * 28
 
 
+def test_phones_by_their_form():
+    numbers = [f"+1 ({a}) {b}-{c}" for a in ("017", "132", "974") for b in ("055", "555") for c in range(7700, 7750)]
+    new = []
+    for number in numbers:
+        text, counts = pii.replace_private(f"call {number}.", KEY)
+        assert counts == {"phone": 1} and number not in text
+        assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}\.", text)
+        new.append(text)
+    assert len(set(new)) == len(numbers)
+    assert pii.replace_private("+1 (017) 555-7713 +1.017.555.7713", KEY)[1] == {"phone": 2}
+
+
 def test_long_mail_addresses():
     for n in (45, 50, 64):
         local = ("bounce" * 11)[:n]
