@@ -1,13 +1,14 @@
 """Chat formatting by perspective rotation: each participant of a dialogue in turn is the assistant.
 
-The turns of a conversation are numbered and cut into segments of at most ``SEGMENT_TURNS``; a
-segment is gathered in one row and rendered once for every participant who speaks in it: that
-speaker as assistant, all others as users with their names, system turns as they are. The mask is
-the list of character spans to learn: the assistant's words with the mark that ends them. A segment
-bounds what one row gathers, and the renderings too: never more than turns in it.
+A dialogue is gathered in one row and rendered once for every participant: that speaker as
+assistant, all others as users with their names, system turns as they are. The mask is the list of
+character spans to learn: the assistant's words with the mark that ends them. Only a dialogue of
+more than ``SEGMENT_CHARS`` characters, too big for a row, is cut into segments of about so many;
+each is rendered for all participants of the dialogue, silent ones too, and starts with the system
+turns of the segments before. ``n_turns`` counts a segment's own turns.
 
-All of it are DataFrame functions. Numbering goes by blocks when one conversation is too long for
-a window (``long_turns``), with the same result.
+All of it are DataFrame functions. Numbering and sums go by blocks when one conversation is too
+long for a window (``long_turns``), with the same result.
 
 Cases: rows without a conversation id are in no dialogue and are left out. A null role speaks as
 user ``unknown`` and is never the assistant; ``system`` never is either, so a dialogue of such turns
@@ -18,12 +19,12 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setspan.operators.scan import must_split, with_rank
 
-SEGMENT_TURNS = 64
+SEGMENT_CHARS = 1_000_000
 LONG_TURNS = 50_000
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -39,14 +40,32 @@ def _name(role: Column) -> Column:
     return F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[\s<>|]", "_")
 
 
+def _with_segment(placed: DataFrame, chars: int, long_turns: int, split: bool) -> DataFrame:
+    """Add ``segment``: how many times ``chars`` the messages before a turn hold."""
+    size = (F.length("said") + F.length("name") + len(f"{START}user name=\n{END}\n")).cast("long")
+    measured = placed.withColumns(
+        {"_size": size, "_chunk": F.floor((F.col("place") - 1) / long_turns) if split else F.lit(0)}
+    )
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["conv", "_chunk"] if split else ["conv"]
+    measured = measured.withColumn("_before", F.coalesce(F.sum("_size").over(before(*keys).orderBy("place")), F.lit(0)))
+    if split:
+        totals = measured.groupBy(*keys).agg(F.sum("_size").alias("_earlier"))
+        totals = totals.withColumn("_earlier", F.coalesce(F.sum("_earlier").over(before("conv").orderBy("_chunk")), F.lit(0)))
+        measured = measured.join(totals, keys).withColumn("_before", F.col("_before") + F.col("_earlier")).drop("_earlier")
+    segment = F.floor(F.col("_before") / chars).cast("int")
+    return measured.withColumn("segment", segment).drop("_size", "_chunk", "_before")
+
+
 def rotate(
     turns: DataFrame,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    segment_turns: int = SEGMENT_TURNS,
+    segment_turns: int | None = None,
     long_turns: int = LONG_TURNS,
+    segment_chars: int = SEGMENT_CHARS,
 ) -> DataFrame:
     """(conv, segment, perspective, n_turns, n_own, text, mask) with mask ``start-end,...``."""
     rows = turns.where(F.col(f"`{conv_col}`").isNotNull()).select(
@@ -56,19 +75,31 @@ def rotate(
         F.col(f"`{text_col}`").cast("string").alias("said"),
     )
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "said")]
-    placed = with_rank(rows, ["conv"], order, "place", must_split(rows.select("conv"), ["conv"], long_turns))
-    turn = F.struct("place", "role", _name(F.col("role")).alias("name"), _safe(F.col("said")).alias("said"))
-    dialogues = (
-        placed.withColumn("segment", F.floor((F.col("place") - 1) / segment_turns).cast("int"))
-        .groupBy("conv", "segment")
-        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    split = must_split(rows.select("conv"), ["conv"], long_turns)
+    placed = with_rank(rows, ["conv"], order, "place", split)
+    placed = placed.withColumns({"name": _name(F.col("role")), "said": _safe(F.col("said"))})
+    if segment_turns:
+        placed = placed.withColumn("segment", F.floor((F.col("place") - 1) / segment_turns).cast("int"))
+    else:
+        placed = _with_segment(placed, segment_chars, long_turns, split)
+    turn = F.struct("place", "role", "name", "said")
+    dialogues = placed.groupBy("conv", "segment").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    speaks = F.col("role").isNotNull() & (F.col("role") != SYSTEM)
+    kept = F.struct("place", "role", "name", "said", "segment")
+    whole = placed.groupBy("conv").agg(
+        F.collect_set(F.when(speaks, F.col("role"))).alias("people"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == SYSTEM, kept))).alias("systems"),
+    )
+    earlier = F.transform(
+        F.filter("systems", lambda t: t["segment"] < F.col("segment")),
+        lambda t: F.struct(t["place"].alias("place"), t["role"].alias("role"), t["name"].alias("name"), t["said"].alias("said")),
     )
-    speaks = F.array_distinct(F.transform("turns", lambda t: t["role"]))
-    views = dialogues.select(
+    views = dialogues.join(whole, "conv").select(
         "conv",
         "segment",
-        "turns",
-        F.explode(F.filter(speaks, lambda r: r.isNotNull() & (r != SYSTEM))).alias("perspective"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.concat(earlier, "turns").alias("turns"),
+        F.explode("people").alias("perspective"),
     )
     own = lambda t: F.coalesce(t["role"] == F.col("perspective"), F.lit(False))
 
@@ -101,7 +132,7 @@ def rotate(
         "conv",
         "segment",
         "perspective",
-        F.size("turns").cast("long").alias("n_turns"),
+        "n_turns",
         F.size(F.filter("messages", lambda m: m["own"])).cast("long").alias("n_own"),
         F.array_join(F.transform("messages", lambda m: m["text"]), "").alias("text"),
         F.array_join(F.aggregate("messages", zero, walk, lambda acc: acc["spans"]), ",").alias("mask"),

@@ -129,5 +129,18 @@ def test_long_conversation_in_segments(spark):
     assert len(plain) == 30 and sum(r.n_own for r in plain) == 150
 
 
+def test_dialogues_stay_whole(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "Cy", "Once.")] + [(1, k, "ab"[k % 2], f"turn {k}") for k in range(2, 300)]
+    got = rotated(spark, rows)
+    assert {(r.segment, r.perspective, r.n_turns) for r in got} == {(0, p, 300) for p in ("a", "b", "Cy")}
+    cut = rotated(spark, rows, segment_chars=2000)
+    blocks = rotated(spark, rows, segment_chars=2000, long_turns=7)
+    assert sorted(map(str, cut)) == sorted(map(str, blocks))
+    segments = {r.segment for r in cut}
+    assert len(segments) > 3 and len(cut) == 3 * len(segments)
+    assert all(r.text.startswith("<|im_start|>system\nBe kind.") and len(r.text) < 2300 for r in cut)
+    assert sum(r.n_turns for r in cut) == 900 and sum(r.n_own for r in cut) == 299
+
+
 def test_no_turns(spark):
     assert chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
