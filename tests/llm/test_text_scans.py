@@ -94,6 +94,25 @@ def test_licenses():
     assert found("x " * 5000 + "Released under the MIT License." + " y" * 5000)[0] == ("MIT", True)
 
 
+def test_licenses_whole():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+
+    def wrapped(text, width=60):
+        return "\n".join(re.findall(r".{1,%d}(?: |$)" % width, text))
+
+    bsd2, bsd3 = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][1]
+    for text in (bsd3, wrapped(bsd3), "Prose before.\n\n" + wrapped(bsd3).replace("Neither", "\nNeither") + "\n\nMore."):
+        assert found(text) == [("BSD-3-Clause", True)]
+    assert found(wrapped(bsd2)) == [("BSD-2-Clause", True)]
+    first = "Redistribution and use in source and binary forms, with or without"
+    assert [f[1] for f in found(first)] == [False]
+    mit = licenses.TEMPLATES["MIT"][1].replace("The above", "The Software shall be used for Good, not Evil. The above")
+    for text in (mit, wrapped(mit)):
+        [(_, block)] = licenses.blocks(text)
+        [(_, _, name, _, _, told, confirmed)] = licenses.findings(scanner, block)
+        assert (name, confirmed) == ("MIT", True) and "+good" in told and "+evil" in told
+
+
 def test_license_cases(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == 0
     assert licenses.scan_licenses(no_docs).count() == 0
