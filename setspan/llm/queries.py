@@ -5,12 +5,15 @@ from __future__ import annotations
 from setspan.llm.chat import rotate
 from setspan.llm.common import table
 from setspan.llm.decontaminate import contamination_report
+from setspan.llm.infill import fill_in_middle, infill_report, restore
 from setspan.llm.langid import identify
 from setspan.llm.licenses import scan_licenses
 from setspan.llm.lines import line_report
+from setspan.llm.mixing import mix, mix_report
 from setspan.llm.pii import pseudonymize
 from setspan.llm.quality import line_quality
 from setspan.llm.packing import pack
+from setspan.llm.runs import collapse_runs, run_report, with_planted_runs
 from setspan.llm.simhash import duplicate_report
 from setspan.llm.toxicity import score
 
@@ -57,6 +60,18 @@ def op10_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return run_report(collapse_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return infill_report(restore(fill_in_middle(table(spark, sf_dir, "documents"))))
+
+
+def op13_mixing(spark, sf_dir):
+    return mix_report(mix(table(spark, sf_dir, "documents")))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -201,6 +216,50 @@ SELECT conv_id, segment, perspective, count(*) AS n_turns, count(*) FILTER (WHER
 FROM lengths GROUP BY conv_id, segment, perspective
 """
 
+OP13_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS digest FROM documents
+), sized AS (
+  SELECT doc_id, source, digest,
+         len(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size,
+         1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (length(t) - length(translate(t, '#*$%&|<>{{}}[]=_~^\\', '')))
+                / greatest(length(t), 1)::DOUBLE) AS quality,
+         ('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13))::BIGINT AS drawn
+  FROM docs
+), keyed AS (
+  SELECT *, -ln((drawn::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / quality AS key FROM sized
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source
+), weighed AS (
+  SELECT *, 2 * source_size AS lim,
+         [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight
+  FROM sources
+), levels AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE)
+             - CAST(coalesce(sum(lim) OVER before, 0) AS DOUBLE))
+            / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level,
+         lim::DOUBLE / weight::DOUBLE AS ratio
+  FROM weighed
+  WINDOW before AS (ORDER BY lim::DOUBLE / weight::DOUBLE, source NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, least(coalesce(
+           (SELECT level FROM levels WHERE level * weight < lim ORDER BY ratio, source NULLS LAST LIMIT 1) * weight,
+           lim), lim::DOUBLE) AS target
+  FROM weighed
+), summed AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 AND target >= source_size
+              THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+         coalesce(sum(size) OVER (PARTITION BY keyed.source ORDER BY key, doc_id NULLS FIRST, digest
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed JOIN targets ON keyed.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(epochs * size + least(greatest(floor(target) - epochs * source_size - before, 0), size) AS BIGINT) AS taken
+FROM summed
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -212,10 +271,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_mixing": op13_mixing,
 }
 ORACLES = {
     "op3_decontaminate": OP3_SQL,
     "op4_quality": OP4_SQL,
     "op9_chat": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_mixing": OP13_SQL,
 }
