@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setspan.functions.ids import UNKNOWN, clean, detect_id_type, normalize_id
-from setspan.operators.scan import broadcast_if_small
+from setspan.operators.scan import broadcast_if_small, join_hubs
 
 ENTREZ = "ENTREZID"
 POLICIES = ("best-effort", "threshold", "strict")
@@ -208,7 +208,7 @@ def apply_conversion(
     target type already, keep their ids.
     """
     carried = [c for c in ("value", "direction") if c in de.columns]
-    rows = _collapse_genes(de.where("is_sig") if hits_only else de, carried)
+    rows = collapse_genes(de.where("is_sig") if hits_only else de, carried)
     pairs = converted.select(F.col("id").alias("gene_id"), clean("target").alias("_new"))
     moved = rows.join(pairs.where("_new is not null"), "gene_id")
     if report is not None:
@@ -219,10 +219,10 @@ def apply_conversion(
         moved = moved.join(verdict, "contrast").where("_moves").drop("_moves")
         kept = rows.join(verdict, "contrast").where("not _moves").drop("_moves")
         moved = moved.unionByName(kept.withColumn("_new", F.col("gene_id")))
-    return _collapse_genes(moved.drop("gene_id").withColumnRenamed("_new", "gene_id"), carried)
+    return collapse_genes(moved.drop("gene_id").withColumnRenamed("_new", "gene_id"), carried)
 
 
-def _collapse_genes(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
+def collapse_genes(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
     """One row per (contrast, gene): the first in row order, significant if any was.
 
     Run before the join as well as after it: a much repeated gene is one row per map task there.
@@ -242,21 +242,24 @@ def display_genes(
     """Readable ids of surviving result genes, in their order.
 
     pairs: (id, shown) from the conversion, used first; symbols: (id, shown) fills the gaps;
-    an id in neither is shown as it is. Lists stay as long as they were.
+    an id in neither is shown as it is. Lists stay as long as they were. Either may have some of
+    the ``keys``, and then holds for rows of those alone. Names are looked up once for each
+    distinct id; an id in very many lists is split when it meets them again.
     """
     keys = list(keys)
-    best = pairs.groupBy("id").agg(F.min("shown").alias("_pair"))
-    second = symbols.groupBy("id").agg(F.min("shown").alias("_symbol"))
+    scoped = [k for k in keys if k in pairs.columns or k in symbols.columns]
+    rows = results.select(*keys, F.posexplode(genes).alias("_pos", "id")).withColumn(
+        "_key", F.struct(*scoped, "id")
+    )
+    named = rows.select("_key").distinct().select("_key", "_key.*")
+    for names, out in ((pairs, "_pair"), (symbols, "_symbol")):
+        on = [*[k for k in scoped if k in names.columns], "id"]
+        named = named.join(names.groupBy(*on).agg(F.min("shown").alias(out)), on, "left")
+    names = named.select("_key", F.coalesce("_pair", "_symbol", "id").alias("_shown"))
     shown = (
-        results.select(*keys, F.posexplode(genes).alias("_pos", "id"))
-        .join(best, "id", "left")
-        .join(second, "id", "left")
+        join_hubs(names, rows.drop("id"), "_key")
         .groupBy(*keys)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("_pos", F.coalesce("_pair", "_symbol", "id").alias("g")))
-            ).getField("g").alias(genes)
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_shown"))).getField("_shown").alias(genes))
     )
     return results.drop(genes).join(shown, keys, "left")
 
