@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from setspan.catalog.store import Catalog, CollectionKey
 from setspan.operators.de import directed_hits, table_universe
+from setspan.operators.gsea import gsea
 from setspan.operators.idmap import lookup_idmap
 from setspan.operators.ora import ora, with_hit_genes
 from setspan.operators.score import rank_genes
+from setspan.plans.gsea_plans import HIGH, LOW, VECTOR_NULL_SQL
 from setspan.plans.ora_plans import _DIRECTED, _TABLE_U, BOUNDS, ROW_SQL, _rounded, ora_sql
 from setspan.plans.tables import (
     HIT_VALUE,
@@ -22,7 +24,7 @@ from setspan.plans.tables import (
     table,
 )
 from setspan.session import scratch_dir
-from setspan.sinks.files import write_gmt, write_idmap_tsv, write_ora, write_ranked
+from setspan.sinks.files import write_gmt, write_gsea, write_idmap_tsv, write_ora, write_ranked
 from setspan.sources.idmaps import read_idmap_tsv
 from setspan.sources.sets import read_gmt
 from setspan.sources.tables import (
@@ -35,6 +37,7 @@ from setspan.sources.tables import (
 from setspan.streaming.ora_stream import ora_incremental, read_incremental
 
 KEY = CollectionKey("kegg", "hsa")
+P_CUTOFF = 0.2
 
 
 def customer_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +108,53 @@ def result_file_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Headers and fields of result files: the two spellings, in three orders of columns.
+MIXED = [
+    (["ID", "Name", "PValue", "PAdjust", "QValue"], ["id", "title", "p", "padj", "q"]),
+    (["qvalue", "p.adjust", "ID", "pvalue", "NES", "Description"], ["q", "padj", "id", "p", "nes", "title"]),
+    (["Contrast", "NES", "PAdjust", "ID", "other", "PValue"], ["kept", "nes", "padj", "id", "title", "p"]),
+]
+
+
+def result_files_mixed_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as result rows of their nation, in files of several spellings read at once."""
+    digits = lambda c: F.format_string("%.6f", c)
+    p = (F.col("c_acctbal") + 1000.0) / 11000.0
+    rows = table(spark, sf, "customer").select(
+        F.format_string("nation%02d", "c_nationkey").alias("contrast"), (F.col("c_nationkey") % 3).alias("form"),
+        F.col("c_custkey").cast("string").alias("id"),
+        # A title with the separator and quotes in it.
+        F.concat(F.lit('"a\t'), "c_name", F.lit('"')).alias("title"), digits(p).alias("p"),
+        F.when(F.col("c_custkey") % 7 == 0, "NA").otherwise(digits(p / 2)).alias("padj"),
+        F.when(F.col("c_custkey") % 5 == 0, "").otherwise(digits(p / 3)).alias("q"), digits(p * 4 - 2).alias("nes"),
+        F.concat(F.lit("kept "), "c_mktsegment").alias("kept"),
+    )
+    body, head = F.lit(None), F.lit(None)
+    for form, (names, fields) in enumerate(MIXED):
+        body = F.when(F.col("form") == form, F.concat_ws("\t", *fields)).otherwise(body)
+        head = F.when(F.col("form") == form, "\t".join(names)).otherwise(head)
+    lines = rows.select("contrast", F.lit(1).alias("k"), body.alias("line")).unionByName(
+        rows.select("contrast", "form").distinct().select("contrast", F.lit(0).alias("k"), head.alias("line"))
+    )
+    folder = scratch_dir(spark)
+    _text_files(lines.repartition("contrast").sortWithinPartitions("contrast", "k"), folder, "line")
+    return read_results(spark, folder).select(
+        "contrast", "id", "name", "description", "pvalue", "padj", "qvalue", "nes"
+    )
+
+
+def gsea_file_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrichment results within a cutoff of raw p through the text file."""
+    result = gsea(
+        stored_values(spark, sf), part_sets(spark, sf), n_perm=1000, seed=7, min_size=LOW, max_size=HIGH,
+        padj_cutoff=None, p_cutoff=P_CUTOFF,
+    )
+    folder = scratch_dir(spark)
+    write_gsea(result, folder)
+    back = read_results(spark, folder)
+    return back.select("contrast", "collection", "id", "nes", "pvalue", "padj", "es", "lead_genes")
+
+
 def set_file_query(spark: SparkSession, sf: str) -> DataFrame:
     """All part collections through one set file tree, in lines of at most about 50 genes."""
     folder = scratch_dir(spark)
@@ -119,7 +169,7 @@ def ranked_file_query(spark: SparkSession, sf: str) -> DataFrame:
     """The rankings of all contrasts through ranking files, one folder each."""
     folder = scratch_dir(spark)
     write_ranked(rank_genes(stored_values(spark, sf)), folder)
-    return read_ranked(spark, folder).where("gene_id <> 'gene'").select("contrast", "gene_id", "value")
+    return read_ranked(spark, folder).select("contrast", "gene_id", "value")
 
 
 def _text_files(rows: DataFrame, folder: str, name: str) -> None:
@@ -197,6 +247,8 @@ QUERIES = {
     "catalog_idmap": catalog_map_query,
     "idmap_file": idmap_file_query,
     "result_file": result_file_query,
+    "result_files_mixed": result_files_mixed_query,
+    "gsea_file": gsea_file_query,
     "set_file": set_file_query,
     "ranked_file": ranked_file_query,
     "de_directory": de_directory_query,
@@ -223,6 +275,18 @@ lists AS (SELECT contrast, direction, collection, term_id, string_agg(gene_id, '
 SELECT contrast, collection, direction, term_id AS id, overlap || '/' || n_hits AS gene_ratio, set_size || '/' || n_universe AS bg_ratio,
   genes, overlap, CAST(printf('%.2e', pvalue) AS DOUBLE) AS pvalue
 FROM adjusted JOIN lists USING (contrast, direction, collection, term_id) WHERE padj <= 0.9""",
+    "result_files_mixed": """WITH t AS (SELECT c_nationkey % 3 AS form, printf('nation%02d', c_nationkey) AS nation, c_custkey,
+  c_mktsegment, 'a' || chr(9) || c_name AS title, (c_acctbal + 1000.0) / 11000.0 AS p FROM customer)
+SELECT CASE form WHEN 2 THEN 'kept ' || c_mktsegment ELSE nation END AS contrast, CAST(c_custkey AS VARCHAR) AS id,
+  CASE form WHEN 0 THEN title END AS name, CASE form WHEN 1 THEN title END AS description,
+  CAST(printf('%.6f', p) AS DOUBLE) AS pvalue,
+  CASE WHEN c_custkey % 7 <> 0 THEN CAST(printf('%.6f', p / 2) AS DOUBLE) END AS padj,
+  CASE WHEN c_custkey % 5 <> 0 AND form <> 2 THEN CAST(printf('%.6f', p / 3) AS DOUBLE) END AS qvalue,
+  CASE WHEN form > 0 THEN CAST(printf('%.6f', p * 4 - 2) AS DOUBLE) END AS nes FROM t""",
+    "gsea_file": f"""{VECTOR_NULL_SQL}
+SELECT contrast, collection, term_id AS id, CAST(printf('%.4f', nes) AS DOUBLE) AS nes, CAST(printf('%.2e', pvalue) AS DOUBLE) AS pvalue,
+  CAST(printf('%.2e', padj) AS DOUBLE) AS padj, CAST(printf('%.4f', es) AS DOUBLE) AS es, lead_genes
+FROM adj LEFT JOIN lead USING (contrast, collection, term_id) WHERE pvalue <= {P_CUTOFF}""",
     "set_file": f"""WITH {part_sets_sql()}
 SELECT DISTINCT collection, term_id, 'set ' || term_id AS description, gene_id FROM part_sets""",
     "ranked_file": f"WITH {PART_VALUES_SQL} SELECT contrast, gene_id, value FROM part_values",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from setspan.operators.gsea import gsea_order
 from setspan.operators.ora import ora_order
+from setspan.sources.tables import RANKED_HEADER
 
 FORMATS = ("tsv", "csv", "json")
 
@@ -87,8 +88,9 @@ def significant_digits(column: str, digits: int = 15) -> Column:
 
 def write_ranked(ranked: DataFrame, path: str) -> None:
     """gene and rank value in rank order, one folder ``contrast=...`` for each ranking."""
+    gene, rank = RANKED_HEADER
     rows = ranked.orderBy("contrast", "rank").select(
-        "contrast", F.col("gene_id").alias("gene"), significant_digits("value").alias("rank")
+        "contrast", F.col("gene_id").alias(gene), significant_digits("value").alias(rank)
     )
     rows.write.mode("overwrite").partitionBy("contrast").csv(path, sep="\t", header=True)
 

@@ -41,16 +41,10 @@ RESULT_COLUMNS = {
     "Genes": "genes",
     "LeadGenes": "lead_genes",
 }
-NUMBERS = ("pvalue", "padj", "qvalue", "nes", "es")
-
-
-def contrast_name() -> Column:
-    """File name without its extensions."""
-    return F.regexp_replace("_metadata.file_name", r"(\.[A-Za-z]{2,4})?(\.gz)?\z", "")
+# Header of ranking files.
+RANKED_HEADER = ("gene", "rank")
 
-
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+NUMBERS = ("pvalue", "padj", "qvalue", "nes", "es")
 
 
 def _stem() -> Column:
@@ -59,18 +53,36 @@ def _stem() -> Column:
     return F.coalesce(folder_key("contrast"), stem)
 
 
-def _csv_fields(rows: DataFrame, sep: str) -> DataFrame:
-    """Add ``f``: the fields of ``line``, with quotes and escapes read as a CSV reader reads them."""
-    pieces = F.size(F.split("line", "\\Q" + sep + "\\E", -1))
-    width = rows.agg(F.max(pieces)).first()[0] or 1  # one number
+def _split_csv(line: str, sep: str, width: int) -> Column:
+    """The first ``width`` fields of a line, with quotes and escapes read as a CSV reader reads them."""
     names = [f"c{i}" for i in range(width)]
-    parsed = F.from_csv("line", ", ".join(f"{n} string" for n in names), {"sep": sep})
-    return rows.withColumn("_csv", parsed).withColumn("f", F.array(*[F.col(f"_csv.{n}") for n in names])).drop("_csv")
+    parsed = F.from_csv(line, ", ".join(f"{n} string" for n in names), {"sep": sep})
+    return F.array(*[parsed[n] for n in names])
+
+
+def _pieces(line: str, sep: str) -> Column:
+    return F.size(F.split(line, "\\Q" + sep + "\\E", -1))
+
+
+def _csv_fields(rows: DataFrame, sep: str, width: int) -> DataFrame:
+    """Add ``f``, the fields of ``line``."""
+    return rows.withColumn("f", _split_csv("line", sep, width))
 
 
-def _first_rows(rows: DataFrame) -> DataFrame:
-    """(file_path, _first): the place of each file's first row."""
-    return rows.groupBy(F.col("pos.file").alias("_file")).agg(F.min("pos").alias("_first"))
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """(_file, _first, line): the place and text of each file's first row, one row a file."""
+    first = F.min(F.struct("pos", "line"))
+    return lines.groupBy(F.col("pos.file").alias("_file")).agg(first.alias("_row")).select(
+        "_file", F.col("_row.pos").alias("_first"), F.col("_row.line").alias("line")
+    )
+
+
+def _headers(lines: DataFrame, sep: str) -> tuple[DataFrame, int]:
+    """(_file, _first, names) of each file's first row, and the width of the widest; one scan."""
+    heads = cut_lineage(_first_lines(lines))
+    width = heads.agg(F.max(_pieces("line", sep))).first()[0] or 1  # one number
+    names = F.transform(_split_csv("line", sep, width), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    return heads.select("_file", "_first", names.alias("names")), width
 
 
 def read_de_table(
@@ -92,22 +104,17 @@ def read_de_table(
     field ends on its line.
     """
     lines = read_lines(spark, paths).where(clean("line").isNotNull())
-    rows = _csv_fields(lines, sep)
-    first = rows.join(_first_rows(lines), F.col("pos") == F.col("_first"))
-    names = F.transform("f", lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    heads, width = _headers(lines, sep)
 
     def place(wanted: str | None, default: int | None) -> Column:
         """1-based place of a column in the file's header, 0 if it is not there."""
         if wanted:
-            return F.array_position(names, F.lit(wanted))
+            return F.array_position("names", F.lit(wanted))
         return F.lit(0 if default is None else default)
 
-    # One row a file.
-    headers = cut_lineage(
-        first.select(
-            "_file", "_first", place(gene_col, 1).alias("_gene"), place(value_col, 2).alias("_value"),
-            place(filter_col, None).alias("_filter"), place(direction_col, None).alias("_direction"),
-        )
+    headers = heads.select(
+        "_file", "_first", place(gene_col, 1).alias("_gene"), place(value_col, 2).alias("_value"),
+        place(filter_col, None).alias("_filter"), place(direction_col, None).alias("_direction"),
     )
     for what, wanted in (("gene", gene_col), ("value", value_col), ("filter", filter_col)):
         if wanted and not headers.where(F.col(f"_{what}") == 0).isEmpty():
@@ -116,6 +123,7 @@ def read_de_table(
     def at(place: str) -> Column:
         return F.when(F.col(place) > 0, F.get("f", (F.col(place) - 1).cast("int")))
 
+    rows = _csv_fields(lines, sep, max(width, 2))
     found = rows.join(broadcast_if_small(headers), F.col("pos.file") == F.col("_file")).where("pos <> _first")
     tables = found.select(
         _stem().alias("contrast"),
@@ -137,16 +145,16 @@ def read_de_directory(spark: SparkSession, folder: str, **options) -> DataFrame:
 def read_de_table_simple(spark: SparkSession, paths: Paths, sep: str = ",", has_header: bool = True) -> DataFrame:
     """Positional gene and value; a file's first row is dropped when it reads like a header."""
     lines = read_lines(spark, paths).where(clean("line").isNotNull())
-    rows = _csv_fields(lines, sep)
+    rows = _csv_fields(lines, sep, 2)
     if has_header:
         text = F.lower("line")
         worded = F.lit(False)
         for word in HEADER_WORDS:
             worded = worded | text.contains(word)
-        rows = rows.join(_first_rows(lines).select("_first"), F.col("pos") == F.col("_first"), "left")
-        rows = rows.where(F.col("_first").isNull() | ~worded)
+        headers = _first_lines(lines).where(worded).select(F.col("_first").alias("pos"))
+        rows = rows.join(broadcast_if_small(cut_lineage(headers)), "pos", "left_anti")
     return (
-        rows.where(F.size(F.split("line", "\\Q" + sep + "\\E", -1)) >= 2)
+        rows.where(_pieces("line", sep) >= 2)
         .select(
             _stem().alias("contrast"),
             F.col("pos").alias("row_no"),
@@ -158,9 +166,14 @@ def read_de_table_simple(spark: SparkSession, paths: Paths, sep: str = ",", has_
 
 
 def read_ranked(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(contrast, row_no, gene_id, value): gene and rank in either order, decided per row."""
-    rows = with_fields(read_lines(spark, paths)).where(
-        clean("line").isNotNull() & ~F.col("line").startswith("#")
+    """(contrast, row_no, gene_id, value): gene and rank in either order, decided per row.
+
+    A first row that is the header of this library's ranking files is not a gene.
+    """
+    lines = read_lines(spark, paths).where(clean("line").isNotNull() & ~F.col("line").startswith("#"))
+    headers = _first_lines(lines).where(F.col("line") == "\t".join(RANKED_HEADER))
+    rows = with_fields(lines).join(
+        broadcast_if_small(cut_lineage(headers.select(F.col("_first").alias("pos")))), "pos", "left_anti"
     )
     first, second = F.trim(field(0)), F.trim(field(1))
     a, b = parse_double(first), parse_double(second)
@@ -182,19 +195,32 @@ def read_gene_list(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def read_results(spark: SparkSession, paths: Paths, sep: str = "\t") -> DataFrame:
-    """Result tables by header, in any known spelling; NA and blank are null.
+    """Result tables by the header of each file, in any known spelling and order of columns.
 
-    The contrast is a column of the files this library writes, and else the name of the file.
+    Files of different spellings are united by name: a column that only some files have is null
+    in the rows of the others, one that none has is left out, and of two columns of a file with
+    the same meaning the first counts. NA and blank are null. The contrast is a column of the
+    files this library writes, and else the name of the file or of its folder ``contrast=``.
     """
-    raw = spark.read.csv(
-        paths if isinstance(paths, str) else list(paths), sep=sep, header=True, inferSchema=False
+    lines = read_lines(spark, paths).where(clean("line").isNotNull())
+    heads, width = _headers(lines, sep)
+    known = F.create_map(*[F.lit(x) for pair in RESULT_COLUMNS.items() for x in pair])
+    meant = F.transform("names", lambda x: F.try_element_at(known, x))
+    wanted = list(dict.fromkeys(RESULT_COLUMNS.values()))
+    placed = heads.select("_file", "_first", meant.alias("_meant"))
+    # At most one row a name.
+    seen = {r[0] for r in placed.select(F.explode("_meant")).distinct().collect()}
+    columns = [c for c in wanted if c in seen and c != "contrast"]
+    headers = placed.select(
+        "_file", "_first", *[F.array_position("_meant", F.lit(c)).alias(f"_{c}") for c in ("contrast", *columns)]
     )
-    picked = {}
-    for c in raw.columns:
-        name = RESULT_COLUMNS.get(c.strip())
-        if name and name not in picked:
-            column = _quoted(c)
-            picked[name] = parse_double(column) if name in NUMBERS else column
-    contrast = picked.pop("contrast", None)
-    named = contrast_name() if contrast is None else contrast
-    return raw.select(named.alias("contrast"), *[c.alias(n) for n, c in picked.items()])
+
+    def value(name: str) -> Column:
+        text = F.when(F.col(f"_{name}") > 0, F.get("f", (F.col(f"_{name}") - 1).cast("int")))
+        return parse_double(text) if name in NUMBERS else text
+
+    rows = _csv_fields(lines, sep, width).join(
+        broadcast_if_small(headers), F.col("pos.file") == F.col("_file")
+    ).where("pos <> _first")
+    contrast = F.when(F.col("_contrast") > 0, value("contrast")).otherwise(_stem())
+    return rows.select(contrast.alias("contrast"), *[value(c).alias(c) for c in columns])

@@ -231,3 +231,26 @@ def test_each_file_has_its_own_header(spark, tmp_path):
 def test_simple_table_quotes(spark, tmp_path):
     df = tables.read_de_table_simple(spark, put(tmp_path, "q.csv", 'Gene,log2FC\n"A,B",2\nC,"3"\n'))
     assert {(r.gene_id, r.value) for r in df.collect()} == {("A,B", 2.0), ("C", 3.0)}
+
+
+def test_results_of_mixed_files(spark, tmp_path):
+    """Each file by its own header: other spellings, other orders, missing and repeated columns."""
+    put(tmp_path, "a.tsv", "ID\tName\tPValue\tPAdjust\tQValue\nx\tn\t0.01\t0.02\t0.03\n")
+    put(tmp_path, "b.tsv", "ID\tDescription\tp.adjust\tqvalue\tpvalue\ny\t\"d \\\"q\\\"\ttab\"\t0.2\t0.3\t0.1\n")
+    put(tmp_path, "c.tsv", "pvalue\tmore\tPValue\tContrast\tID\n0.5\t?\t0.6\tnamed\tz\nNA\t\t1\t\tw\nshort\n")
+    put(tmp_path, "d.tsv", "ID\tPValue\n")
+    put(tmp_path, "e.tsv", "")
+    got = {r.id: r for r in tables.read_results(spark, str(tmp_path)).collect()}
+    assert (got["x"].contrast, got["x"].name, got["x"].pvalue, got["x"].padj, got["x"].qvalue) == ("a", "n", 0.01, 0.02, 0.03)
+    assert (got["y"].contrast, got["y"].description, got["y"].pvalue, got["y"].padj, got["y"].qvalue) == ("b", 'd "q"\ttab', 0.1, 0.2, 0.3)
+    assert (got["z"].contrast, got["z"].pvalue, got["z"].padj) == ("named", 0.5, None)
+    assert (got["w"].contrast, got["w"].pvalue) == (None, None) and got[None].pvalue is None
+    assert len(got) == 5
+
+
+def test_own_ranked_header_is_no_gene(spark, tmp_path):
+    put(tmp_path, "a.tsv", "# made by us\n\ngene\trank\ngene\t3\nB\t2\n")
+    put(tmp_path, "b.tsv", "gene\t1\ngene\trank\n")
+    got = tables.read_ranked(spark, str(tmp_path)).collect()
+    assert {(r.contrast, r.gene_id, r.value) for r in got} == {("a", "gene", 3.0), ("a", "B", 2.0), ("b", "gene", 1.0)}
+    assert len(got) == 4
