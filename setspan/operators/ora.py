@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from setspan.functions.ids import ratio_text
 from setspan.functions.stats import hypergeom_upper_tail
-from setspan.operators.scan import GROUP_ROWS, bh_scan, has_hubs, join_hubs
+from setspan.operators.scan import GROUP_ROWS, bh_scan, has_hubs, in_bounds, join_hubs
 
 KEYS = ("contrast", "direction")
 
@@ -37,7 +37,7 @@ def ora(
     universe: DataFrame,
     keys: Sequence[str] = KEYS,
     min_size: int = 10,
-    max_size: int = 500,
+    max_size: int | None = 500,
     q_cutoff: float | None = 0.05,
     hit_counts: DataFrame | None = None,
     universe_genes: DataFrame | None = None,
@@ -47,7 +47,7 @@ def ora(
     hits: (*keys, gene_id). term_gene: (collection, term_id, gene_id). universe: n_universe for
     any of the columns keys + collection. ``hit_counts`` overrides the distinct hit count n
     (used to count repeated rows). ``universe_genes`` (gene_id) restricts sets to it first.
-    ``q_cutoff=None`` keeps every tested set.
+    ``q_cutoff=None`` keeps every tested set; ``max_size=None`` tests sets of any size.
     """
     keys = list(keys)
     # Null ids match nothing; dropping them here lets both uses of each frame share its shuffle.
@@ -58,7 +58,7 @@ def ora(
     sizes = (
         members.groupBy("collection", "term_id")
         .agg(F.count(F.lit(1)).alias("set_size"))
-        .where(F.col("set_size").between(min_size, max_size))
+        .where(in_bounds("set_size", min_size, max_size))
     )
     # Sets out of bounds leave before the join with hits, so a huge set is never multiplied.
     sized = members.join(sizes, ["collection", "term_id"])
@@ -68,7 +68,8 @@ def ora(
     overlaps = overlap_counts(distinct_hits, sized, keys, has_hubs(term_gene, "gene_id"))
     # p depends on four counts alone, so rows are reduced to distinct (overlap, set size) pairs per
     # group before the per-group counts are joined, the test runs and p is corrected: at most
-    # max_size^2 / 2 rows per group, however many sets there are.
+    # max_size^2 / 2 rows per group, however many sets there are; without a bound the rows are
+    # counted before they are corrected.
     pair = [*keys, "collection", "overlap", "set_size"]
     pairs = (
         overlaps.groupBy(*pair)
@@ -77,7 +78,7 @@ def ora(
         .join(universe, shared)
         .withColumn("pvalue", hypergeom_upper_tail("overlap", "n_hits", "set_size", "n_universe"))
     )
-    split = False if max_size * max_size / 2 <= GROUP_ROWS else None
+    split = False if max_size is not None and max_size * max_size / 2 <= GROUP_ROWS else None
     tested = bh_scan(pairs, [*keys, "collection"], "pvalue", "_sets", split=split)
     adjusted = overlaps.join(tested.drop("_sets"), pair)
     result = adjusted.withColumn("qvalue", F.col("padj"))

@@ -26,6 +26,11 @@ HUB_ROWS = 1_000_000
 BLOCK = "_block"
 
 
+def in_bounds(size: str, least: int, most: int | None) -> Column:
+    """Whether a size is at least and, unless there is no upper bound, at most so large."""
+    return F.col(size) >= least if most is None else F.col(size).between(least, most)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the biggest group: one map-side combined count, one number to the driver."""
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]

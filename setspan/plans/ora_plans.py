@@ -128,7 +128,7 @@ def ora_tokens_toxic(spark: SparkSession, sf: str) -> DataFrame:
     sets = sets.select(F.col("contrast").alias("collection"), "term_id", "gene_id")
     hits = docs.where("toxic = 1").select("contrast", F.lit("All").alias("direction"), "gene_id")
     universe = docs.groupBy("contrast").agg(F.countDistinct("gene_id").alias("n_universe"))
-    return _rounded(ora(hits, sets, universe, q_cutoff=1.0, min_size=10, max_size=2000))
+    return _rounded(ora(hits, sets, universe, q_cutoff=1.0, min_size=10, max_size=None))
 
 
 def bh_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,13 +192,13 @@ ELSE least(1.0, list_sum(list_transform(
     - {_choose('n_universe', 'least(n_hits, n_universe)')})))) END"""
 
 
-def ora_sql(hits: str, sets: str, universe: str, on: str, low: int, high: int) -> str:
+def ora_sql(hits: str, sets: str, universe: str, on: str, low: int, high: int | None) -> str:
     """CTEs up to ``adjusted`` from CTE names for hits, sets and universe sizes."""
     return f"""
 h AS (SELECT DISTINCT contrast, direction, gene_id FROM {hits}),
 m AS (SELECT DISTINCT collection, term_id, gene_id FROM {sets}),
 sizes AS (SELECT collection, term_id, count(*) AS set_size FROM m GROUP BY ALL
-          HAVING count(*) BETWEEN {low} AND {high}),
+          HAVING count(*) >= {low} {f'AND count(*) <= {high}' if high else ''}),
 nh AS (SELECT contrast, direction, count(*) AS n_hits FROM h GROUP BY ALL),
 counted AS (
   SELECT contrast, direction, collection, term_id, overlap, n_hits, set_size, n_universe
@@ -284,7 +284,7 @@ sets AS (SELECT contrast AS collection, term_id, gene_id FROM token_sets
          WHERE gene_id IN (SELECT gene_id FROM lab)),
 hits AS (SELECT contrast, 'All' AS direction, gene_id FROM docs WHERE toxic = 1),
 u AS (SELECT contrast, count(DISTINCT gene_id) AS n_universe FROM docs GROUP BY 1),
-{ora_sql('hits', 'sets', 'u', 'contrast', 10, 2000)} SELECT {ROW_SQL} FROM adjusted""",
+{ora_sql('hits', 'sets', 'u', 'contrast', 10, None)} SELECT {ROW_SQL} FROM adjusted""",
     "bh_adjust": """WITH t AS (SELECT c_custkey, c_mktsegment AS segment, (c_acctbal + 1000.0) / 11000.0 AS p
   FROM customer),
 r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY p, c_custkey) AS i,
