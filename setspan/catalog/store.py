@@ -1,18 +1,25 @@
-"""The catalog of set collections and id maps: partitioned Parquet with dynamic overwrite.
+"""The catalog of set collections and id maps: partitioned Parquet under a log of versions.
 
-A replacement is staged first (written next to the catalog and read back), so its input may
-come from the catalog itself and a failing producer leaves the old partition untouched. Terms and
-genes of a collection go to a folder of a new version; readers follow the version the dataset row
-names, and that row is written last. Whatever fails before leaves all three tables as they were.
+A replacement is written to folders of a new version, which nobody reads yet, and becomes the
+current one by a new entry in the log of its collection or map scope. Entries are numbered files,
+made only if there is none of that number, so of two writers that started from the same entry one
+commits and the other gets ``CatalogConflict``; nothing of a failed or beaten writer is ever read.
+(The file system must make files without overwriting atomically, as HDFS does.) Old versions stay
+until ``vacuum`` removes those superseded long enough ago, so readers that are already planned
+keep their rows, and input may come from the catalog itself.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from setspan.functions.ids import clean
@@ -25,9 +32,13 @@ KEY = ("db", "species", "ontology", "collection")
 SCOPE = ("species", "source", "from_type")
 # Names the version folder a collection's rows are read from.
 VERSION = "data_version"
-VERSIONED = ("dataset", "term", "term_gene")
 BLANK = "-"
 
+# Logs with the keys of their entries, and the tables whose versions they name.
+LOGS = {"dataset": KEY, "idmap": SCOPE}
+LOG_OF = {"term": "dataset", "term_gene": "dataset", "idmap": "idmap"}
+ENTRY = {"seq": "bigint", VERSION: "string", "gene_id_type": "string", "version": "string", "downloaded_at": "timestamp"}
+
 # Declared contract of the catalog tables.
 CONTRACTS = {
     "dataset": TableContract(
@@ -50,6 +61,10 @@ CONTRACTS = {
 }
 
 
+class CatalogConflict(RuntimeError):
+    """Somebody else replaced the same collection or map scope in the meantime."""
+
+
 @dataclass(frozen=True)
 class CollectionKey:
     db: str
@@ -72,27 +87,60 @@ class Catalog:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _exists(self, path: str) -> bool:
+    def _at(self, path: str):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def _exists(self, path: str) -> bool:
+        files, at = self._at(path)
+        return files.exists(at)
 
     def _delete(self, path: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        files, at = self._at(path)
+        files.delete(at, True)
+
+    def _list(self, pattern: str) -> list[tuple[str, int]]:
+        """(path, modification time in ms) of what fits a pattern."""
+        files, at = self._at(pattern)
+        return [(f.getPath().toString(), f.getModificationTime()) for f in files.globStatus(at) or []]
+
+    def _log(self, log: str, values: dict[str, str] | None = None) -> str:
+        folder = f"{self.root}/log/{log}"
+        return folder if values is None else f"{folder}/{'.'.join(quote(values[k], safe='') for k in LOGS[log])}"
+
+    def entries(self, log: str) -> DataFrame:
+        """All entries of a log; files that are not written yet give no row."""
+        schema = {**dict.fromkeys(LOGS[log], "string"), **ENTRY}
+        ddl = ", ".join(f"`{c}` {t}" for c, t in schema.items())
+        if not self._exists(self._log(log)):
+            return self.spark.createDataFrame([], ddl)
+        rows = self.spark.read.schema(ddl).option("recursiveFileLookup", "true").json(self._log(log))
+        return rows.where(F.col(VERSION).isNotNull())
+
+    def current(self, log: str) -> DataFrame:
+        """The last entry of every collection or map scope."""
+        keys = list(LOGS[log])
+        last = self.entries(log).groupBy(*keys).agg(F.max_by(F.struct(*ENTRY), "seq").alias("_e"))
+        return last.select(*keys, "_e.*")
+
+    def head(self, log: str, values: dict[str, str]) -> int:
+        """Number of the last entry of one collection or map scope, 0 if there is none."""
+        names = [p.rsplit("/", 1)[1] for p, _ in self._list(f"{self._log(log, values)}/*.json")]
+        return max((int(n.removesuffix(".json")) for n in names), default=0)
 
     def table(self, name: str) -> DataFrame:
         """A catalog table with its declared columns; empty when nothing was written yet."""
-        rows = self._raw(name)
-        if name in VERSIONED and name != "dataset":
-            current = self._raw("dataset").select(*KEY, VERSION)  # one row a collection
-            rows = rows.join(broadcast_if_small(current), [*KEY, VERSION], "left_semi")
-        return rows.select(*CONTRACTS[name].columns)
+        contract = CONTRACTS[name]
+        if name == "dataset":
+            return self.current(name).select(*contract.columns)
+        keys = list(LOGS[LOG_OF[name]])
+        current = self.current(LOG_OF[name]).select(*keys, VERSION)  # one row a collection
+        rows = self._raw(name).join(broadcast_if_small(current), [*keys, VERSION], "left_semi")
+        return rows.select(*contract.columns)
 
     def _raw(self, name: str) -> DataFrame:
         """All rows of all versions."""
-        columns = dict(CONTRACTS[name].columns)
-        if name in VERSIONED:
-            columns[VERSION] = "string"
+        columns = {**CONTRACTS[name].columns, VERSION: "string"}
         schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
         if not self._exists(self.path(name)):
             return self.spark.createDataFrame([], schema)
@@ -102,18 +150,22 @@ class Catalog:
         return {name: self.table(name) for name in CONTRACTS}
 
     def _of(self, name: str, values: dict[str, str]) -> DataFrame:
-        return self._rows_of(self.table(name), values)
+        """The current rows of one collection or map scope, read from its version's folder alone."""
+        log = LOG_OF[name]
+        matches = [F.col(k) == v for k, v in values.items()]
+        found = self.current(log)
+        for m in matches:
+            found = found.where(m)
+        version = found.select(VERSION).first()  # one row
+        rows = self._raw(name)
+        for m in [*matches, F.col(VERSION) == (version[0] if version else "")]:
+            rows = rows.where(m)
+        return rows.select(*CONTRACTS[name].columns)
 
     @staticmethod
     def _leaf(partition: Sequence[str], values: dict[str, str]) -> str:
         return "/".join(f"{k}={values[k]}" for k in partition)
 
-    @staticmethod
-    def _rows_of(df: DataFrame, values: dict[str, str]) -> DataFrame:
-        for column, value in values.items():
-            df = df.where(F.col(column) == value)
-        return df
-
     def load(self, key: CollectionKey) -> DataFrame:
         """Terms of one collection with members; sets without genes keep a null gene."""
         values = key.values()
@@ -126,27 +178,75 @@ class Catalog:
 
     # -- writing -------------------------------------------------------------------------------
 
-    def _stage(self, df: DataFrame) -> tuple[DataFrame, str]:
-        folder = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        return self.spark.read.parquet(folder), folder
-
-    def _overwrite(self, table: str, df: DataFrame, partition: Sequence[str], values: dict[str, str]) -> None:
-        """Replace one partition; an empty replacement removes the partition."""
-        if df.isEmpty():
-            self._delete(f"{self.path(table)}/{self._leaf(partition, values)}")
-            return
-        for column, value in values.items():
+    def _write(self, table: str, df: DataFrame, values: dict[str, str], version: str) -> None:
+        """The rows of one version, next to those of others."""
+        keys = LOGS[LOG_OF[table]]
+        for column, value in {**values, VERSION: version}.items():
             df = df.withColumn(column, F.lit(value))
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            *partition
-        ).parquet(self.path(table))
+        df.write.mode("append").partitionBy(*keys, VERSION).parquet(self.path(table))
+
+    def _discard(self, log: str, version: str) -> None:
+        depth = "/*" * len(LOGS[log])
+        for table in (t for t, name in LOG_OF.items() if name == log):
+            for path, _ in self._list(f"{self.path(table)}{depth}/{VERSION}={version}"):
+                self._delete(path)
+
+    def _commit(self, log: str, values: dict[str, str], after: int, new: str, **fields) -> None:
+        """Make version ``new`` the current one if the last entry is still number ``after``."""
+        stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + "Z"
+        entry = {**values, "seq": after + 1, VERSION: new, "downloaded_at": stamp, **fields}
+        files, at = self._at(f"{self._log(log, values)}/{after + 1:012d}.json")
+        if self.head(log, values) != after:
+            raise CatalogConflict(f"{log} {values} was replaced meanwhile")
+        try:
+            out = files.create(at, False)
+        except Py4JJavaError as e:
+            if files.exists(at):
+                raise CatalogConflict(f"{log} {values} was replaced meanwhile") from e
+            raise
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+
+    def vacuum(self, keep_seconds: float = 7 * 86400) -> list[str]:
+        """Remove versions superseded, and orphans written, longer ago than that; their folders.
+
+        ``keep_seconds`` must exceed the longest job that reads or writes the catalog.
+        """
+        limit = (time.time() - keep_seconds) * 1000
+        removed = []
+        for log, keys in LOGS.items():
+            # A row a replacement: when it was followed by the next one, null for the current one.
+            followed = Window.partitionBy(*keys).orderBy("seq")
+            known = {
+                r[0]: r[1]
+                for r in self.entries(log)
+                .select(VERSION, (F.lead("downloaded_at").over(followed).cast("double") * 1000))
+                .collect()
+            }
+            for table in (t for t, name in LOG_OF.items() if name == log):
+                for path, written in self._list(f"{self.path(table)}{'/*' * len(keys)}/{VERSION}=*"):
+                    version = path.rsplit("=", 1)[1]
+                    since = known[version] if version in known else written
+                    if since is not None and since <= limit:
+                        self._delete(path)
+                        removed.append(path)
+        return removed
 
     def replace_sets(
-        self, key: CollectionKey, term: DataFrame, term_gene: DataFrame, gene_id_type: str, version: str
+        self,
+        key: CollectionKey,
+        term: DataFrame,
+        term_gene: DataFrame,
+        gene_id_type: str,
+        version: str,
+        after: int | None = None,
     ) -> None:
-        """Replace one collection: blank ids skipped, blank names become the id, blank texts a dash."""
+        """Replace one collection: blank ids skipped, blank names become the id, blank texts a dash.
+
+        ``after`` is the ``head`` that the input was made from, by default the one found here.
+        """
         values = key.values()
+        after = self.head("dataset", values) if after is None else after
         terms = (
             term.select(clean("term_id").alias("term_id"), clean("name").alias("n"), clean("description").alias("d"))
             .where("term_id is not null")
@@ -161,25 +261,19 @@ class Catalog:
             .where("term_id is not null and gene_id is not null")
             .distinct()
         )
-        staged_terms, folder_a = self._stage(terms)
-        staged_genes, folder_b = self._stage(genes.join(staged_terms.select("term_id"), "term_id", "left_semi"))
+        new = uuid.uuid4().hex
         try:
-            old = [r[0] for r in self._rows_of(self._raw("dataset"), values).select(VERSION).collect()]  # one row
-            new = {**values, VERSION: uuid.uuid4().hex}
-            place = [*KEY, VERSION]
-            self._overwrite("term_gene", staged_genes.sortWithinPartitions("term_id", "gene_id"), place, new)
-            self._overwrite("term", staged_terms.sortWithinPartitions("term_id", "name"), place, new)
-            row = self.spark.range(1).select(
-                F.lit(gene_id_type).alias("gene_id_type"), F.lit(version).alias("version"),
-                F.current_timestamp().alias("downloaded_at"), F.lit(new[VERSION]).alias(VERSION),
-            )
-            self._overwrite("dataset", row, KEY, values)
-            for before in old:
-                for table in ("term", "term_gene"):
-                    self._delete(f"{self.path(table)}/{self._leaf(place, {**values, VERSION: before})}")
-        finally:
-            self._delete(folder_a)
-            self._delete(folder_b)
+            self._write("term", terms.sortWithinPartitions("term_id", "name"), values, new)
+            # The terms as written: a producer that is run twice cannot disagree with itself.
+            written = self._raw("term")
+            for column, value in {**values, VERSION: new}.items():
+                written = written.where(F.col(column) == value)
+            known = genes.join(written.select("term_id"), "term_id", "left_semi")
+            self._write("term_gene", known.sortWithinPartitions("term_id", "gene_id"), values, new)
+            self._commit("dataset", values, after, new, gene_id_type=gene_id_type, version=version)
+        except BaseException:
+            self._discard("dataset", new)
+            raise
 
     def replace_idmap(
         self, species: str, source: str, from_type: str, to_type: str, pairs: DataFrame
@@ -196,13 +290,15 @@ class Catalog:
             .where("from_id is not null and entrez_id is not null and from_id <> entrez_id")
             .distinct()
         )
-        staged, folder = self._stage(rows)
+        values = dict(zip(SCOPE, (species.strip().lower(), source, stored)))
+        after = self.head("idmap", values)
+        new = uuid.uuid4().hex
         try:
-            stamped = staged.withColumn("downloaded_at", F.current_timestamp())
-            values = dict(zip(SCOPE, (species.strip().lower(), source, stored)))
-            self._overwrite("idmap", stamped, SCOPE, values)
-        finally:
-            self._delete(folder)
+            self._write("idmap", rows.withColumn("downloaded_at", F.current_timestamp()), values, new)
+            self._commit("idmap", values, after, new)
+        except BaseException:
+            self._discard("idmap", new)
+            raise
 
     def sync_idmap(
         self, species: str, source: str, from_type: str, to_type: str, producer, force: bool = False

@@ -227,6 +227,46 @@ def catalog_replace_query(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.table("term_gene").select("db", "species", "term_id", "gene_id")
 
 
+def catalog_concurrent_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A reader planned before a replacement, two writers of which one loses, and a failed one.
+
+    The reader gives the old rows and a new one the rows of the writer that won.
+    """
+    catalog = Catalog(spark, scratch_dir(spark))
+    term, term_gene = customer_sets(spark, sf)
+    catalog.replace_sets(KEY, term, term_gene, "ENTREZID", "v1")
+    before = catalog.load(KEY)
+    seen = catalog.head("dataset", KEY.values())
+    late = term.where("description = 'BUILDING'")
+    catalog.replace_sets(KEY, late, term_gene, "ENTREZID", "v2", after=seen)
+    lost = 0
+    for writer in (lambda: catalog.replace_sets(KEY, term.limit(1), term_gene, "ENTREZID", "v3", after=seen),
+                   lambda: catalog.replace_sets(KEY, term.withColumn("name", F.raise_error(F.lit("no source"))), term_gene, "ENTREZID", "v4")):
+        try:
+            writer()
+        except Exception:  # noqa: BLE001  the loser's conflict, the failed producer's error
+            lost += 1
+    catalog.vacuum()
+    version = catalog.table("dataset").select("version").scalar()
+    rows = ["term_id", "name", "gene_id"]
+    return before.select(F.lit("before").alias("reader"), F.lit("v1").alias("version"), F.lit(0).alias("lost"), *rows).unionByName(
+        catalog.load(KEY).select(F.lit("after").alias("reader"), version.alias("version"), F.lit(lost).alias("lost"), *rows)
+    )
+
+
+def resume_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Map scopes filled once: a second run skips those that have rows, unless it is forced."""
+    catalog = Catalog(spark, scratch_dir(spark))
+    pairs = table(spark, sf, "customer").select(F.col("c_name").alias("from_id"), F.col("c_custkey").cast("string").alias("to_id"), "c_mktsegment")
+    part = lambda segment: lambda: pairs.where(F.col("c_mktsegment") == segment).drop("c_mktsegment")
+    for source, segment, force in (
+        ("a", "BUILDING", False), ("b", "MACHINERY", False), ("a", "FURNITURE", False), ("b", "HOUSEHOLD", True),
+        ("c", "nobody", False), ("c", "AUTOMOBILE", False),
+    ):
+        catalog.sync_idmap("cust", source, "SYMBOL", "ENTREZID", part(segment), force)
+    return catalog.table("idmap").select("source", "from_type", "from_id", "entrez_id")
+
+
 def incremental_query(spark: SparkSession, sf: str) -> DataFrame:
     """Contrasts that land in two runs, tested as they come."""
     landing, out, state = (scratch_dir(spark) for _ in range(3))
@@ -255,6 +295,8 @@ QUERIES = {
     "de_simple": de_simple_query,
     "gene_list": gene_list_query,
     "catalog_replace": catalog_replace_query,
+    "catalog_concurrent": catalog_concurrent_query,
+    "catalog_resume": resume_query,
     "ora_incremental": incremental_query,
 }
 
@@ -297,6 +339,13 @@ SELECT contrast, gene_id, value, abs(value) >= 30 AS is_sig FROM part_values""",
     "catalog_replace": """SELECT 'kegg' AS db, species, CAST(c_custkey AS VARCHAR) AS term_id, CAST(o_orderkey AS VARCHAR) AS gene_id
 FROM customer JOIN orders ON o_custkey = c_custkey, (VALUES ('hsa'), ('mmu')) s(species)
 WHERE species = 'mmu' OR c_mktsegment = 'BUILDING'""",
+    "catalog_concurrent": """SELECT 'before' AS reader, 'v1' AS version, 0 AS lost, CAST(c_custkey AS VARCHAR) AS term_id, c_name AS name,
+  CAST(o_orderkey AS VARCHAR) AS gene_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+UNION ALL SELECT 'after', 'v2', 2, CAST(c_custkey AS VARCHAR), c_name, CAST(o_orderkey AS VARCHAR)
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""",
+    "catalog_resume": """SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'a' WHEN 'HOUSEHOLD' THEN 'b' ELSE 'c' END AS source,
+  'SYMBOL' AS from_type, c_name AS from_id, CAST(c_custkey AS VARCHAR) AS entrez_id
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'AUTOMOBILE')""",
     "ora_incremental": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)} SELECT {ROW_SQL} FROM adjusted""",
 }

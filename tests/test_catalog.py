@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from setspan.catalog.store import CONTRACTS, Catalog, CollectionKey
+from setspan.catalog.store import CONTRACTS, Catalog, CatalogConflict, CollectionKey
 from setspan.operators import quality as q
 from setspan.sinks import files
 from setspan.sources.sets import read_gmt
@@ -49,6 +49,30 @@ def test_round_trip_and_replace(spark, catalog):
     assert catalog.load(KEGG).count() == 0 and catalog.load(other).count() == 2
 
 
+def test_readers_and_writers_at_once(spark, catalog):
+    fill(spark, catalog)
+    before, seen = catalog.load(KEGG), catalog.head("dataset", KEGG.values())
+    assert seen == 1
+    new = term_frames(spark, [("p9", "nine", "d")], [("p9", "9")])
+    catalog.replace_sets(KEGG, *new, "ENTREZID", "v2", after=seen)
+    # The second writer of the same state loses and leaves nothing behind.
+    with pytest.raises(CatalogConflict):
+        catalog.replace_sets(KEGG, *term_frames(spark, [("x", "x", "x")], [("x", "1")]), "ENTREZID", "v3", after=seen)
+    assert members(before) == [("p1", "one", "1"), ("p1", "one", "2"), ("p2", "p2", "3")]
+    assert members(catalog.load(KEGG)) == [("p9", "nine", "9")]
+    assert len(catalog._list(f"{catalog.path('term')}/*/*/*/*/*")) == 2
+    # An orphan of a crashed writer, and an entry whose file was made but never written.
+    catalog._write("term", new[0].where("true"), KEGG.values(), "orphan")
+    files, at = catalog._at(f"{catalog._log('dataset', KEGG.values())}/{3:012d}.json")
+    files.create(at, False).close()
+    assert members(catalog.load(KEGG)) == [("p9", "nine", "9")] and catalog.table("term").count() == 1
+    assert catalog.vacuum(3600) == [] and before.count() == 3
+    assert len(catalog.vacuum(0)) == 3  # two folders of the first version and the orphan
+    assert members(catalog.load(KEGG)) == [("p9", "nine", "9")]
+    catalog.replace_sets(KEGG, *new, "ENTREZID", "v4")
+    assert catalog.head("dataset", KEGG.values()) == 4 and catalog.table("dataset").first().version == "v4"
+
+
 def map_frame(spark, *rows):
     return spark.createDataFrame(list(rows), "from_id string, to_id string")
 
@@ -177,14 +201,11 @@ def test_failed_replacement_changes_nothing(spark, tmp_path, monkeypatch):
     first = spark.createDataFrame([("p1", "one", "d")], term), spark.createDataFrame([("p1", "1")], "term_id string, gene_id string")
     second = spark.createDataFrame([("p2", "two", "d")], term), spark.createDataFrame([("p2", "2")], "term_id string, gene_id string")
     catalog.replace_sets(key, *first, "ENTREZID", "v1")
-    whole = Catalog._overwrite
 
-    def fails(self, table, *rest):
-        if table == "dataset":
-            raise RuntimeError("lost")
-        whole(self, table, *rest)
+    def fails(self, *args, **fields):
+        raise RuntimeError("lost")
 
-    monkeypatch.setattr(Catalog, "_overwrite", fails)
+    monkeypatch.setattr(Catalog, "_commit", fails)
     with pytest.raises(RuntimeError):
         catalog.replace_sets(key, *second, "ENTREZID", "v2")
     monkeypatch.undo()
