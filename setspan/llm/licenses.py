@@ -1,25 +1,29 @@
 """License scans by conditional compression.
 
-A candidate block (the paragraphs with licensing words) is first compared whole with the templates
-of many words; one is confirmed if nearly all its words are there. What is left of the block is
-looked at by lines, for templates of one line. There the text is compressed alone and with each
-template as a raw zstandard dictionary. The share of bytes a template saves ranks the templates; the best few
-are then compared word by word. The one with the fewest wording differences wins, and it is
-confirmed if it holds nearly all words of the block or of itself and no number (a version) differs.
-
-Compression tells likely templates apart in any layout, the words tell GPL 2 from GPL 3.
+A candidate block, the paragraphs around licensing words, is compressed alone and with each
+template as a raw zstandard dictionary; the bytes a template saves rank the templates. The best few
+are aligned with the block word by word. The one that most of the block's words belong to wins, its
+span is taken out, and what is left before and behind it is ranked again; where a whole block shows
+nothing, its lines with licensing words are ranked one by one. Compression tells likely templates
+apart in any layout, the words tell GPL 2 from GPL 3.
+
+A winner is ``confirmed`` if it loses none of its words (of a template of over 25 words one in
+fifty, and none that matters) and nothing that negates, limits or renumbers it was lost, added
+inside its span or stands in the sentence around it. Otherwise it is ``modified``, with the
+differences; what has too few words of any template is ``unknown``.
 
 Each text is worked on by itself, whole: no shuffle, no state; only texts with a licensing word
 leave the JVM. A null or empty text has no blocks; ids may be null; repeated rows are reported
-alike; an empty table gives an empty result. Paragraphs and very long lines are cut to what is around
-the licensing words, with more room than the longest template needs, so a block is bounded, and
-every licensing word of the text is still looked at.
+alike; an empty table gives an empty result. Long paragraphs and lines are looked at in blocks that
+overlap by more than the longest template, so a template of any length lies whole in one of them
+and every licensing word of the text is looked at.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +34,22 @@ from setspan.llm.common import ship_package
 LONG_LINE = 400
 AROUND = 200
 RIVALS = 4
-MIN_SAVED = 0.25
-MIN_SHARED = 0.8
+MIN_SHARED = 0.8  # share of a template's words that makes it a candidate
 FULL_WORDS = 25  # templates of more words are whole texts
-MIN_FULL = 0.9  # share of a whole text's words
-GROW = 3000  # characters of a paragraph or long line before and after a licensing word
-MOST = 32_000  # characters in a block
+LOSE_ONE_OF = 50  # words of a whole text
+GROW = 3000  # least characters of a paragraph or long line before and after a licensing word
+BLOCK_ROOMS = 8  # a block's length in rooms of the longest template
 LEVEL = 12
 
+# Words that change what a notice says when they come or go.
+MATTERS = frozenset(
+    "not no non never nor neither none cannot without except excluding excluded exception unless only "
+    "solely prohibited forbidden disallowed refused denied revoked must may provided however but instead "
+    "formerly previously longer unlike if until commercial noncommercial subject limited isn aren wasn "
+    "weren don doesn didn won wouldn shouldn can".split()
+)
+_SENTENCE_END = re.compile(r"[.!?;](?=\s|$)|\n\s*\n")
+
 TRIGGER = (
     r"licen[sc]e|copyright|all rights reserved|permission is hereby|permission to use, copy"
     r"|redistribution and use|without warranty|creative commons|\bcc[ -]by\b|\bcc0\b|public domain|spdx"
@@ -131,6 +143,18 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+class Match(NamedTuple):
+    """A template in a stretch of text: where, which, bytes and words, and what follows from them."""
+
+    start: int
+    length: int
+    license: str
+    saved: float
+    shared: float
+    differences: str
+    verdict: str
+
+
 class Scanner:
     """The templates with their compressors, made once a worker."""
 
@@ -144,82 +168,87 @@ class Scanner:
                 data = zstandard.ZstdCompressionDict(
                     self._plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT
                 )
+                data.precompute_compress(level=LEVEL)
                 with_form = zstandard.ZstdCompressor(
                     level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False
                 )
                 self.forms.append((name, words(text), with_form))
+        longest = max((len(t) for texts in templates.values() for t in texts), default=0)
+        # Room for a template with some more words and other line breaks in it.
+        self.room = max(GROW, longest + longest // 4 + AROUND)
 
     @staticmethod
     def _plain(text: str) -> bytes:
         return " ".join(text.lower().split()).encode("utf-8", "replace")
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(saved share of bytes, form) of the forms, best first."""
+    def rank(self, block: str) -> list[tuple[int, int]]:
+        """(saved bytes, form) of the forms, best first."""
         data = self._plain(block)
-        alone = len(self.alone.compress(data))
-        saved = [(1 - len(f.compress(data)) / alone, -k) for k, (_, _, f) in enumerate(self.forms)]
+        self.size = len(self.alone.compress(data))
+        saved = [(self.size - len(f.compress(data)), -k) for k, (_, _, f) in enumerate(self.forms)]
         return [(s, -k) for s, k in sorted(saved, reverse=True)]
 
-    def match(self, block: str) -> tuple[str, float, float, str, bool]:
-        """(license, saved, shared, differences, confirmed) of the winner."""
-        said = words(block)
-        best = None
-        for saved, k in self.rank(block)[:RIVALS]:
-            name, form, _ = self.forms[k]
-            compare = difflib.SequenceMatcher(None, form, said, autojunk=False)
-            same = sum(m.size for m in compare.get_matching_blocks())
-            lost, added = [], []
-            for op, a, b, c, d in compare.get_opcodes():
-                if op != "equal":
-                    lost += form[a:b]
-                    added += said[c:d]
-            shared = same / max(1, min(len(form), len(said)))
-            numbers = [w for w in lost if w[0].isdigit()]
-            whole = len(form) <= FULL_WORDS or same >= MIN_FULL * len(form)
-            confirmed = saved >= MIN_SAVED and shared >= MIN_SHARED and whole and not numbers
-            order = (confirmed, -len(lost) - len(added), saved, -k)
-            if best is None or order > best[0]:
-                told = " ".join([f"-{w}" for w in lost] + [f"+{w}" for w in added])
-                best = (order, (name, saved, shared, told, confirmed))
-        return best[1]
-
-
-    def match_full(self, block: str) -> tuple | None:
-        """(start, length, *match) of the whole-text template with the fewest differences, if one is there."""
+    def match(self, block: str) -> Match:
+        """The winner in a stretch of text."""
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         said = [block[a:b].lower() for a, b in spans]
-        known = set(said)
         best = None
-        for k, (name, form, with_form) in enumerate(self.forms):
-            kinds = set(form)
-            if len(form) <= FULL_WORDS or 2 * len(kinds & known) < len(kinds):
-                continue
-            compare = difflib.SequenceMatcher(None, form, said, autojunk=False)
-            same = [m for m in compare.get_matching_blocks() if m.size]
-            shared = sum(m.size for m in same) / len(form)
-            if shared < MIN_FULL:
-                continue
-            first, last = same[0].b, same[-1].b + same[-1].size
-            lost, added = [], []
-            for op, a, b, c, d in compare.get_opcodes():
-                if op != "equal":
-                    lost += form[a:b]
-                    added += said[max(c, first) : min(d, last)]
-            if any(w[0].isdigit() for w in lost):
+        for saved, k in self.rank(block)[:RIVALS]:
+            name, form, _ = self.forms[k]
+            found = self.aligned(form, said, spans, block)
+            if found is None:
                 continue
-            order = (-len(lost), -len(added), last - first, -k)
-            # More of a longer text is worth more than fewer words added to a shorter one.
-            order = (sum(m.size for m in same) - len(lost), *order)
+            order, start, end, shared, told, verdict = found
+            share = saved / max(1, self.size)
+            order = (verdict != "unknown", *order, saved, -k)
             if best is None or order > best[0]:
-                start, end = spans[first][0], spans[last - 1][1]
-                best = (order, start, end, name, shared, lost, added, with_form)
+                best = (order, Match(start, end - start, name, share, shared, told, verdict))
         if best is None:
+            saved, k = self.rank(block)[0]
+            return Match(0, len(block), self.forms[k][0], saved / max(1, self.size), 0.0, "", "unknown")
+        return best[1]
+
+    @staticmethod
+    def aligned(form: list[str], said: list[str], spans: list[tuple[int, int]], block: str) -> tuple | None:
+        """(order, start, end, shared, differences, verdict) of a template in a block."""
+        compare = difflib.SequenceMatcher(None, form, said, autojunk=False)
+        same = [m for m in compare.get_matching_blocks() if m.size]
+        if not same:
             return None
-        _, start, end, name, shared, lost, added, with_form = best
-        data = self._plain(block[start:end])
-        saved = 1 - len(with_form.compress(data)) / len(self.alone.compress(data))
-        told = " ".join([f"-{w}" for w in lost] + [f"+{w}" for w in added])
-        return start, end - start, name, saved, shared, told, True
+        # Words met far away are not part of the notice: neighbours join the longest stretch as
+        # long as they are large for their distance.
+        low = high = max(range(len(same)), key=lambda i: same[i].size)
+        while low and same[low].b - same[low - 1].b - same[low - 1].size <= 8 + 2 * same[low - 1].size:
+            low -= 1
+        while high + 1 < len(same) and same[high + 1].b - same[high].b - same[high].size <= 8 + 2 * same[high + 1].size:
+            high += 1
+        same = same[low : high + 1]
+        first, last = same[0].b, same[-1].b + same[-1].size
+        matched = sum(m.size for m in same)
+        kept = {i for m in same for i in range(m.a, m.a + m.size)}
+        theirs = {i for m in same for i in range(m.b, m.b + m.size)}
+        lost = [w for i, w in enumerate(form) if i not in kept]
+        added = [said[i] for i in range(first, last) if i not in theirs]
+        shared = matched / len(form)
+        start, end = spans[first][0], spans[last - 1][1]
+        # The rest of the sentences that the span begins and ends in.
+        before = 0
+        for m in _SENTENCE_END.finditer(block, 0, start):
+            before = m.end()
+        after = _SENTENCE_END.search(block, end)
+        around = words(block[before:start]) + words(block[end : after.start() if after else len(block)])
+        heavy = [w for w in lost + added if w in MATTERS or w[0].isdigit()]
+        limits = [w for w in around if w in MATTERS]
+        few = len(lost) <= (len(form) // LOSE_ONE_OF if len(form) > FULL_WORDS else 0)
+        if shared < MIN_SHARED:
+            verdict = "unknown"
+        elif few and not heavy and not limits:
+            verdict = "confirmed"
+        else:
+            verdict = "modified"
+        told = " ".join([f"-{w}" for w in lost] + [f"+{w}" for w in added] + [f"~{w}" for w in limits])
+        # More of a longer text is worth more than fewer words added to a shorter one.
+        return (matched - 2 * len(lost), -len(added), verdict == "confirmed"), start, end, shared, told, verdict
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
@@ -242,57 +271,94 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def findings(scanner: Scanner, block: str) -> list[tuple]:
-    """(start, length, *match) of the notices in a block: whole texts, then lines that are one each.
-
-    If there is none, what the lines with licensing words are like.
-    """
+def findings(scanner: Scanner, block: str) -> list[Match]:
+    """The notices in a block, and if there is none, what the lines with licensing words are like."""
     found, rest = [], [(0, len(block))]
     while rest:
         low, high = rest.pop()
-        full = scanner.match_full(block[low:high])
-        if full:
-            found.append((low + full[0], *full[1:]))
-            rest += [(low, low + full[0]), (low + full[0] + full[1], high)]
+        part = block[low:high]
+        if not _TRIGGER.search(part):
             continue
-        for a, b in pieces(block[low:high]):
-            match = scanner.match(block[low + a : low + b])
-            if match[-1]:
-                found.append((low + a, b - a, *match))
+        match = scanner.match(part)
+        # A short notice with other words may be another one, which its line alone tells better.
+        short = len(words(part[match.start : match.start + match.length])) <= FULL_WORDS
+        lines = []
+        if match.verdict == "unknown" or short and match.shared < 1:
+            for a, b in pieces(part):
+                line = scanner.match(part[a:b])
+                if line.verdict != "unknown":
+                    lines.append(line._replace(start=low + a + line.start))
+        if lines:
+            found += lines
+        elif match.verdict != "unknown":
+            found.append(match._replace(start=low + match.start))
+            rest += [(low, low + match.start), (low + match.start + match.length, high)]
     if found:
-        return sorted(found)
+        return sorted(set(found))
     at = pieces(block)
     low, high = (at[0][0], at[-1][1]) if at else (0, len(block))
-    return [(low, high - low, *scanner.match(block[low : min(high, low + 20 * LONG_LINE)]))]
+    return [scanner.match(block[low:high])._replace(start=low, length=high - low, verdict="unknown")]
+
 
+def blocks(text: str, room: int = GROW) -> list[tuple[int, str]]:
+    """(start, block): the paragraphs around licensing words, one line between them allowed.
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(start, block): the paragraphs around licensing words, one line between them allowed."""
+    ``room`` is more than the longest template; a block that would be too long begins anew that
+    much before the end of the last one.
+    """
     out: list[list[int]] = []
     for low, high in pieces(text):
         if out and high <= out[-1][1]:
             continue
-        before = max(0, low - GROW)
+        before = max(0, low - room)
         blank = text.rfind("\n\n", before, low + 1)
         start = max(before, blank + 2 if blank >= 0 else before)
-        after = min(len(text), high + GROW)
+        after = min(len(text), high + room)
         blank = text.find("\n\n", max(0, high - 1), after)
         end = blank if blank >= high else after
-        if out and start <= out[-1][1] + LONG_LINE and text.count("\n", out[-1][1], max(start, out[-1][1])) <= 2 and end - out[-1][0] <= MOST:
+        near = out and start <= out[-1][1] + LONG_LINE and text.count("\n", out[-1][1], max(start, out[-1][1])) <= 2
+        if near and end - out[-1][0] <= BLOCK_ROOMS * room:
             out[-1][1] = max(end, out[-1][1])
         else:
-            start = min(low, max(start, out[-1][1])) if out else start
+            if out:
+                start = min(low, max(start, out[-1][1] - room))
             out.append([start, end])
     return [(low, text[low:high]) for low, high in out]
 
 
+def notices(scanner: Scanner, text: str, seen: dict[str, list[Match]]) -> list[tuple[int, Match]]:
+    """(block, match) of a whole text. ``seen`` keeps what blocks gave: notices repeat.
+
+    Where blocks overlap a notice is found twice, or in part by one of them: it is told once, and
+    what lies in a better one is left out.
+    """
+    told: list[tuple[int, Match]] = []
+    for no, (start, block) in enumerate(blocks(text, scanner.room)):
+        if block not in seen:
+            if len(seen) > 4096:
+                seen.clear()
+            seen[block] = findings(scanner, block)
+        for m in seen[block]:
+            m = m._replace(start=start + m.start)
+            meets = [o for o in told if o[1].start < m.start + m.length and m.start < o[1].start + o[1].length]
+            if all(_worth(m) > _worth(o[1]) for o in meets):
+                told = [o for o in told if o not in meets] + [(no, m)]
+    return sorted(told, key=lambda o: (o[1].start, o[0]))
+
+
+def _worth(m: Match) -> tuple:
+    return ("unknown", "modified", "confirmed").index(m.verdict), m.shared, m.length
+
+
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     templates: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """One row per notice or unconfirmed block: doc_id, block, start, length, license, saved, shared, differences, confirmed."""
+    """One row per notice or unknown block: doc_id, block, start, length, license, saved (share of
+    bytes), shared (share of the template's words), differences (-lost, +added, ~around), confirmed
+    and verdict."""
     ship_package(docs.sparkSession)
     wanted = templates or TEMPLATES
 
@@ -300,19 +366,17 @@ def scan_licenses(
         import pyarrow as pa
 
         scanner = Scanner(wanted)
-        seen: dict[str, tuple] = {}  # notices repeat; the last few thousand are kept
+        seen: dict[str, list[Match]] = {}  # the last few thousand blocks
         for batch in batches:
             rows, out = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for no, (start, block) in enumerate(blocks(text)):
-                    if block not in seen:
-                        if len(seen) > 4096:
-                            seen.clear()
-                        seen[block] = findings(scanner, block)
-                    for at, length, *match in seen[block]:
-                        rows.append(k)
-                        out.append((no, start + at, length, *match))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.bool_())
+                for no, m in notices(scanner, text, seen):
+                    rows.append(k)
+                    out.append((no, *m[:6], m.verdict == "confirmed", m.verdict))
+            kinds = (
+                pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string(),
+                pa.bool_(), pa.string(),
+            )
             columns = list(zip(*out)) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, kinds))],
@@ -330,6 +394,7 @@ def scan_licenses(
             T.StructField("shared", T.DoubleType()),
             T.StructField("differences", T.StringType()),
             T.StructField("confirmed", T.BooleanType()),
+            T.StructField("verdict", T.StringType()),
         ]
     )
     text = F.col(f"`{text_col}`").cast("string")

@@ -1,5 +1,6 @@
 import re
 
+import oracle
 import pytest
 
 from setspan.llm import chat, licenses, pii
@@ -71,11 +72,15 @@ def test_pii_cases(spark, odd_docs, no_docs):
     assert pii.pseudonymize(no_docs, KEY).count() == 0
 
 
-def found(text):
-    scanner = licenses.Scanner(licenses.TEMPLATES)
-    return [
-        (f[2], f[-1]) for _, block in licenses.blocks(text) for f in licenses.findings(scanner, block)
-    ]
+SCANNER = licenses.Scanner(licenses.TEMPLATES)
+
+
+def told(text, scanner=SCANNER):
+    return [m for _, m in licenses.notices(scanner, text, {})]
+
+
+def found(text, scanner=SCANNER):
+    return [(m.license, m.verdict == "confirmed") for m in told(text, scanner)]
 
 
 def test_licenses():
@@ -94,28 +99,91 @@ def test_licenses():
     assert found("x " * 5000 + "Released under the MIT License." + " y" * 5000)[0] == ("MIT", True)
 
 
-def test_licenses_whole():
-    scanner = licenses.Scanner(licenses.TEMPLATES)
+def wrapped(text, width=60):
+    return "\n".join(re.findall(r".{1,%d}(?: |$)" % width, text))
 
-    def wrapped(text, width=60):
-        return "\n".join(re.findall(r".{1,%d}(?: |$)" % width, text))
 
+def test_licenses_whole():
     bsd2, bsd3 = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][1]
     for text in (bsd3, wrapped(bsd3), "Prose before.\n\n" + wrapped(bsd3).replace("Neither", "\nNeither") + "\n\nMore."):
         assert found(text) == [("BSD-3-Clause", True)]
     assert found(wrapped(bsd2)) == [("BSD-2-Clause", True)]
     first = "Redistribution and use in source and binary forms, with or without"
     assert [f[1] for f in found(first)] == [False]
-    mit = licenses.TEMPLATES["MIT"][1].replace("The above", "The Software shall be used for Good, not Evil. The above")
-    for text in (mit, wrapped(mit)):
-        [(_, block)] = licenses.blocks(text)
-        [(_, _, name, _, _, told, confirmed)] = licenses.findings(scanner, block)
-        assert (name, confirmed) == ("MIT", True) and "+good" in told and "+evil" in told
+
+
+def test_changed_licenses_are_not_confirmed():
+    mit = licenses.TEMPLATES["MIT"][1]
+    cases = {
+        mit.replace("hereby granted", "hereby not granted"): ("MIT", "+not"),
+        mit.replace("The above", "The Software shall be used for Good, not Evil. The above"): ("MIT", "+evil"),
+        mit.replace("without restriction", "never for commercial purposes"): ("MIT", "+never"),
+        mit.replace("WITHOUT WARRANTY", "WITH WARRANTY"): ("MIT", "-without"),
+        "This is not released under the MIT License.": ("MIT", "~not"),
+        "This is not\nreleased under the MIT License.": ("MIT", "~not"),
+        "Released under the MIT License except for the images.": ("MIT", "~except"),
+        "Not licensed under CC BY 4.0.": ("CC-BY-4.0", "~not"),
+        "This work is licensed under the GNU General Public License, version 9.": ("GPL-2.0", "-2"),
+    }
+    for text, (name, change) in cases.items():
+        for form in {text, text if "\n" in text else wrapped(text)}:
+            [m] = told(form)
+            assert (m.license, m.verdict) == (name, "modified") and change in m.differences.split(), (form, m)
+    # Sentences beside the notice say nothing about it.
+    assert found("This is not all. Released under the MIT License. Do not panic.") == [("MIT", True)]
+
+
+def test_winners_come_by_compression(monkeypatch):
+    """Every winner is among the forms that save most bytes."""
+    ranked = []
+    whole = licenses.Scanner.rank
+    monkeypatch.setattr(licenses.Scanner, "rank", lambda self, block: ranked.append(whole(self, block)) or ranked[-1])
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            ranked.clear()
+            assert found("Some prose.\n\n" + wrapped(text) + "\n\nMore of it.") == [(name, True)]
+            assert any(SCANNER.forms[k][0] == name for _, k in ranked[0][: licenses.RIVALS])
+
+
+def test_templates_of_any_length():
+    """A template of 60,000 characters alone, inside a long text, changed, and behind many notices."""
+    body = " ".join(f"clause{k} of the license says thing{k * 7919 % 1000}" for k in range(1300))
+    assert len(body) > 50_000
+    scanner = licenses.Scanner({**licenses.TEMPLATES, "Long-1": [body]})
+    prose = "word of prose that has nothing to do with it. " * 400
+    assert found(body, scanner) == [("Long-1", True)]
+    assert ("Long-1", True) in found(prose + body + " " + prose, scanner)
+    assert found(wrapped(body).replace("clause700 of", "clause700 not of"), scanner) == [("Long-1", False)]
+
+
+def test_long_texts_of_notices():
+    """Ten million characters, with a notice in every paragraph and in one endless line."""
+    line = "Released under the MIT License. " + "plain prose of a text goes on here. " * 40
+    many = "\n\n".join(["All rights reserved.", "x" * 100_000] * 95)
+    assert found(many) == [("all-rights-reserved", True)] * 95
+    assert found(line * 300) == [("MIT", True)] * 300
+
+
+def test_licenses_in_all_documents(spark):
+    """All documents against a plain search for the one-line notices in them."""
+    lines = {t: n for n, texts in licenses.TEMPLATES.items() for t in texts if len(licenses.words(t)) <= licenses.FULL_WORDS}
+    docs = spark.read.parquet(f"{oracle.TESTDATA}/sf0.01/documents.parquet")
+    want = []
+    for doc in docs.collect():
+        at = sorted((m.start(), n) for t, n in lines.items() for m in re.finditer(re.escape(t), doc.text or ""))
+        want += [(doc.doc_id, s, n) for s, n in at]
+    got = [(r.doc_id, r.start, r.license) for r in licenses.scan_licenses(docs).where("confirmed").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 20
 
 
 def test_license_cases(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == 0
     assert licenses.scan_licenses(no_docs).count() == 0
+    # Columns with the names of the result, null ids, repeated rows, and findings in them.
+    rows = [(None, "Released under the MIT License.", "x", "y", 1)] * 2 + [(3, None, "x", "y", 1), (4, "", "x", "y", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, license string, confirmed string, start int")
+    got = licenses.scan_licenses(odd).collect()
+    assert [(r.doc_id, r.license, r.confirmed, r.start) for r in got] == [(None, "MIT", True, 0)] * 2
 
 
 TURNS = "conv_id long, turn long, role string, text string"
