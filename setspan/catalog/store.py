@@ -26,7 +26,8 @@ from setspan.functions.ids import clean
 from setspan.operators.gene_sets import load_sets
 from setspan.operators.idmap import canonical_direction
 from setspan.operators.quality import TableContract
-from setspan.operators.scan import broadcast_if_small
+from setspan.operators.ora import sized_members
+from setspan.operators.scan import broadcast_if_small, largest_group
 
 KEY = ("db", "species", "ontology", "collection")
 SCOPE = ("species", "source", "from_type")
@@ -35,9 +36,11 @@ VERSION = "data_version"
 BLANK = "-"
 
 # Logs with the keys of their entries, and the tables whose versions they name.
-LOGS = {"dataset": KEY, "idmap": SCOPE}
+LOGS = {"dataset": KEY, "idmap": SCOPE, "by_gene": ("name",)}
 LOG_OF = {"term": "dataset", "term_gene": "dataset", "idmap": "idmap"}
 ENTRY = {"seq": "bigint", VERSION: "string", "gene_id_type": "string", "version": "string", "downloaded_at": "timestamp"}
+# What a copy of the sets that is laid out by gene remembers of itself.
+LAYOUT = {"buckets": "int", "most_of_a_gene": "bigint", "largest_set": "bigint"}
 
 # Declared contract of the catalog tables.
 CONTRACTS = {
@@ -110,7 +113,7 @@ class Catalog:
 
     def entries(self, log: str) -> DataFrame:
         """All entries of a log; files that are not written yet give no row."""
-        schema = {**dict.fromkeys(LOGS[log], "string"), **ENTRY}
+        schema = {**dict.fromkeys(LOGS[log], "string"), **ENTRY, **LAYOUT}
         ddl = ", ".join(f"`{c}` {t}" for c, t in schema.items())
         if not self._exists(self._log(log)):
             return self.spark.createDataFrame([], ddl)
@@ -120,7 +123,7 @@ class Catalog:
     def current(self, log: str) -> DataFrame:
         """The last entry of every collection or map scope."""
         keys = list(LOGS[log])
-        last = self.entries(log).groupBy(*keys).agg(F.max_by(F.struct(*ENTRY), "seq").alias("_e"))
+        last = self.entries(log).groupBy(*keys).agg(F.max_by(F.struct(*ENTRY, *LAYOUT), "seq").alias("_e"))
         return last.select(*keys, "_e.*")
 
     def head(self, log: str, values: dict[str, str]) -> int:
@@ -207,6 +210,58 @@ class Catalog:
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
 
+    # -- a layout for joins --------------------------------------------------------------------
+
+    def store_by_gene(self, name: str, collections: Sequence[CollectionKey], buckets: int) -> None:
+        """Keep the members of some collections once more, bucketed and sorted by gene.
+
+        Rows are (collection, term_id, gene_id, set_size), distinct; the collection is its key's
+        values joined by a slash. Tests read them without a shuffle of the sets, and the most
+        memberships of a gene and the largest set are counted here, once, and not by every test.
+        """
+        values, new = {"name": name}, uuid.uuid4().hex
+        after = self.head("by_gene", values)
+        members = None
+        for key in collections:
+            rows = self._of("term_gene", key.values()).select(
+                F.concat_ws("/", *KEY).alias("collection"), "term_id", "gene_id"
+            )
+            members = rows if members is None else members.unionByName(rows)
+        sized = sized_members(members.dropna().distinct())
+        place = f"{self.root}/by_gene/{name}/{VERSION}={new}"
+        try:
+            sized.repartition(buckets, "gene_id").write.bucketBy(buckets, "gene_id").sortBy("gene_id").option(
+                "path", place
+            ).saveAsTable(self._by_gene_table(new))
+            stored = self.spark.table(self._by_gene_table(new))
+            most = largest_group(stored, ["gene_id"])
+            largest = stored.agg(F.max("set_size")).first()[0] or 0  # one number
+            self._commit("by_gene", values, after, new, buckets=buckets, most_of_a_gene=most, largest_set=largest)
+        except BaseException:
+            self._delete(place)
+            raise
+
+    @staticmethod
+    def _by_gene_table(version: str) -> str:
+        return f"setspan_by_gene_{version}"
+
+    def by_gene(self, name: str) -> tuple[DataFrame, dict]:
+        """(members, facts) of a stored layout: ``buckets``, ``most_of_a_gene`` and ``largest_set``.
+
+        Sessions that did not write it are told of the table where its files are.
+        """
+        found = self.current("by_gene").where(F.col("name") == name).first()  # one row
+        if found is None:
+            raise KeyError(name)
+        table = self._by_gene_table(found[VERSION])
+        if not self.spark.catalog.tableExists(table):
+            place = f"{self.root}/by_gene/{name}/{VERSION}={found[VERSION]}"
+            self.spark.sql(
+                f"CREATE TABLE {table} (collection STRING, term_id STRING, gene_id STRING, set_size BIGINT) USING parquet "
+                f"CLUSTERED BY (gene_id) SORTED BY (gene_id) INTO {found['buckets']} BUCKETS LOCATION '{place}'"
+            )
+        return self.spark.table(table), {c: found[c] for c in LAYOUT}
+
     def vacuum(self, keep_seconds: float = 7 * 86400) -> list[str]:
         """Remove versions superseded, and orphans written, longer ago than that; their folders.
 
@@ -223,8 +278,9 @@ class Catalog:
                 .select(VERSION, (F.lead("downloaded_at").over(followed).cast("double") * 1000))
                 .collect()
             }
-            for table in (t for t, name in LOG_OF.items() if name == log):
-                for path, written in self._list(f"{self.path(table)}{'/*' * len(keys)}/{VERSION}=*"):
+            places = [f"{self.path(t)}{'/*' * len(keys)}" for t, name in LOG_OF.items() if name == log]
+            for place in places or [f"{self.root}/{log}/*"]:
+                for path, written in self._list(f"{place}/{VERSION}=*"):
                     version = path.rsplit("=", 1)[1]
                     since = known[version] if version in known else written
                     if since is not None and since <= limit:

@@ -49,23 +49,50 @@ def ora(
     (used to count repeated rows). ``universe_genes`` (gene_id) restricts sets to it first.
     ``q_cutoff=None`` keeps every tested set; ``max_size=None`` tests sets of any size.
     """
-    keys = list(keys)
-    # Null ids match nothing; dropping them here lets both uses of each frame share its shuffle.
     members = term_gene.select("collection", "term_id", "gene_id").dropna().distinct()
     if universe_genes is not None:
         members = members.join(universe_genes.select("gene_id").distinct(), "gene_id", "left_semi")
-    distinct_hits = hits.select(*keys, "gene_id").dropna().distinct()
+    sized = sized_members(members, min_size, max_size)
+    return ora_sized(
+        hits, sized, universe, has_hubs(term_gene, "gene_id"), keys, max_size, q_cutoff, hit_counts
+    )
+
+
+def sized_members(members: DataFrame, min_size: int = 1, max_size: int | None = None) -> DataFrame:
+    """Distinct members with the ``set_size`` of their sets, of sets in bounds.
+
+    Sets out of bounds leave before the join with hits, so a huge set is never multiplied.
+    """
     sizes = (
         members.groupBy("collection", "term_id")
         .agg(F.count(F.lit(1)).alias("set_size"))
         .where(in_bounds("set_size", min_size, max_size))
     )
-    # Sets out of bounds leave before the join with hits, so a huge set is never multiplied.
-    sized = members.join(sizes, ["collection", "term_id"])
+    return members.join(sizes, ["collection", "term_id"])
+
+
+def ora_sized(
+    hits: DataFrame,
+    sized: DataFrame,
+    universe: DataFrame,
+    hubs: bool,
+    keys: Sequence[str] = KEYS,
+    max_size: int | None = None,
+    q_cutoff: float | None = 0.05,
+    hit_counts: DataFrame | None = None,
+) -> DataFrame:
+    """``ora`` for members that are distinct and know their set's size.
+
+    ``hubs``: whether some gene has so many memberships that the join must split it. ``max_size`` is
+    the caller's bound on the sizes there are.
+    """
+    keys = list(keys)
+    # Null ids match nothing; dropping them here lets both uses of each frame share its shuffle.
+    distinct_hits = hits.select(*keys, "gene_id").dropna().distinct()
     if hit_counts is None:
         hit_counts = distinct_hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hits"))
     shared = [c for c in universe.columns if c != "n_universe"]
-    overlaps = overlap_counts(distinct_hits, sized, keys, has_hubs(term_gene, "gene_id"))
+    overlaps = overlap_counts(distinct_hits, sized, keys, hubs)
     # p depends on four counts alone, so rows are reduced to distinct (overlap, set size) pairs per
     # group before the per-group counts are joined, the test runs and p is corrected: at most
     # max_size^2 / 2 rows per group, however many sets there are; without a bound the rows are

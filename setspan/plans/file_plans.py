@@ -9,7 +9,8 @@ from setspan.catalog.store import Catalog, CollectionKey
 from setspan.operators.de import directed_hits, table_universe
 from setspan.operators.gsea import gsea
 from setspan.operators.idmap import lookup_idmap
-from setspan.operators.ora import ora, with_hit_genes
+from setspan.operators.ora import ora, ora_sized, with_hit_genes
+from setspan.operators.scan import HUB_ROWS
 from setspan.operators.score import rank_genes
 from setspan.plans.gsea_plans import HIGH, LOW, VECTOR_NULL_SQL
 from setspan.plans.ora_plans import _DIRECTED, _TABLE_U, BOUNDS, ROW_SQL, _rounded, ora_sql
@@ -254,6 +255,30 @@ def catalog_concurrent_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def catalog_tests(spark: SparkSession, sf: str, buckets: int = 16) -> DataFrame:
+    """Over-representation with the catalog's sets, laid out by gene: they are not shuffled."""
+    catalog = Catalog(spark, scratch_dir(spark))
+    keys = []
+    sets = part_sets(spark, sf)
+    for collection in ("brand", "size", "type"):
+        members = sets.where(F.col("collection") == collection)
+        keys.append(CollectionKey("part", collection=collection))
+        terms = members.select("term_id", F.col("term_id").alias("name"), F.lit("").alias("description")).distinct()
+        catalog.replace_sets(keys[-1], terms, members, "ENTREZID", "v1")
+    catalog.store_by_gene("tests", keys, buckets)
+    stored, facts = catalog.by_gene("tests")
+    de = part_table(spark, sf)
+    fits = stored.where(F.col("set_size").between(BOUNDS["min_size"], BOUNDS["max_size"]))
+    hits = directed_hits(de).repartition(facts["buckets"], "gene_id")
+    return ora_sized(
+        hits, fits, table_universe(de), facts["most_of_a_gene"] > HUB_ROWS, max_size=facts["largest_set"], q_cutoff=1.0
+    )
+
+
+def ora_catalog_query(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(catalog_tests(spark, sf)).withColumn("collection", F.element_at(F.split("collection", "/"), -1))
+
+
 def resume_query(spark: SparkSession, sf: str) -> DataFrame:
     """Map scopes filled once: a second run skips those that have rows, unless it is forced."""
     catalog = Catalog(spark, scratch_dir(spark))
@@ -296,6 +321,7 @@ QUERIES = {
     "gene_list": gene_list_query,
     "catalog_replace": catalog_replace_query,
     "catalog_concurrent": catalog_concurrent_query,
+    "ora_catalog": ora_catalog_query,
     "catalog_resume": resume_query,
     "ora_incremental": incremental_query,
 }
@@ -343,6 +369,8 @@ WHERE species = 'mmu' OR c_mktsegment = 'BUILDING'""",
   CAST(o_orderkey AS VARCHAR) AS gene_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey
 UNION ALL SELECT 'after', 'v2', 2, CAST(c_custkey AS VARCHAR), c_name, CAST(o_orderkey AS VARCHAR)
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""",
+    "ora_catalog": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
+{ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)} SELECT {ROW_SQL} FROM adjusted""",
     "catalog_resume": """SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'a' WHEN 'HOUSEHOLD' THEN 'b' ELSE 'c' END AS source,
   'SYMBOL' AS from_type, c_name AS from_id, CAST(c_custkey AS VARCHAR) AS entrez_id
 FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'AUTOMOBILE')""",

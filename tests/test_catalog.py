@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from setspan.catalog.store import CONTRACTS, Catalog, CatalogConflict, CollectionKey
 from setspan.operators import quality as q
+from setspan.operators.ora import ora_sized, overlap_counts
 from setspan.sinks import files
 from setspan.sources.sets import read_gmt
 from setspan.sources.tables import read_ranked, read_results
@@ -73,6 +74,48 @@ def test_readers_and_writers_at_once(spark, catalog):
     assert catalog.head("dataset", KEGG.values()) == 4 and catalog.table("dataset").first().version == "v4"
 
 
+def test_sets_laid_out_by_gene_are_not_shuffled(spark, catalog):
+    """Between the scan of the stored sets and the join with hits there is no exchange."""
+    fill(spark, catalog)
+    other = CollectionKey("go", "hsa", "bp")
+    catalog.replace_sets(other, *term_frames(spark, [("g", "n", "d")], [("g", "1"), ("g", "7")]), "SYMBOL", "v1")
+    catalog.store_by_gene("all", [KEGG, other], 4)
+    stored, facts = catalog.by_gene("all")
+    rows = sorted(map(tuple, stored.select("collection", "term_id", "gene_id", "set_size").collect()))
+    assert rows == [("go/hsa/BP/-", "g", "1", 2), ("go/hsa/BP/-", "g", "7", 2), ("kegg/hsa/-/-", "p1", "1", 2),
+                    ("kegg/hsa/-/-", "p1", "2", 2), ("kegg/hsa/-/-", "p2", "3", 1)]
+    assert facts == {"buckets": 4, "most_of_a_gene": 2, "largest_set": 2}
+    hits = spark.createDataFrame([("c", "Up", g) for g in "127"], "contrast string, direction string, gene_id string")
+    universe = spark.createDataFrame([("c", 50)], "contrast string, n_universe long")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = overlap_counts(hits.repartition(facts["buckets"], "gene_id"), stored.where("set_size < 9"), hubs=False)
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        scan = next(i for i, line in enumerate(plan) if "Scan parquet" in line and "by_gene" in line)
+        above, at = [], depth(plan[scan])
+        for line in reversed(plan[:scan]):
+            if depth(line) < at:
+                above.append(line)
+                at = depth(line)
+        join = next(i for i, line in enumerate(above) if "Join" in line)
+        assert not any("Exchange" in line for line in above[:join]), "\n".join(plan)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = ora_sized(hits, stored, universe, False, q_cutoff=None)
+    assert {(r.term_id, r.overlap, r.set_size) for r in got.collect()} == {("g", 2, 2), ("p1", 2, 2)}
+    # Another session does not know the table, only its files.
+    spark.sql(f"DROP TABLE {catalog._by_gene_table(catalog.current('by_gene').first().data_version)}")
+    assert catalog.by_gene("all")[0].count() == 5
+    catalog.store_by_gene("all", [other], 2)
+    assert catalog.by_gene("all")[0].count() == 2
+    with pytest.raises(KeyError):
+        catalog.by_gene("none")
+
+
 def map_frame(spark, *rows):
     return spark.createDataFrame(list(rows), "from_id string, to_id string")
 
