@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECK_COLUMNS = ("table_name", "check_name", "target", "expected", "actual", "passed")
@@ -52,58 +52,70 @@ def check_structure(spark: SparkSession, tables: Mapping[str, DataFrame], contra
     return stack(rows)
 
 
-def check_nulls(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """Null counts of the declared columns: one scan, one row per column."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("n")) for c in columns]))
-    flat = counts.select(pairs.alias("s")).select("s.*")
-    return flat.select(
-        F.lit(table).alias("table_name"),
-        F.lit("not_null").alias("check_name"),
-        "target",
-        F.lit("0").alias("expected"),
-        F.col("n").cast("string").alias("actual"),
-        (F.col("n") == 0).alias("passed"),
-    )
+def _key_text(columns: Sequence[str]) -> Column:
+    """A key's values as one text, the same for the same values in any table."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]))
 
 
-def check_key(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
-    """Number of key values that occur more than once."""
-    repeated = df.groupBy(*key).count().agg(F.count_if(F.col("count") > 1).alias("n"))
-    return _check(repeated, table, "primary_key", ",".join(key), "0", F.col("n"), F.col("n") == 0)
+def check_contract(
+    spark: SparkSession, tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContract]
+) -> DataFrame:
+    """All checks of all tables as rows ``CHECK_COLUMNS``.
 
+    Every table is read once, whatever is asked of it: a row gives one entry for each check that
+    it has a part in, as a null, as a value of a key, as a child or as a parent. Entries are counted
+    by (check, key) before they are shuffled, so a key in a third of the rows is few entries.
+    not_null counts rows, primary_key the values that occur more than once, foreign_key the rows
+    whose key is null or not in the parent.
+    """
+    entries: dict[str, list[Column]] = {}
+    checks: list[tuple[int, str, str, str]] = []
 
-def check_foreign(
-    df: DataFrame, table: str, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]
-) -> DataFrame:
-    """Rows whose key is not in the parent; counted per key first so a hot key is one row."""
-    keys = df.groupBy(*columns).count()
-    parents = parent.select(*[F.col(p).alias(c) for c, p in zip(columns, parent_columns)])
-    orphans = keys.join(parents, list(columns), "left_anti").agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("n")
-    )
-    return _check(orphans, table, "foreign_key", ",".join(columns), "0", F.col("n"), F.col("n") == 0)
+    def declare(table: str, check: str, target: str) -> int:
+        checks.append((len(checks), table, check, target))
+        return len(checks) - 1
 
+    def entry(check: int, key: Column, child: int, parent: int) -> Column:
+        return F.struct(
+            F.lit(check).alias("id"), key.alias("key"), F.lit(child).alias("child"), F.lit(parent).alias("parent")
+        )
 
-def check_contract(
-    spark: SparkSession, tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContract]
-) -> DataFrame:
-    """All checks of all tables as rows ``CHECK_COLUMNS``."""
-    frames = [check_structure(spark, tables, contracts)]
     for name, contract in contracts.items():
-        df = tables.get(name)
-        if df is None:
+        if name not in tables:
             continue
-        found = set(df.columns)
-        present = [c for c in contract.not_null if c in found]
-        if present:
-            frames.append(check_nulls(df, name, present))
+        found = set(tables[name].columns)
+        mine = entries.setdefault(name, [])
+        for c in contract.not_null:
+            if c in found:
+                mine.append(F.when(F.col(c).isNull(), entry(declare(name, "not_null", c), F.lit(""), 1, 0)))
         if contract.key and set(contract.key) <= found:
-            frames.append(check_key(df, name, contract.key))
+            mine.append(entry(declare(name, "primary_key", ",".join(contract.key)), _key_text(contract.key), 1, 0))
         for columns, parent, parent_columns in contract.foreign:
-            if set(columns) <= found and parent in tables:
-                frames.append(check_foreign(df, name, columns, tables[parent], parent_columns))
-    return stack(frames)
+            if set(columns) <= found and parent in tables and set(parent_columns) <= set(tables[parent].columns):
+                check = declare(name, "foreign_key", ",".join(columns))
+                whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in parent_columns])
+                mine.append(entry(check, _key_text(columns), 1, 0))
+                entries.setdefault(parent, []).append(F.when(whole, entry(check, _key_text(parent_columns), 0, 1)))
+
+    structure = check_structure(spark, tables, contracts)
+    if not checks:
+        return structure
+    told = stack(
+        [tables[n].select(F.explode(F.array_compact(F.array(*e))).alias("e")).select("e.*") for n, e in entries.items() if e]
+    )
+    counted = told.groupBy("id", "key").agg(F.sum("child").alias("child"), F.sum("parent").alias("parent"))
+    found = counted.groupBy("id").agg(
+        F.sum("child").alias("not_null"),
+        F.count_if(F.col("child") > 1).alias("primary_key"),
+        F.sum(F.when(F.col("parent") == 0, F.col("child")).otherwise(0)).alias("foreign_key"),
+    )
+    declared = spark.createDataFrame(checks, "id int, table_name string, check_name string, target string")
+    number = F.coalesce(*[F.when(F.col("check_name") == c, F.col(c)) for c in ("not_null", "primary_key", "foreign_key")], F.lit(0))
+    values = declared.join(F.broadcast(found), "id", "left").select(  # a row a check
+        "table_name", "check_name", "target", F.lit("0").alias("expected"),
+        number.cast("string").alias("actual"), (number == 0).alias("passed"),
+    )
+    return stack([structure, values])
 
 
 def row_counts(tables: Mapping[str, DataFrame], aliases: Mapping[str, str] | None = None) -> DataFrame:
@@ -186,3 +198,25 @@ def ingest_stats(rows: DataFrame, source: str, dropped: str) -> DataFrame:
         F.count_if(~F.col(dropped)).alias("kept"),
         F.count_if(dropped).alias("dropped"),
     )
+
+
+def write_observed(rows: DataFrame, dropped: Column, write, parts: Mapping[str, Column] | None = None) -> DataFrame:
+    """Write the rows that are not dropped, and count them all while they pass: one scan.
+
+    ``write`` is called once with the rows to keep and writes them. Returns (part, seen, kept,
+    dropped), for all rows (part ``*``) and for each of ``parts``, named conditions.
+    """
+    named = {"*": F.lit(True), **(parts or {})}
+    metrics = []
+    for k, condition in enumerate(named.values()):
+        inside = F.coalesce(condition, F.lit(False))
+        metrics.append(F.count_if(inside).alias(f"seen{k}"))
+        metrics.append(F.count_if(inside & F.coalesce(dropped, F.lit(False))).alias(f"dropped{k}"))
+    seen = Observation()
+    watched = rows.withColumn("_dropped", F.coalesce(dropped, F.lit(False))).observe(seen, *metrics)
+    write(watched.where("not _dropped").drop("_dropped"))
+    got = seen.get
+    counts = [
+        (name, got[f"seen{k}"], got[f"seen{k}"] - got[f"dropped{k}"], got[f"dropped{k}"]) for k, name in enumerate(named)
+    ]
+    return rows.sparkSession.createDataFrame(counts, "part string, seen bigint, kept bigint, dropped bigint")

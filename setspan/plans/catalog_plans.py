@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from setspan.operators import gene_sets as gs
 from setspan.operators import quality as q
 from setspan.operators.de import annotated_universe
+from setspan.session import scratch_dir
 from setspan.plans.tables import TOKEN_SETS_SQL, part_sets, part_sets_sql, table, token_sets
 
 TABLES = (
@@ -168,6 +169,21 @@ def ingest_query(spark: SparkSession, sf: str) -> DataFrame:
     return q.ingest_stats(rows, "source", "_drop")
 
 
+def observed_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written without the short ones, counted by language while they are written.
+
+    ``written`` is what lies in the files.
+    """
+    folder = scratch_dir(spark)
+    languages = ("de", "en", "es", "fr")
+    counts = q.write_observed(
+        table(spark, sf, "documents"), F.length(F.trim("text")) < 200, lambda kept: kept.write.parquet(folder),
+        {x: F.col("lang") == x for x in languages},
+    )
+    written = spark.read.parquet(folder).groupBy("lang").agg(F.count(F.lit(1)).alias("written"))
+    return counts.join(written, F.col("part") == F.col("lang"), "left").drop("lang")
+
+
 # -- SQL of the same ---------------------------------------------------------------------------
 
 OVERLAPPING_SQL = """ov AS (
@@ -224,6 +240,7 @@ QUERIES = {
     "audit_minima": minima_query,
     "audit_verdict": verdict_query,
     "ingest_stats": ingest_query,
+    "ingest_observed": observed_query,
 }
 
 ORACLES = {
@@ -258,6 +275,12 @@ SELECT table_name, min_rows, coalesce(row_count, 0) AS row_count, coalesce(row_c
 FROM m LEFT JOIN c USING (table_name)""",
     "audit_verdict": f"""SELECT table_name, bool_and(passed) AS healthy, count(*) FILTER (NOT passed) AS failures
 FROM ({contract_sql()}) GROUP BY 1""",
+    "ingest_observed": """WITH d AS (SELECT lang, length(trim(text, ' ')) < 200 AS short FROM documents),
+c AS (SELECT lang AS part, count(*) AS seen, count(*) FILTER (NOT short) AS kept, count(*) FILTER (short) AS dropped
+  FROM d WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY 1)
+SELECT l AS part, coalesce(seen, 0) AS seen, coalesce(kept, 0) AS kept, coalesce(dropped, 0) AS dropped, nullif(kept, 0) AS written
+FROM (VALUES ('de'), ('en'), ('es'), ('fr')) v(l) LEFT JOIN c ON part = l
+UNION ALL SELECT '*', count(*), count(*) FILTER (NOT short), count(*) FILTER (short), NULL FROM d""",
     "ingest_stats": """SELECT source, count(*) AS seen, count(*) FILTER (length(trim(text, ' ')) >= 200) AS kept,
   count(*) FILTER (length(trim(text, ' ')) < 200) AS dropped FROM documents GROUP BY 1""",
 }

@@ -256,3 +256,39 @@ def test_failed_replacement_changes_nothing(spark, tmp_path, monkeypatch):
     assert catalog.table("term_gene").count() == 1
     catalog.replace_sets(key, *second, "ENTREZID", "v2")
     assert [(r.term_id, r.gene_id) for r in catalog.load(key).collect()] == [("p2", "2")]
+
+
+def test_contract_reads_each_table_once(spark, catalog):
+    fill(spark, catalog)
+    catalog.replace_idmap("hsa", "s", "SYMBOL", "ENTREZID", map_frame(spark, ("A", "1")))
+    rows = {
+        "child": [(1, 10), (1, 11), (2, None), (None, 99), (None, 99)],
+        "parent": [(10,), (11,), (11,), (None,)],
+    }
+    tables = {
+        "child": spark.createDataFrame(rows["child"], "id int, up int"),
+        "parent": spark.createDataFrame(rows["parent"], "no long"),
+    }
+    contracts = {
+        "child": q.TableContract({"id": "int"}, ["id", "up"], ["id"], [(["up"], "parent", ["no"])]),
+        "parent": q.TableContract({"no": "bigint"}, [], ["no"]),
+    }
+    checks = q.check_contract(spark, tables, contracts)
+    got = {(r.table_name, r.check_name, r.target): r.actual for r in checks.collect() if r.check_name not in ("table", "type")}
+    assert got == {
+        ("child", "not_null", "id"): "2", ("child", "not_null", "up"): "1", ("child", "primary_key", "id"): "2",
+        # The null and the two of 99.
+        ("child", "foreign_key", "up"): "3", ("parent", "primary_key", "no"): "1",
+    }
+    audit = q.check_contract(spark, catalog.tables(), CONTRACTS)
+    plan = audit._jdf.queryExecution().sparkPlan().toString()
+    # term, term_gene and idmap; what the log of versions says is JSON.
+    assert plan.count("FileScan parquet") == 3, plan
+
+
+def test_counts_while_writing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", None), ("b", 5), (None, 7)], "s string, v int")
+    out = str(tmp_path / "w")
+    counts = q.write_observed(rows, F.col("v") > 4, lambda kept: kept.write.parquet(out), {"a": F.col("s") == "a", "b": F.col("s") == "b"})
+    assert {tuple(r) for r in counts.collect()} == {("*", 4, 2, 2), ("a", 2, 2, 0), ("b", 1, 0, 1)}
+    assert sorted(map(str, spark.read.parquet(out).collect())) == ["Row(s='a', v=1)", "Row(s='a', v=None)"]
