@@ -10,10 +10,12 @@ from setspan.plans import (
     idmap_plans,
     ora_plans,
     result_plans,
+    source_plans,
 )
 
 _MODULES = (
-    ora_plans, gsea_plans, idmap_plans, catalog_plans, result_plans, file_plans, analysis_plans
+    ora_plans, gsea_plans, idmap_plans, catalog_plans, result_plans, file_plans, analysis_plans,
+    source_plans,
 )
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}

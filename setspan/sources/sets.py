@@ -95,8 +95,11 @@ def read_gaf(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def read_obo(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(term_id, name, namespace, definition, parents): one stanza per row, term stanzas only."""
-    stanzas = read_lines(spark, paths, line_sep="\n\n[").where(
+    """(term_id, name, namespace, definition, parents): one stanza per row, term stanzas only.
+
+    A stanza begins with a line that starts with a bracket, whatever ends the lines.
+    """
+    stanzas = read_lines(spark, paths, line_sep="\n[").where(
         F.regexp_replace("line", r"^\[", "").startswith("Term]")
     )
 
@@ -107,7 +110,7 @@ def read_obo(spark: SparkSession, paths: Paths) -> DataFrame:
     parents = F.regexp_extract_all("line", F.lit(r"(?m)^(?:is_a|is_part_of): (.*?)(?: ! .*)?$"), F.lit(1))
     terms = stanzas.select(
         tag("id").alias("term_id"), tag("name").alias("name"), tag("namespace").alias("namespace"),
-        tag("def").alias("definition"), F.transform(parents, F.trim).alias("parents"), "pos",
+        tag("def").alias("definition"), F.transform(parents, lambda x: F.trim(x)).alias("parents"), "pos",
     ).where("term_id is not null")
     row = F.struct("name", "namespace", "definition", "parents")
     return terms.groupBy("term_id").agg(F.max_by(row, "pos").alias("t")).select("term_id", "t.*")
