@@ -2,10 +2,13 @@
 
 A dialogue is gathered in one row and rendered once for every participant: that speaker as
 assistant, all others as users with their names, system turns as they are. The mask is the list of
-character spans to learn: the assistant's words with the mark that ends them. Only a dialogue of
-more than ``SEGMENT_CHARS`` characters, too big for a row, is cut into segments of about so many;
-each is rendered for all participants of the dialogue, silent ones too, and starts with the system
-turns of the segments before. ``n_turns`` counts a segment's own turns.
+character spans to learn: the assistant's words with the mark that ends them. Dialogues stay whole;
+only one of more than ``SEGMENT_CHARS`` characters, which no row can hold, is cut into segments of
+about so many, each rendered for all participants of the dialogue, silent ones too, and starting
+with the system turns of the segments before. ``n_turns`` counts a segment's own turns.
+
+Where a message begins is summed up once a dialogue, not once a perspective: a perspective changes
+the head of its own turns alone, each by the same number of characters.
 
 All of it are DataFrame functions. Numbering and sums go by blocks when one conversation is too
 long for a window (``long_turns``), with the same result.
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from setspan.operators.scan import must_split, with_rank
 
-SEGMENT_CHARS = 1_000_000
+SEGMENT_CHARS = 500_000_000  # two gigabytes, a row, if all are characters of four bytes
 LONG_TURNS = 50_000
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -40,21 +43,21 @@ def _name(role: Column) -> Column:
     return F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[\s<>|]", "_")
 
 
-def _with_segment(placed: DataFrame, chars: int, long_turns: int, split: bool) -> DataFrame:
-    """Add ``segment``: how many times ``chars`` the messages before a turn hold."""
-    size = (F.length("said") + F.length("name") + len(f"{START}user name=\n{END}\n")).cast("long")
+def _with_offsets(placed: DataFrame, long_turns: int, split: bool) -> DataFrame:
+    """Add ``before``: the characters of the messages before a turn, own turns spelled as users'."""
+    named = F.when(F.col("role") == SYSTEM, len(SYSTEM)).otherwise(F.length("name") + len("user name="))
+    size = (F.length("said") + named + len(f"{START}\n{END}\n")).cast("long")
     measured = placed.withColumns(
         {"_size": size, "_chunk": F.floor((F.col("place") - 1) / long_turns) if split else F.lit(0)}
     )
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     keys = ["conv", "_chunk"] if split else ["conv"]
-    measured = measured.withColumn("_before", F.coalesce(F.sum("_size").over(before(*keys).orderBy("place")), F.lit(0)))
+    measured = measured.withColumn("before", F.coalesce(F.sum("_size").over(before(*keys).orderBy("place")), F.lit(0)))
     if split:
         totals = measured.groupBy(*keys).agg(F.sum("_size").alias("_earlier"))
         totals = totals.withColumn("_earlier", F.coalesce(F.sum("_earlier").over(before("conv").orderBy("_chunk")), F.lit(0)))
-        measured = measured.join(totals, keys).withColumn("_before", F.col("_before") + F.col("_earlier")).drop("_earlier")
-    segment = F.floor(F.col("_before") / chars).cast("int")
-    return measured.withColumn("segment", segment).drop("_size", "_chunk", "_before")
+        measured = measured.join(totals, keys).withColumn("before", F.col("before") + F.col("_earlier")).drop("_earlier")
+    return measured.drop("_size", "_chunk")
 
 
 def rotate(
@@ -78,11 +81,10 @@ def rotate(
     split = must_split(rows.select("conv"), ["conv"], long_turns)
     placed = with_rank(rows, ["conv"], order, "place", split)
     placed = placed.withColumns({"name": _name(F.col("role")), "said": _safe(F.col("said"))})
-    if segment_turns:
-        placed = placed.withColumn("segment", F.floor((F.col("place") - 1) / segment_turns).cast("int"))
-    else:
-        placed = _with_segment(placed, segment_chars, long_turns, split)
-    turn = F.struct("place", "role", "name", "said")
+    placed = _with_offsets(placed, long_turns, split)
+    cut = F.floor((F.col("place") - 1) / segment_turns) if segment_turns else F.floor(F.col("before") / segment_chars)
+    placed = placed.withColumn("segment", cut.cast("int"))
+    turn = F.struct("place", "role", "name", "said", "before")
     dialogues = placed.groupBy("conv", "segment").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     speaks = F.col("role").isNotNull() & (F.col("role") != SYSTEM)
     kept = F.struct("place", "role", "name", "said", "segment")
@@ -95,11 +97,7 @@ def rotate(
         lambda t: F.struct(t["place"].alias("place"), t["role"].alias("role"), t["name"].alias("name"), t["said"].alias("said")),
     )
     views = dialogues.join(whole, "conv").select(
-        "conv",
-        "segment",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.concat(earlier, "turns").alias("turns"),
-        F.explode("people").alias("perspective"),
+        "conv", "segment", "turns", earlier.alias("earlier"), F.explode("people").alias("perspective")
     )
     own = lambda t: F.coalesce(t["role"] == F.col("perspective"), F.lit(False))
 
@@ -111,29 +109,29 @@ def rotate(
         )
         return F.concat(F.lit(START), who, F.lit("\n"))
 
-    messages = F.transform(
-        "turns",
-        lambda t: F.struct(
-            F.concat(head(t), t["said"], F.lit(f"{END}\n")).alias("text"),
-            F.length(head(t)).alias("skip"),
-            own(t).alias("own"),
-        ),
-    )
-    spelled = views.withColumn("messages", messages)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("spans"))
-
-    def walk(acc, m):
-        end = acc["at"] + F.length(m["text"])
-        span = F.concat_ws("-", (acc["at"] + m["skip"]).cast("string"), (end - 1).cast("string"))
-        spans = F.when(m["own"], F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    return spelled.select(
-        "conv",
-        "segment",
-        "perspective",
-        "n_turns",
-        F.size(F.filter("messages", lambda m: m["own"])).cast("long").alias("n_own"),
-        F.array_join(F.transform("messages", lambda m: m["text"]), "").alias("text"),
-        F.array_join(F.aggregate("messages", zero, walk, lambda acc: acc["spans"]), ",").alias("mask"),
+    def message(t: Column) -> Column:
+        return F.concat(head(t), t["said"], F.lit(f"{END}\n"))
+
+    preface = F.array_join(F.transform("earlier", message), "")
+    # Where the segment's first message begins, and what a turn of one's own adds to the next ones.
+    shift = F.length(preface) - F.get("turns", F.lit(0))["before"]
+    mine = F.filter("turns", own)
+    gain = len("assistant") - len("user name=") - F.length(F.get("mine", F.lit(0))["name"])
+
+    def span(t: Column, k: Column) -> Column:
+        start = F.col("shift") + t["before"] + k * F.col("gain") + len(f"{START}assistant\n")
+        return F.concat_ws("-", start.cast("string"), (start + F.length(t["said"]) + len(END)).cast("string"))
+
+    return (
+        views.withColumns({"mine": mine, "shift": shift, "preface": preface})
+        .withColumn("gain", gain)
+        .select(
+            "conv",
+            "segment",
+            "perspective",
+            F.size("turns").cast("long").alias("n_turns"),
+            F.size("mine").cast("long").alias("n_own"),
+            F.concat("preface", F.array_join(F.transform("turns", message), "")).alias("text"),
+            F.array_join(F.transform("mine", span), ",").alias("mask"),
+        )
     )

@@ -189,7 +189,7 @@ WITH placed AS (
            ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
   FROM conversations WHERE conv_id IS NOT NULL
 ), cut AS (
-  SELECT *, CAST((place - 1) // 64 AS INTEGER) AS segment,
+  SELECT *, 0 AS segment,
          regexp_replace(said, '<\\|(im_start|im_end)\\|>', '< |\\1| >', 'g') AS safe
   FROM placed
 ), views AS (

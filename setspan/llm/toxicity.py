@@ -14,10 +14,9 @@ text and gram; both ways give the same evidence, so every gram counts, whatever
 A document's evidence is the difference of the two log-likelihoods per position, and the same for
 the part of each position beyond ``CLEAR`` nats, since thousands of tiny differences of ordinary
 words would drown one clear expression in a long text. A ridge logistic fit turns both into the
-score; it uses rows the counts have not seen, at most ``FIT_ROWS`` of each class by hash order, and
-weights each class back to all its rows. With fewer than ``FIT_LEAST`` rows of a class in the fold
-kept for the fit, each fold in turn is measured by the counts of the others, the fit uses them all,
-and the score the counts of all.
+score. It uses rows the counts have not seen: each of ``FIT_PARTS`` folds in turn is measured by the
+counts of the others, at most ``FIT_ROWS`` of each class by hash order over all folds, and each
+class is weighted back to all its rows. The score uses the counts of all folds.
 
 Null and empty texts, and texts without letters, have no evidence and get the score of that.
 Repeated rows get the same score; labels with null are not used, of repeated labels the largest.
@@ -41,7 +40,6 @@ COUNTS = "gram long, ordinary long, toxic long"
 SYMBOLS = 64  # the uniform model below the shortest grams
 CLEAR = 3.0
 FIT_ROWS = 10_000  # of each class
-FIT_LEAST = 50
 HELD = 1 << 21  # grams, and contexts, in a scoring task
 BLOCK = 1 << 18  # bytes of text worked on at once
 
@@ -394,27 +392,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     keys = stage(labelled.select("fold", "label", *[v.alias(k) for k, v in names.items()]))
     sizes = {(r.fold, r.label): r.n for r in keys.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = [sum(n for (_, label), n in sizes.items() if label == k) for k in (0, 1)]
-    short = min(sizes.get((0, k), 0) for k in (0, 1)) < FIT_LEAST
     if not all(totals):
         return None, totals[1] / max(1, sum(totals))
-    folds = sorted({f for f, _ in sizes}) if short else [0]
+    folds = sorted({f for f, _ in sizes})
 
     # A bounded sample of each class: the rows up to the last of the first by hash.
     wanted = F.lit(False)
     for label in (0, 1):
-        those = keys.where(F.col("fold").isin(folds) & (F.col("label") == label))
+        those = keys.where(F.col("label") == label)
         last = those.orderBy("h1", "h2").limit(FIT_ROWS).agg(F.max(F.struct("h1", "h2")).alias("last")).first().last
         order = F.struct(*[v.alias(k) for k, v in names.items()])
         wanted |= (F.col("label") == label) & (order <= F.struct(F.lit(last.h1).alias("h1"), F.lit(last.h2).alias("h2")))
     sample = labelled.where(wanted).select("text", "fold", "label", *[v.alias(k) for k, v in names.items()])
 
-    if short:
-        parts = {f: stage(count_grams(labelled.where(F.col("fold") == f))) for f in folds}
-        models = {f: Model(_united(spark, [parts[o] for o in folds if o != f])) for f in folds}
-        model = Model(_united(spark, list(parts.values())))
-    else:
-        model = Model(stage(count_grams(labelled.where("fold > 0"))))
-        models = {0: model}
+    parts = {f: stage(count_grams(labelled.where(F.col("fold") == f))) for f in folds}
+    models = {f: Model(_united(spark, [parts[o] for o in folds if o != f])) for f in folds}
+    model = Model(_united(spark, list(parts.values())))
     measured = None
     for f, m in models.items():
         rows = m.measure(sample.where(F.col("fold") == f))

@@ -1,6 +1,7 @@
 """Languages and toxicity: gradients, held-out accuracy on the given tables, odd rows."""
 
 import os
+import zlib
 
 import numpy as np
 import oracle
@@ -137,7 +138,7 @@ def test_toxicity_cases(spark, odd_docs, no_docs):
 
 
 def test_rare_toxic_rows_are_fitted(spark, monkeypatch):
-    """A class is sampled by itself, and where it is short the folds are fitted on in turn."""
+    """A class is sampled by itself, and every learnable row is counted and, within bounds, fitted on."""
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 8)))
     rows = []
@@ -155,10 +156,10 @@ def test_rare_toxic_rows_are_fitted(spark, monkeypatch):
         got = toxicity.score(docs.drop("toxic"), docs.drop("text")).where("held_out").collect()
         return [(r.predicted == 1) == (r.doc_id % 12 == 0) for r in got]
 
-    assert np.mean(held_out()) > 0.97  # 100 toxic rows, fewer than FIT_LEAST in a fold
+    assert np.mean(held_out()) > 0.97
     y, weight = fits[-1]
-    assert y.sum() > toxicity.FIT_LEAST and np.all(weight == 1)
-    monkeypatch.setattr(toxicity, "FIT_LEAST", 5)
+    learnable = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(y) == len(learnable) and y.sum() == sum(k % 12 == 0 for k in learnable) and np.all(weight == 1)
     monkeypatch.setattr(toxicity, "FIT_ROWS", 10)
     assert np.mean(held_out()) > 0.9
     y, weight = fits[-1]

@@ -216,6 +216,18 @@ def test_long_conversation_in_segments(spark):
     assert len(plain) == 30 and sum(r.n_own for r in plain) == 150
 
 
+def test_masks_of_a_long_dialogue(spark):
+    """Twenty thousand turns, more than a million characters, in one text; every span is what was said."""
+    people = ["Ann", "Bob with a long name", "Cy", None, "system"]
+    rows = [(1, k, people[k % 7 % 5], f"turn {k} é " + "x" * (k % 90)) for k in range(20_000)]
+    by = {r.perspective: r for r in rotated(spark, rows)}
+    assert set(by) == {"Ann", "Bob with a long name", "Cy"}
+    for name, r in by.items():
+        assert (r.segment, r.n_turns) == (0, 20_000) and len(r.text) > 1_000_000
+        spans = [tuple(map(int, s.split("-"))) for s in r.mask.split(",")]
+        assert [r.text[a:b] for a, b in spans] == [f"{text}<|im_end|>" for _, _, role, text in rows if role == name]
+
+
 def test_dialogues_stay_whole(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "Cy", "Once.")] + [(1, k, "ab"[k % 2], f"turn {k}") for k in range(2, 300)]
     got = rotated(spark, rows)
