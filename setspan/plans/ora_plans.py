@@ -198,7 +198,7 @@ def ora_sql(hits: str, sets: str, universe: str, on: str, low: int, high: int |
 h AS (SELECT DISTINCT contrast, direction, gene_id FROM {hits}),
 m AS (SELECT DISTINCT collection, term_id, gene_id FROM {sets}),
 sizes AS (SELECT collection, term_id, count(*) AS set_size FROM m GROUP BY ALL
-          HAVING count(*) >= {low} {f'AND count(*) <= {high}' if high else ''}),
+          HAVING {f'count(*) BETWEEN {low} AND {high}' if high else f'count(*) >= {low}'}),
 nh AS (SELECT contrast, direction, count(*) AS n_hits FROM h GROUP BY ALL),
 counted AS (
   SELECT contrast, direction, collection, term_id, overlap, n_hits, set_size, n_universe
