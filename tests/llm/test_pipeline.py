@@ -46,6 +46,24 @@ def test_stages_one_by_one(spark):
         first[roots[p]] = min(d, first.get(roots[p], d))
     assert set(after) == set(first.values())
 
+    from test_decontaminate import brute
+
+    before, after = seen["decontaminate"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = {int(row[0]) for row in brute([(d, r.text) for d, r in before.items()], items) if not row[-1]}
+    assert set(after) == clean and all(after[d].text == before[d].text for d in clean)
+
+    # What is left, packed: every token of every document, gapless, in sequences of at most 2,048.
+    import public_tokenizers
+    from test_packing import check
+    from tokenizers import Tokenizer
+
+    from setspan.llm import packing
+
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    check(rows, [(d, r.text) for d, r in after.items()], tokenizer, packing.LENGTH)
+
 
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
