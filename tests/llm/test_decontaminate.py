@@ -66,3 +66,37 @@ def test_drop(spark, odd_docs):
     left = decontaminate.drop_contaminated(odd_docs, bench)
     assert left.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "5", "6", "7", "None"]
+
+
+def test_items_of_all_lengths_and_shared_prompts(spark, monkeypatch):
+    """A prompt that all items begin with, items of one to fourteen words, and a text of ten megabytes."""
+    prompt = " ".join(f"prompt{k}" for k in range(14))
+    items = [(k, f"{prompt} question{k}") for k in range(60)]
+    items += [(100 + n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 15)]
+    long = "plain words of a long text " * 400_000
+    rows = [(1, prompt), (2, f"a {prompt} question7 b"), (3, prompt), (4, " ".join(t for _, t in items[60:]))]
+    small = [*rows, (5, "plain words " * 50), (None, f"{prompt} question3"), (2, rows[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def report(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted((str(r[0]), *r[1:]) for r in decontaminate.contamination_report(docs, bench).collect())
+
+    assert report(small) == brute(small, items)
+    assert report([(9, long + prompt)])[0][1:4] == (2_400_014, 14, 60)
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", 0)
+    assert report(small) == brute(small, items)
+
+
+def test_windows_are_shuffled_without_words(spark):
+    """Beyond the broadcast no exchange of windows carries the words of their documents."""
+    docs = spark.createDataFrame([(k, f"{ITEM} {k}") for k in range(5)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, "short item")], "item_id long, text string")
+    parts = decontaminate.benchmark_windows(bench, "item_id", "text", 13)
+    grams = parts.groupBy("hash", "other", "length").agg({"gram": "min"}).withColumnRenamed("min(gram)", "gram")
+    hits = decontaminate.window_hits(docs, grams, "doc_id", "text", [2, 13], 13, False)
+    plan = hits._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert shuffled and not any("words" in names for names in shuffled)
