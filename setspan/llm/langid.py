@@ -5,9 +5,9 @@ once forwards and once backwards, and gives every byte a distribution over the l
 document's distribution is the mean over its bytes, so a text of two languages goes to the larger.
 
 It is trained in numpy by backpropagation through time on the driver, on at most ``LANG_DOCS``
-documents of each of at most ``MAX_LANGS`` languages (the most frequent ones), chosen by hash, and
-``DOC_SEGMENTS`` segments spread over each of their texts. Prediction reads every byte of every text,
-in blocks of a fixed number of segments.
+documents of every language, chosen by hash, and ``DOC_SEGMENTS`` segments spread over each of their
+texts; steps and width grow with the number of languages. Prediction reads every byte of every text, in
+blocks of a fixed number of segments.
 
 Null texts and texts without a letter get ``und`` and score 0. Null languages are not learned from,
 null ids are held out. With no language to learn every text is ``und``; with one, all texts with a
@@ -16,22 +16,24 @@ letter are that one. Repeated rows are predicted alike. An empty table gives an
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setspan.llm.common import ship_package
+from setspan.llm.common import ship_package, stage
+from setspan.operators.scan import broadcast_if_small
 
 HIDDEN = 12
 SEGMENT = 64
 BLOCK = 1024  # segments worked on at once
 
 LANG_DOCS = 300
-MAX_LANGS = 256
 DOC_SEGMENTS = 8
-STEPS = 300
+STEPS = 300  # for each FEW languages
+FEW = 8
 BATCH = 128
 RATE = 0.015
 SEED = 7
@@ -41,6 +43,11 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def width(langs: int) -> int:
+    """Hidden units of a direction: HIDDEN, and as many again for each fourfold of FEW languages."""
+    return round(HIDDEN * (1 + max(0.0, math.log(langs / FEW, 4))))
+
+
 def text_bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
@@ -239,17 +246,11 @@ def predict(model: ByteGRU | None, texts: list[str | None]) -> tuple[list[str],
 
 def training_rows(rows: DataFrame, per_lang: int = LANG_DOCS):
     """[(lang, text pieces)] of a bounded sample: (lang, text, key) with a hash key per row."""
-    counts = {
-        r["lang"]: r["count"]
-        for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    }
-    if not counts:
-        return []
-    spark = rows.sparkSession
     # The share of each language that gives the wanted number of rows and some more.
-    shares = [(k, min(1.0, 1.5 * per_lang / n + 0.0)) for k, n in counts.items()]
-    chosen = rows.join(F.broadcast(spark.createDataFrame(shares, "lang string, share double")), "lang")
-    chosen = chosen.where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    shares = stage(rows.groupBy("lang").agg((F.lit(1.5 * per_lang) / F.count(F.lit(1))).alias("share")))
+    likely = rows.join(broadcast_if_small(shares), "lang").where(
+        F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    )
     size = SEGMENT * 2
     starts = [
         F.substring(
@@ -259,13 +260,11 @@ def training_rows(rows: DataFrame, per_lang: int = LANG_DOCS):
         )
         for k in range(DOC_SEGMENTS)
     ]
-    found = chosen.select("lang", "key", F.array_distinct(F.array(*starts)).alias("parts")).collect()
-    taken: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["key"], r["parts"])):
-        taken.setdefault(r["lang"], [])
-        if len(taken[r["lang"]]) < per_lang:
-            taken[r["lang"]].append(r["parts"])
-    return [(lang, parts) for lang in sorted(taken) for parts in taken[lang]]
+    cut = likely.select("lang", "key", F.array_distinct(F.array(*starts)).alias("parts"))
+    # Rows of one key are repeats. What is left to sort is about half more than what is taken.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    found = cut.dropDuplicates(["lang", "key"]).withColumn("place", place).where(F.col("place") <= per_lang).collect()
+    return [(r["lang"], r["parts"]) for r in sorted(found, key=lambda r: (r["lang"], r["key"]))]
 
 
 def train(rows: DataFrame, **fit) -> ByteGRU | None:
@@ -273,24 +272,25 @@ def train(rows: DataFrame, **fit) -> ByteGRU | None:
     import numpy as np
 
     sample = training_rows(rows)
-    langs = sorted({lang for lang, _ in sample})
     pieces = [
-        (text_bytes(p)[:SEGMENT], langs.index(lang))
+        (text_bytes(p)[:SEGMENT], lang)
         for lang, parts in sample
         for p in parts
         if LETTER.search(p)
     ]
-    langs_left = sorted({k for _, k in pieces})
-    if not langs_left:
+    langs = sorted({lang for _, lang in pieces})
+    if not langs:
         return None
-    model = ByteGRU([langs[k] for k in langs_left])
+    model = ByteGRU(langs, width(len(langs)))
+    fit = {"steps": STEPS * -(-len(langs) // FEW), **fit}
     x = np.zeros((len(pieces), SEGMENT), np.uint8)
     mask = np.zeros(x.shape, np.float32)
     for k, (data, _) in enumerate(pieces):
         x[k, : len(data)] = np.frombuffer(data, np.uint8)
         mask[k, : len(data)] = 1
-    y = np.array([langs_left.index(k) for _, k in pieces])
-    return model.fit(x, mask, y, **fit) if len(langs_left) > 1 else model
+    number = {lang: k for k, lang in enumerate(langs)}
+    y = np.array([number[lang] for _, lang in pieces])
+    return model.fit(x, mask, y, **fit) if len(langs) > 1 else model
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -302,7 +302,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     held_out: Column = F.coalesce(fold == HELD_OUT, F.lit(True))
     lang = F.col(f"`{lang_col}`").cast("string")
     known = docs.where(~held_out & lang.isNotNull() & text.isNotNull()).select(
-        lang.alias("lang"), text.alias("text"), F.xxhash64(doc, F.lit("sample")).alias("key")
+        lang.alias("lang"), text.alias("text"), F.xxhash64(doc, text, F.lit("sample")).alias("key")
     )
     held = spark.sparkContext.broadcast(train(known))
 

@@ -15,9 +15,9 @@ A document's evidence is the difference of the two log-likelihoods per position,
 the part of each position beyond ``CLEAR`` nats, since thousands of tiny differences of ordinary
 words would drown one clear expression in a long text. A ridge logistic fit turns both into the
 score; it uses rows the counts have not seen, at most ``FIT_ROWS`` of each class by hash order, and
-weights each class back to all its rows. With fewer than ``FIT_LEAST`` rows of a class in the fold
-kept for the fit, each fold in turn is measured by the counts of the others, the fit uses them all,
-and the score the counts of all.
+weights each class back to all its rows: the first fold is measured by the counts of the others. With
+fewer than ``FIT_LEAST`` rows of a class in it, each fold in turn is measured so, and the fit uses them
+all. Scores use the counts of all folds either way.
 
 Null and empty texts, and texts without letters, have no evidence and get the score of that.
 Repeated rows get the same score; labels with null are not used, of repeated labels the largest.
@@ -296,23 +296,22 @@ class Model:
             for batch in batches:
                 ids = [batch.column(k).to_numpy() for k in (1, 2)]
                 for row, text in enumerate(batch.column(0).to_pylist()):
-                    # Code 0 is no gram: it counts how often the text is there.
-                    found, count = [np.zeros(1, np.uint64)], [np.ones(1, np.int64)]
+                    found, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                     for _, starts, data in blocks([text]):
                         code = grams(data)
                         inside = np.ones(len(data), bool)
                         inside[starts] = False
                         code = code[inside]
                         new, n = np.unique(code[~look_up(code, held.value[0])[1]], return_counts=True)
-                        found.append(new)
-                        count.append(n)
-                    gram, n = np.concatenate(found).astype(np.int64), np.concatenate(count)
-                    columns = [np.full(len(gram), x[row]) for x in ids] + [gram, n]
+                        found, back = np.unique(np.concatenate([found, new]), return_inverse=True)
+                        count = np.bincount(back, np.concatenate([count, n]), len(found)).astype(np.int64)
+                    columns = [np.full(len(found), x[row]) for x in ids] + [found.astype(np.int64), count]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t1", "t2", "gram", "n"])
 
         by_gram, by_context = self.ratios
         spread = rows.select("text", "t1", "t2").mapInArrow(work, "t1 long, t2 long, gram long, n long")
-        counts = spread.groupBy("t1", "t2", "gram").agg(F.sum("n").alias("n"))
+        # Copies of a text say the same of each gram.
+        counts = spread.groupBy("t1", "t2", "gram").agg(F.max("n").alias("n"))
         joined = (
             counts.withColumn("context", _context("gram"))
             .join(by_gram.select("gram", F.col("ratio").alias("own")), "gram", "left")
@@ -320,9 +319,8 @@ class Model:
         )
         value = F.coalesce("own", "backed", F.lit(0.0)).cast("double")
         clear = F.signum(value) * F.greatest(F.abs(value) - CLEAR, F.lit(0.0))
-        copies = F.sum(F.when(F.col("gram") == 0, F.col("n")))
         return joined.groupBy("t1", "t2").agg(
-            (F.sum(F.col("n") * value) / copies).alias("more_a"), (F.sum(F.col("n") * clear) / copies).alias("more_b")
+            F.sum(F.col("n") * value).alias("more_a"), F.sum(F.col("n") * clear).alias("more_b")
         )
 
 
@@ -408,13 +406,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         wanted |= (F.col("label") == label) & (order <= F.struct(F.lit(last.h1).alias("h1"), F.lit(last.h2).alias("h2")))
     sample = labelled.where(wanted).select("text", "fold", "label", *[v.alias(k) for k, v in names.items()])
 
-    if short:
-        parts = {f: stage(count_grams(labelled.where(F.col("fold") == f))) for f in folds}
-        models = {f: Model(_united(spark, [parts[o] for o in folds if o != f])) for f in folds}
-        model = Model(_united(spark, list(parts.values())))
-    else:
-        model = Model(stage(count_grams(labelled.where("fold > 0"))))
-        models = {0: model}
+    # Counts of the folds that are measured in turn, and of the rest at once; each text is counted once.
+    part = F.when(F.col("fold").isin(folds), F.col("fold")).otherwise(-1)
+    parts = {f: stage(count_grams(labelled.where(part == f))) for f in sorted({*folds, -1} if not short else folds)}
+    models = {f: Model(_united(spark, [parts[o] for o in parts if o != f])) for f in folds}
+    model = Model(_united(spark, list(parts.values())))
     measured = None
     for f, m in models.items():
         rows = m.measure(sample.where(F.col("fold") == f))

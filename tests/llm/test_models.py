@@ -163,3 +163,18 @@ def test_rare_toxic_rows_are_fitted(spark, monkeypatch):
     assert np.mean(held_out()) > 0.9
     y, weight = fits[-1]
     assert (y == 1).sum() == (y == 0).sum() == 10 and weight[y == 0][0] > 5 * weight[y == 1][0] >= 5
+
+
+def test_many_languages(spark):
+    """Forty made-up languages, each with its own words: every one is learned and told apart."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for lang in range(40):
+        words = ["".join(rng.choice(list("aeioubdfgklmnprst"), rng.integers(3, 7))) for _ in range(25)]
+        rows += [(40 * k + lang, " ".join(rng.choice(words, 40)), f"l{lang:02d}") for k in range(40)]
+    rows += [(1, rows[0][1], "l00")] * 500  # repeats count once
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs).where("held_out").collect()
+    right = [r.lang_pred == f"l{r.doc_id % 40:02d}" for r in got]
+    assert {r.lang_pred for r in got} == {f"l{k:02d}" for k in range(40)}
+    assert len(right) > 200 and np.mean(right) > 0.9
