@@ -35,7 +35,7 @@ from setspan.sources.tables import (
     read_ranked,
     read_results,
 )
-from setspan.streaming.ora_stream import ora_incremental, read_incremental
+from setspan.streaming.ora_stream import ora_incremental, ora_incremental_parts, read_incremental
 
 KEY = CollectionKey("kegg", "hsa")
 P_CUTOFF = 0.2
@@ -306,6 +306,22 @@ def incremental_query(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(read_incremental(spark, out).drop("batch_id"))
 
 
+def incremental_parts_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Contrasts in four files each, which land in two runs; each is tested when its last part is there."""
+    landing, stated, out, state = (scratch_dir(spark) for _ in range(4))
+    de = part_table(spark, sf).select("contrast", "gene_id", "value", "direction", "is_sig")
+    part = F.pmod(F.crc32("gene_id"), F.lit(4))
+    sizes = de.select("contrast", part.alias("part")).groupBy("contrast").agg(F.countDistinct("part").alias("n_files"))
+    sizes.write.parquet(stated)
+    for those in (part == 0, part > 0):
+        rows = de.withColumns({"_folder": F.col("contrast"), "_part": part}).where(those)
+        rows.repartition("contrast", "_part").write.mode("append").partitionBy("_folder", "_part").parquet(landing)
+        ora_incremental_parts(
+            spark, f"{landing}/*/*", stated, part_sets(spark, sf), out, state, q_cutoff=1.0, **BOUNDS
+        ).awaitTermination()
+    return _rounded(read_incremental(spark, out).drop("batch_id"))
+
+
 QUERIES = {
     "gmt_round_trip": gmt_query,
     "catalog_round_trip": catalog_query,
@@ -324,6 +340,7 @@ QUERIES = {
     "ora_catalog": ora_catalog_query,
     "catalog_resume": resume_query,
     "ora_incremental": incremental_query,
+    "ora_incremental_parts": incremental_parts_query,
 }
 
 ORACLES = {
@@ -377,3 +394,4 @@ FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'AUTOMOBILE')""",
     "ora_incremental": f"""WITH {PART_TABLE_SQL}, {part_sets_sql()}, {_DIRECTED}, {_TABLE_U},
 {ora_sql('hits', 'part_sets', 'u', 'contrast', 4, 1000)} SELECT {ROW_SQL} FROM adjusted""",
 }
+ORACLES["ora_incremental_parts"] = ORACLES["ora_incremental"]

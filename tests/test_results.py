@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setspan.operators import concordance as cc
-from setspan.streaming.ora_stream import DE_SCHEMA, ora_incremental, read_incremental
+from setspan.streaming.ora_stream import DE_SCHEMA, ora_incremental, ora_incremental_parts, read_incremental
 
 SCHEMA = "analysis string, db string, id string, pvalue double, padj double, qvalue double, nes double"
 
@@ -126,3 +126,49 @@ def test_incremental_ledger(spark, tmp_path):
         land(spark, folder, again, [("g0", 3.0)])
         with pytest.raises(Exception, match="already tested"):
             run()
+
+
+def test_contrast_in_parts(spark, tmp_path):
+    """A contrast waits for its last file and its manifest row, in either order, and then equals the whole."""
+    sets = spark.createDataFrame([("k", "s", f"g{i}") for i in range(5)], "collection string, term_id string, gene_id string")
+    folder, stated, out, state = (str(tmp_path / x) for x in ("in", "manifest", "out", "state"))
+    genes = [(f"g{i}", float(3 - i)) for i in range(8)]
+
+    def manifest(*rows):
+        spark.createDataFrame(rows, "contrast string, n_files long").coalesce(1).write.mode("append").parquet(stated)
+
+    def run():
+        ora_incremental_parts(
+            spark, folder, stated, sets, out, state, min_size=1, q_cutoff=None
+        ).awaitTermination()
+        try:
+            rows = read_incremental(spark, out).where("direction = 'Up'").collect()
+        except Exception:  # noqa: BLE001 - nothing tested yet
+            return {}
+        return {r.contrast: (r.overlap, r.n_universe) for r in rows}
+
+    land(spark, folder, "c1", genes[:1])
+    land(spark, folder, "c2", genes[:4])
+    manifest(("c1", 2))
+    assert run() == {}
+    land(spark, folder, "c2", genes[4:])
+    land(spark, folder, "c1", genes[1:])
+    assert run() == {"c1": (2, 8)}
+    manifest(("c2", 2))
+    assert run() == {"c1": (2, 8), "c2": (2, 8)} and run() == {"c1": (2, 8), "c2": (2, 8)}
+    land(spark, folder, "c1", genes[:1])
+    with pytest.raises(Exception, match="already tested"):
+        run()
+
+
+@pytest.mark.parametrize("sizes, why", [([1], "more files"), ([2, 3], "different manifest")])
+def test_parts_refused(spark, tmp_path, sizes, why):
+    sets = spark.createDataFrame([("k", "s", "g0")], "collection string, term_id string, gene_id string")
+    folder, stated = str(tmp_path / "in"), str(tmp_path / "manifest")
+    for gene in ("g0", "g1"):
+        land(spark, folder, "c1", [(gene, 3.0)])
+    spark.createDataFrame([("c1", n) for n in sizes], "contrast string, n_files long").write.parquet(stated)
+    with pytest.raises(Exception, match=why):
+        ora_incremental_parts(
+            spark, folder, stated, sets, str(tmp_path / "o"), str(tmp_path / "s")
+        ).awaitTermination()
