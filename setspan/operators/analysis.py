@@ -33,7 +33,7 @@ from setspan.operators.idmap import (
 )
 from setspan.operators.ora import KEYS, ora, with_hit_genes
 from setspan.operators.scan import broadcast_if_small
-from setspan.session import cut_lineage
+from setspan.session import cut_lineage, task_slots
 
 RULES = (
     "contrast string, db string, species string, id_type string, policy string, min_rate double, "
@@ -119,11 +119,13 @@ def convert_typed(wanted: DataFrame, layers: DataFrame) -> DataFrame:
     by_form = keyed.where(pair & (F.col("_key") != "")).select(
         *ids, F.lit(-1).alias("priority"), F.lit(PREFIX_LAYER).alias("layer"), formed.alias("target")
     )
-    rows = layers.select(
+    # A map comes in a few splits of small files that hold many rows: keys are made by all tasks.
+    rows = layers.repartition(task_slots(layers.sparkSession)).select(
         "priority", "layer", *TYPED, clean("to_id").alias("target"),
         match_key(F.col("from_id"), F.col("from_type"), F.col("species")).alias("_key"),
     ).where("target is not null and _key <> ''")
-    by_layer = keyed.where(~pair).join(rows, [*TYPED, "_key"]).select(*ids, "priority", "layer", "target")
+    # Merged here and below: maps and sets are judged by their files and would be broadcast.
+    by_layer = keyed.where(~pair).join(rows.hint("merge"), [*TYPED, "_key"]).select(*ids, "priority", "layer", "target")
     given = by_form.unionByName(by_layer).distinct()
     # Few rows an id: what the layers know of it.
     best = (
@@ -131,10 +133,10 @@ def convert_typed(wanted: DataFrame, layers: DataFrame) -> DataFrame:
         .groupBy(*ids)
         .agg(F.min("priority").alias("priority"))
     )
-    found = given.join(best, [*ids, "priority"]).select(*ids, "target", "layer")
+    found = given.join(best.hint("merge"), [*ids, "priority"]).select(*ids, "target", "layer")
     return (
         keyed.select(*ids)
-        .join(found, ids, "left")
+        .join(found.hint("merge"), ids, "left")
         .withColumn("target", F.coalesce("target", "id"))
     )
 
@@ -171,7 +173,7 @@ def conversion_outcome(de: DataFrame, rules: DataFrame, layers: DataFrame) -> tu
     converted = cut_lineage(convert_typed(seen, layers))
     mapped = converted.where(is_converted(F.col("target"), F.col("id"))).select(*TYPED, "id").distinct()
     counted = (
-        seen.join(mapped.withColumn("_hit", F.lit(True)), [*TYPED, "id"], "left")
+        seen.join(mapped.withColumn("_hit", F.lit(True)).hint("merge"), [*TYPED, "id"], "left")
         .groupBy("contrast")
         .agg(
             F.sum("_n").alias("total"),
@@ -211,7 +213,7 @@ def convert_tables(de: DataFrame, converted: DataFrame, outcome: DataFrame) -> D
     moved = (
         rows.where(F.col("status") == CONVERTED)
         .withColumnRenamed("gene_id", "id")
-        .join(converted.select(*TYPED, "id", "target"), [*TYPED, "id"])
+        .join(converted.select(*TYPED, "id", "target").hint("merge"), [*TYPED, "id"])
         .withColumnRenamed("target", "gene_id")
     )
     columns = ["contrast", "gene_id", *carried, "row_no", "is_sig"]
@@ -258,8 +260,8 @@ def resolve_universe(
     sizes = broadcast_if_small(cut_lineage(sizes))  # a row a contrast
     rows = hits.join(sizes.select("contrast", "db", "universe"), "contrast")
     free = rows.where("universe in ('table', 'sets')")
-    in_list = rows.where("universe = 'list'").join(listed, ["contrast", "gene_id"], "left_semi")
-    known = rows.join(set_genes.withColumn("_known", F.lit(True)), ["db", "gene_id"])
+    in_list = rows.where("universe = 'list'").join(listed.hint("merge"), ["contrast", "gene_id"], "left_semi")
+    known = rows.join(set_genes.withColumn("_known", F.lit(True)).hint("merge"), ["db", "gene_id"])
     in_sets = known.where("universe = 'annotated'").drop("_known")
     restricted = free.unionByName(in_list).unionByName(in_sets).select("contrast", "direction", "gene_id")
     # Set genes are counted once a database; a group adds its hits that no set knows.
@@ -319,7 +321,7 @@ def analyse(
     sources = de.select("contrast", F.col("gene_id").alias("id")).distinct()
     pairs = (
         sources.join(broadcast_if_small(moved), "contrast")
-        .join(converted.select(*TYPED, "id", "target"), [*TYPED, "id"])
+        .join(converted.select(*TYPED, "id", "target").hint("merge"), [*TYPED, "id"])
         .select("contrast", F.col("target").alias("id"), F.col("id").alias("shown"))
     )
     if symbols is None:
